@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.encode import token_ids
 from tidemark.llm.frequency import category_terms, detection_terms, mark_useless, term_frequency
+from tidemark.llm.garbled import garbled_fields
 from tidemark.llm.leaks import leaked_passages
+from tidemark.llm.lookalikes import consistent_text
 from tidemark.llm.survivors import preferred_rows, true_values
 from tidemark.llm.topn import top_n
 from tidemark.sources.tables import table
@@ -35,6 +37,14 @@ def p1_ngrams(spark: SparkSession, base: str) -> DataFrame:
     return counts.select("n", F.array_join("ngram", " | ").alias("ngram"), "occurrences", "records")
 
 
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return p3_consistent(spark, base).where("changed").select("mention_id")
+
+
+def p3_consistent(spark: SparkSession, base: str) -> DataFrame:
+    return consistent_text(table(spark, base, "mentions", "mention_id", "context"), "mention_id", "context")
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "mentions", "mention_id", "source", "page", "text", "context", "semantic_score", "sentiment_score", "sentiment_confidence", "confidence_score", "created_at")
     c = F.col
@@ -70,6 +80,14 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return top_n(_adoption_once(spark, base), ["year", "industry"], "ai_adoption_index", ["company"], ["index_id"], 5).select("year", "industry", "pos", "index_id")
 
 
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    return p6_repaired(spark, base).select("mention_id", "field")
+
+
+def p6_repaired(spark: SparkSession, base: str) -> DataFrame:
+    return garbled_fields(table(spark, base, "mentions", "mention_id", "context", "text"), "mention_id", ["context", "text"])
+
+
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     return token_ids(table(spark, base, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -86,7 +104,7 @@ def p9_longest(spark: SparkSession, base: str) -> DataFrame:
     return _leaks(spark, base)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_ngrams, p4_found, p4_categories, p5_found, p8_ids, p9_found, p9_longest)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_ngrams, p3_found, p3_consistent, p4_found, p4_categories, p5_found, p6_found, p6_repaired, p8_ids, p9_found, p9_longest)}
 
 _P1 = """
 WITH v AS (
