@@ -6,28 +6,25 @@ that filings contain. Only those spans are decoded, again and again until none i
 
 Single bytes read in the wrong single-byte encoding leave no such structure. They are found by word: a word with characters
 that are letters only in another encoding, or one whose re-reading is far more frequent in the whole collection than the word
-itself. The counts come from all rows, in a table of fixed size (2^20 counters), so what is sent to the tasks has a bound.
+itself. The counts come from all rows, in a table of fixed size, so what is sent to the tasks has a bound.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark.llm.codepoints import from_codes, row_of, to_codes
+from tidemark.llm.counts import CountTable, count_words
 
 #: Encodings in which UTF-8 bytes, or bytes of western Windows text, are found to have been read.
 MULTIBYTE = ("cp1252", "mac_roman", "cp850", "cp437")
 SINGLE_BYTE = ("mac_roman", "cp850")
-COUNTERS = 1 << 20
 _WORD = re.compile(r"[^\s]*[^\x00-\x7f\s][^\s]*")
 _EDGES = ".,;:!?()[]<>\"'"
 
@@ -122,11 +119,6 @@ def span_mask(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mask
 
 
-def counter_of(word: str) -> int:
-    """The counter of a word in the table of counts."""
-    return xxhash.xxh32_intdigest(word) % COUNTERS
-
-
 def bare(word: str) -> str:
     """A word without punctuation at its edges."""
     return word.strip(_EDGES)
@@ -137,25 +129,9 @@ def high_words(text: str | None) -> list[str]:
     return [w for w in map(bare, _WORD.findall(text)) if w] if text and not text.isascii() else []
 
 
-def word_counts(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """How often each word beyond ASCII occurs in `columns` of all rows, in COUNTERS counters."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in batches:
-            seen: Counter[str] = Counter()
-            for column in batch.columns:
-                for text in column.to_pylist():
-                    seen.update(high_words(text))
-            np.add.at(total, [counter_of(w) for w in seen], list(seen.values()))
-        held = np.flatnonzero(total)
-        if len(held):
-            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["slot", "n"])
-
-    counts = np.zeros(COUNTERS, dtype=np.int32)
-    for r in df.select(*columns).mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r["slot"]] = min(r["n"], 2**31 - 1)
-    return counts
+def word_counts(df: DataFrame, columns: list[str]) -> CountTable:
+    """How often each word beyond ASCII occurs in `columns` of all rows."""
+    return count_words(df, columns, high_words)
 
 
 @lru_cache
@@ -175,7 +151,7 @@ class WordJudge:
     #: quotation marks that open and close
     PAIRS = (("“", "”"), ("„", "“"), ("«", "»"), ("‘", "’"))
 
-    def __init__(self, counts: np.ndarray, ratio: int = 4, least: int = 3):
+    def __init__(self, counts: CountTable, ratio: int = 4, least: int = 3):
         self.counts, self.ratio, self.least = counts, ratio, least
         self.known: dict[str, str | None] = {}
 
@@ -198,7 +174,7 @@ class WordJudge:
             if other == word:
                 continue
             if any(c.isalpha() for c in bare(other)) or any(c.isalpha() for c in word):
-                mine, its = int(self.counts[counter_of(word)]), int(self.counts[counter_of(bare(other))])
+                mine, its = self.counts[word], self.counts[bare(other)]
                 if its >= self.least and its >= self.ratio * mine and (best is None or its > best[0]):
                     best = (its, other)
             if best is None and self._quoted(word, other):

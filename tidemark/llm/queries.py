@@ -10,6 +10,7 @@ from tidemark.llm.frequency import category_terms, detection_terms, mark_useless
 from tidemark.llm.garbled import garbled_fields
 from tidemark.llm.leaks import leaked_passages
 from tidemark.llm.lookalikes import consistent_text
+from tidemark.llm.scans import repaired_scans
 from tidemark.llm.survivors import preferred_rows, true_values
 from tidemark.llm.topn import top_n
 from tidemark.sources.tables import table
@@ -37,6 +38,17 @@ def p1_ngrams(spark: SparkSession, base: str) -> DataFrame:
     return counts.select("n", F.array_join("ngram", " | ").alias("ngram"), "occurrences", "records")
 
 
+def p2_repaired(spark: SparkSession, base: str) -> DataFrame:
+    rows = table(spark, base, "mentions", "mention_id", "context", "company", "doc_type", "source")
+    status = table(spark, base, "processed_documents", "source", "text_status").groupBy("source").agg(F.min(F.coalesce("text_status", F.lit("?")) == "valid").alias("sound"))
+    sound = rows.join(status.where("sound"), "source", "left_semi")
+    return repaired_scans(rows, "mention_id", "context", "company", "doc_type", sound)
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return p2_repaired(spark, base).select("mention_id")
+
+
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return p3_consistent(spark, base).where("changed").select("mention_id")
 
@@ -104,7 +116,7 @@ def p9_longest(spark: SparkSession, base: str) -> DataFrame:
     return _leaks(spark, base)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_ngrams, p3_found, p3_consistent, p4_found, p4_categories, p5_found, p6_found, p6_repaired, p8_ids, p9_found, p9_longest)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_ngrams, p2_found, p2_repaired, p3_found, p3_consistent, p4_found, p4_categories, p5_found, p6_found, p6_repaired, p8_ids, p9_found, p9_longest)}
 
 _P1 = """
 WITH v AS (
