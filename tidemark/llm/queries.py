@@ -11,6 +11,7 @@ from tidemark.llm.garbled import garbled_fields
 from tidemark.llm.leaks import leaked_passages
 from tidemark.llm.lookalikes import consistent_text
 from tidemark.llm.scans import repaired_scans
+from tidemark.llm.spans import shared_share, sharing_pairs
 from tidemark.llm.survivors import preferred_rows, true_values
 from tidemark.llm.topn import top_n
 from tidemark.sources.tables import table
@@ -116,7 +117,15 @@ def p9_longest(spark: SparkSession, base: str) -> DataFrame:
     return _leaks(spark, base)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_ngrams, p2_found, p2_repaired, p3_found, p3_consistent, p4_found, p4_categories, p5_found, p6_found, p6_repaired, p8_ids, p9_found, p9_longest)}
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return sharing_pairs(table(spark, base, "documents", "doc_id", "text"), "doc_id", "text").toDF("doc_a", "doc_b")
+
+
+def p10_share(spark: SparkSession, base: str) -> DataFrame:
+    return shared_share(table(spark, base, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_ngrams, p2_found, p2_repaired, p3_found, p3_consistent, p4_found, p4_categories, p5_found, p6_found, p6_repaired, p8_ids, p9_found, p9_longest, p10_found, p10_share)}
 
 _P1 = """
 WITH v AS (
@@ -174,4 +183,19 @@ WITH d AS (
   SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12)
 )
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p10_found": """
+WITH g AS (
+  SELECT DISTINCT doc_id, hash(substr(text, i, 300)) AS h1, md5(substr(text, i, 300)) AS h2
+  FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)
+)
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM g a JOIN g b ON a.h1 = b.h1 AND a.h2 = b.h2 AND a.doc_id < b.doc_id""",
+    "p10_share": """
+WITH g AS (
+  SELECT doc_id, i, md5(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)
+), s AS (
+  SELECT doc_id, i FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1)
+), c AS (
+  SELECT doc_id, sum(least(300, coalesce(next - i, 300))) AS shared_chars FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM s) GROUP BY doc_id
+)
+SELECT doc_id, length(text) AS n_chars, CAST(shared_chars AS BIGINT) AS shared_chars, round(shared_chars / length(text), 6) AS share FROM c JOIN documents USING (doc_id)""",
 }
