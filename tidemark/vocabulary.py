@@ -1,0 +1,115 @@
+"""Vocabularies as data. Every pattern is a core without word boundaries, valid in java.util.regex and in RE2."""
+
+from __future__ import annotations
+
+WORD_CHARS = r"\p{L}\p{N}_"
+
+
+def exists(*cores: str, tail: str = "") -> str:
+    """A pattern that holds where any of `cores` stands as whole words; `tail` adds characters that may not follow."""
+    return rf"(?i)(^|[^{WORD_CHARS}])(?:{'|'.join(cores)})([^{WORD_CHARS}{tail}]|$)"
+
+
+def located(core: str) -> str:
+    """A pattern whose whole match is the term: boundaries by look-around, no hyphen behind."""
+    return rf"(?i)(?<![{WORD_CHARS}])(?:{core})(?![{WORD_CHARS}-])"
+
+
+# Specific (hard) and vague (soft) terms, in order of preference.
+HARD = [
+    r"generative ai", r"genai", r"large language models?", r"llms?", r"(?:chat)?gpt(?:[\s-]?[3-5])?", r"(?:foundation|frontier) models?", r"transformers?", r"multimodal(?:\s+ai|\s+model)?",
+    r"rag", r"retrieval[\s-]augmented\s+generation", r"vector\s+(?:database|store|search|embedding)", r"embeddings?", r"semantic\s+search", r"knowledge\s+(?:graph|base)", r"prompt\s+(?:engineering|library)",
+    r"fine[\s-]?tun(?:e|ed|ing)", r"rlhf", r"lora", r"instruction\s+tuning", r"(?:ml|llm|ai)ops", r"model\s+(?:serving|deployment|inference)", r"edge\s+(?:ai|computing)", r"(?:gpu|tpu|npu)\s+(?:cluster|compute|infrastructure)",
+    r"(?:github\s+)?copilot", r"llama(?:\s+\d)?", r"mistral", r"(?:function|tool)\s+calling",
+]
+SOFT = [
+    r"artificial intelligence", r"machine learning", r"deep learning", r"neural networks?", r"natural language processing", r"computer vision", r"ai|ml|dl|nlp", r"predictive analytics", r"cognitive computing",
+    r"intelligent automation", r"ai[\s-](?:powered|driven|enabled|first|native|augmented)", r"ml[\s-](?:based|powered)", r"chatbots?", r"virtual\s+(?:assistant|agent)", r"conversational\s+ai", r"recommendation\s+(?:system|engine)",
+    r"sentiment\s+analysis", r"fraud\s+detection", r"predictive\s+maintenance", r"robot(?:ic)?s?", r"rpa", r"hyperautomation", r"intelligent", r"automation",
+]
+# Cues that change the confidence in a mention.
+IMPLEMENTATION = [r"deploy(?:ed|ing)?", r"implement(?:ed|ing)?", r"integrat(?:e|ed|ing)", r"roll[\s-]?out", r"launch(?:ed|ing)?", r"build(?:ing)?", r"scale(?:d|ing)?", "production", "inference", "serving"]
+ARTIFACT = ["model", "pipeline", "training", r"fine[\s-]?tuning", "embeddings?", "vector", "tokens?", "prompt", "guardrails", "evaluation", "benchmark", r"data\s+scientist", r"ml\s+engineer"]
+MARKETING = [r"leverag(?:e|ing)", r"explor(?:e|ing|ation)", r"aspir(?:e|ation)", r"commit(?:ment|ted)", "vision", "strategy", "roadmap", "principles?", "guidelines?", "policy", "framework", r"responsible\s+ai", r"ai\s+(?:ethics|governance)"]
+ESG_TYPES = ["sustainability", "esg", "csr", "responsible", "governance", "ethics"]
+ESG_TEXT = ["sustainab", "esg", "csr"]
+# What makes a hit false, and what a short term needs beside it.
+FALSE_POSITIVE = {
+    "codes": r"(?i)(^|[^\p{L}\p{N}_])ai[\s-]?\d|\d[\s-]?ai([^\p{L}\p{N}_]|$)|[#@]ai([^\p{L}\p{N}_]|$)|(^|[^\p{L}\p{N}_])ai\.(com|org|net|io)|\.ai([^\p{L}\p{N}_]|$)",
+    "places": exists("dubai", "bangkok", "thai(?:land)?", "hawaii", "samurai", "bonsai", "shangh?ai", "mumbai", "chennai"),
+    "units": r"(?i)\d\.?\d*\s*(ml|dl)([^\p{L}\p{N}_]|$)|(^|[^\p{L}\p{N}_])(ml|dl)\s*(of\s+)?(water|waste|emission|metric|tons?|gallons?|liters?|\d)",
+    "corrupted": r"[#$%&*@^]{3,}|[A-Za-z0-9]{40,}",
+    "boards": r"(?i)(board\s+of\s+directors?).*(composed|experience|knowledge).*ai|career\s+highlights.*(ai|artificial)|joined\s+the\s+board.*(ai|artificial)|(ceo|cfo|cto|coo|founder|president)\s+(of|at)\s+\w+\s*ai([^\p{L}\p{N}_]|$)",
+    "embedding": r"(?i)embedding\s+(policy|policies|values?|principles?|practices?|esg|sustainability|diversity|inclusion|culture)|embedded\s+in\s+(our|the)\s+(culture|organization|strategy)",
+    "air_fair": exists(r"air\s+(?:quality|pollution|travel|cargo|freight|conditioning|transport)", r"fair\s+(?:value|market|trade|housing|lending|price)"),
+}
+VALIDATORS = ["artificial intelligence", "machine learning", "deep learning", "neural network", "algorithm", "model training", "prediction", "automat", "intelligent system", "chatbot", "generative", "llm", "gpt", "autonomous", "analytics", "natural language", "computer vision", "data science", "cognitive", "transformer", "inference"]
+# Robots and process automation, with and without learning.
+ROBOT_TRADITIONAL = [r"industrial\s+robot(?:s|ics)?", r"robotic\s+arms?", r"(?:manufacturing|assembly|warehouse)\s+robots?", r"pick(?:ing)?[\s-]?(?:and[\s-]?)?pack(?:ing)?\s+robots?"]
+ROBOT_AI = r"(?i)(ai|ml|intelligent)[\s-]?(powered|driven|enabled)\s+robot|(autonomous|cognitive)\s+robot|robot.*(machine learning|neural network|computer vision)|(machine learning|deep learning).*robot"
+RPA_ANY = exists(r"robotic\s+process\s+automation", "rpa", r"rule[\s-]?based\s+automation")
+RPA_AI = r"(?i)(intelligent|cognitive|ai[\s-]?powered)\s+(rpa|process\s+automation|automation)|rpa.*(with|using|combined|enhanced).*(ai|ml|machine learning)|hyperautomation"
+# Denial and hypothetical language around a term.
+_TERM = r"(?:ai|ml|genai|artificial\s+intelligence|machine\s+learning|chatbots?|llms?|deep\s+learning)"
+NEGATION_HARD = [
+    rf"(?:do(?:es)?|did)\s+not\s+(?:currently\s+)?(?:use|deploy|leverage|employ|utilize|rely\s+on|operate)[^{WORD_CHARS}].{{0,40}}{_TERM}",
+    rf"{_TERM}[^{WORD_CHARS}].{{0,40}}(?:is|are)\s+not\s+(?:currently\s+)?(?:used|deployed|employed|leveraged|integrated)",
+    rf"(?:no|not)\s+(?:current\s+)?(?:plans?|intent(?:ion)?)\s+to\s+(?:deploy|implement|use|adopt|integrate)[^{WORD_CHARS}].{{0,40}}{_TERM}",
+    rf"(?:absent|without|lacking)\s+(?:any\s+)?{_TERM}", rf"{_TERM}[^{WORD_CHARS}].{{0,30}}not\s+(?:material|significant|core|substantial)",
+]
+NEGATION_SOFT = [
+    rf"{_TERM}[^{WORD_CHARS}].{{0,60}}(?:may|could|might|can|would)\s+(?:pose|create|introduce|present|cause|result\s+in|lead\s+to)[^{WORD_CHARS}].{{0,40}}(?:risks?|harms?|threats?|concerns?|losses|damages?)",
+    rf"(?:may\s+be\s+)?(?:risks?|threats?|harms?|concerns?)\s+(?:in|associated\s+with|related\s+to|linked\s+to)[^{WORD_CHARS}].{{0,40}}{_TERM}",
+    rf"cannot\s+(?:guarantee|ensure|assure|predict)[^{WORD_CHARS}].{{0,60}}{_TERM}", rf"(?:hypothetical(?:ly)?|potential(?:ly)?)[^{WORD_CHARS}].{{0,30}}{_TERM}", r"bias(?:ed|es)?\s+(?:in|of|within)\s+(?:ai|ml|our\s+models?|algorithms?)",
+]
+# Maturity stages with their score, forward-looking cues, commitment groups with their weight.
+MATURITY = {
+    "exploring": (0.2, [r"explor(?:e|ing)", r"evaluat(?:e|ing)", r"research(?:ing)?", r"investigat(?:e|ing)"]),
+    "piloting": (0.4, [r"pilot(?:s|ed|ing)?", r"test(?:ed|ing)", "proof of concept", "trial(?:s|led)?"]),
+    "implementing": (0.6, [r"implement(?:ed|ing)?", r"deploy(?:ed|ing)?", r"introduced?", r"integrat(?:ed|ing)", r"connected"]),
+    "scaling": (0.8, [r"scal(?:ed|ing)", r"expand(?:ed|ing)?", r"extended", r"standardised", r"across\s+all"]),
+    "optimizing": (1.0, [r"ai[\s-]first", r"centre\s+of\s+excellence", r"optimis(?:ed|ing)", r"fully\s+automated"]),
+}
+FUTURE = [r"will", r"plans?\s+to", r"intends?\s+to", r"expects?", r"aims?\s+to", r"by\s+20[2-9]\d", r"over\s+the\s+next", "roadmap", r"further\s+hiring"]
+COMMITMENT = {
+    "financial": (2.0, [r"(?:usd|eur|\$|€)\s?\d[\d.,]*\s+(?:million|billion)", r"invest(?:ed|ment|ing)", r"budget"]),
+    "strategic": (1.5, [r"strategic\s+(?:priority|pillar)", r"board\s+of\s+directors", r"our\s+strategy"]),
+    "resources": (1.5, [r"hiring", r"trained\s+on", r"research\s+lab", r"specialists"]),
+    "general": (1.0, [r"commit(?:ted|ment)", r"dedicated"]),
+    "generative": (1.8, [r"generative\s+ai", r"large\s+language\s+models?"]),
+}
+# Sentiment words, governance words and truly negative words.
+POSITIVE = {"improve": 0.5, "progress": 0.4, "steady": 0.3, "faster": 0.5, "broad": 0.2, "encouraging": 0.7, "rose": 0.3, "clear": 0.2, "approval": 0.3}
+NEGATIVE = {"risk": -0.4, "risks": -0.5, "delays": -0.5, "defects": -0.4, "false": -0.3, "unusual": -0.2, "decline": -0.6, "incidents": -0.4, "friction": -0.3}
+GOVERNANCE = ["governance", "oversight", "compliance", "regulator", "audit", "policy", "review", "privacy", "ethic"]
+TRULY_NEGATIVE = ["lawsuit", "breach", "failure", "fraudulent", "penalty", "misuse", "discriminat", "incident"]
+#: Taxonomies are a parameter of the classifier: (axis, code, domain, keywords, patterns). These are short ones of our own.
+TAXONOMY = [
+    ("a", "A1", "", ["strategy", "transformation", "plan"], [r"our\s+plan", r"further\s+hiring"]),
+    ("a", "A2", "", ["operations", "maintenance", "automation", "logistics", "depots"], [r"supply\s+\w+", r"plant\s+managers?"]),
+    ("a", "A3", "", ["customer", "chatbot", "service", "clients"], [r"service\s+(?:centre|hours)", r"customer\s+\w+"]),
+    ("a", "A4", "", ["product", "platform", "release"], [r"internal\s+product", r"new\s+platform"]),
+    ("a", "A5", "", ["data", "forecast", "analytics", "score"], [r"training\s+data", r"data\s+\w+"]),
+    ("a", "A6", "", ["risk", "privacy", "audit", "fraud", "regulators"], [r"audit\s+committee", r"privacy\s+review"]),
+    ("a", "A7", "", ["staff", "specialists", "hiring", "training"], [r"trained\s+on", r"skilled\s+\w+"]),
+    ("b", "B1", "", ["machine learning", "predictive", "forecast", "score"], [r"predictive\s+\w+", r"anomaly\s+detection"]),
+    ("b", "B2", "", ["deep learning", "neural network", "neural networks"], [r"neural\s+networks?", r"deep\s+learning"]),
+    ("b", "B3", "", ["natural language processing", "translation", "text"], [r"natural\s+language", r"translation\s+service"]),
+    ("b", "B4", "", ["generative", "llm", "large language models", "prompt"], [r"generative\s+ai", r"large\s+language\s+models?", r"llms?"]),
+    ("b", "B5", "", ["vision", "image", "camera", "inspection"], [r"computer\s+vision", r"image\s+\w+"]),
+    ("b", "B6", "", ["robotic", "robot", "agent", "agents"], [r"robotic\s+process", r"(?:virtual|ai)\s+agents?"]),
+    ("b", "B7", "", ["gpu", "vector", "platform", "sensor", "engine"], [r"gpu\s+cluster", r"vector\s+search"]),
+    ("b", "B8", "", ["ai", "artificial intelligence"], [r"artificial\s+intelligence", r"ai"]),
+    ("eu", "E1", "Reasoning", ["knowledge base", "knowledge", "reasoning"], []),
+    ("eu", "E2", "Planning", ["planning", "scheduling", "optimiser"], []),
+    ("eu", "E3", "Learning", ["learning", "training", "neural", "model"], []),
+    ("eu", "E4", "Communication", ["language", "translation", "chatbot", "text"], []),
+    ("eu", "E5a", "Perception", ["vision", "image", "camera"], []),
+    ("eu", "E5b", "Perception", ["speech", "audio", "voice"], []),
+    ("eu", "E6a", "Integration", ["agent", "agents"], []),
+    ("eu", "E6b", "Integration", ["robot", "robotic", "automation"], []),
+    ("eu", "E6c", "Integration", ["vehicle", "fleet"], []),
+    ("eu", "E7", "Services", ["analytics", "platform", "gpu", "service"], []),
+    ("eu", "E8a", "Ethics", ["ethics", "fairly", "responsible", "privacy"], []),
+    ("eu", "E8b", "Philosophy", ["consciousness"], []),
+]
