@@ -13,74 +13,103 @@ its own. Records with equal text and equal word sets are one class: classes are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.storage import cut
 from tidemark.llm.words import words
 
 GROUPS, LEAF, WIDTH, SHARD, SMALL = 40, 32, 1 << 21, 20_000, 48
-_KEYS = "pkey bigint, shard bigint, block int, class binary, size int, point binary"
+_KEYS = "pkey bigint, shard bigint, block int, class binary, size int, rank int, point binary"
 
 
 def _hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
+_chunks: dict[str, tuple[int, ...]] = {}
+
+
 def records(columns: list[list], least_words: int) -> Iterator[tuple[int, str, np.ndarray]]:
-    """(row, trimmed and lower-cased text, sorted hashes of the distinct words) of the rows that can have partners."""
-    known: dict[str, int] = {}
+    """(row, trimmed and lower-cased text, sorted hashes of the distinct words) of the rows that can have partners.
+
+    No word holds white space, so the words of each distinct chunk between white space are hashed once in a worker; the store
+    is emptied when it is full.
+    """
     for i, (text, context) in enumerate(zip(*columns)):
         if text is None or not context:
             continue
-        held = set(words(context))
+        chunks = set(context.split())
+        new = chunks.difference(_chunks)
+        if new:
+            if len(_chunks) + len(new) > 500_000:
+                _chunks.clear()
+                new = chunks
+            for c in new:
+                _chunks[c] = tuple(_hash(w) for w in words(c))
+        held = set(chain.from_iterable(map(_chunks.__getitem__, chunks)))
         if len(held) >= least_words:
-            if len(known) > 500_000:
-                known.clear()
-            for w in held:
-                if w not in known:
-                    known[w] = _hash(w)
-            yield i, text.strip(" ").lower(), np.unique(np.fromiter((known[w] for w in held), dtype=np.uint64, count=len(held)))
+            h = np.fromiter(held, dtype=np.uint64, count=len(held))
+            h.sort()
+            yield i, text.strip(" ").lower(), h
 
 
-def bounded_pairs(points: np.ndarray, sizes: np.ndarray, side: np.ndarray, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of one shard whose summed minima allow the similarity share[0] / share[1]: an R-tree query of all against
-    all. Rows with different `side` pair only with each other; with one side, each pair comes once."""
+def may_pair(points: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, i: np.ndarray, j: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """The numbers of the pairs (i, j) of one shard that can be similar enough: by size, by how many words can follow the common one, and by the
+    summed minima of the counts (counts of large records are cut at 255, so of two such the sum says nothing)."""
+    a, b = share
+    m, n = sizes[i], sizes[j]
+    need = -(-a * (m + n) // (a + b))
+    keep = np.flatnonzero((m * b >= a * n) & (n * b >= a * m) & (np.minimum(m - ranks[i], n - ranks[j]) >= need))
+    i, j, m, n, need = i[keep], j[keep], m[keep], n[keep], need[keep]
+    shared = np.zeros(len(i), dtype=np.int64)
+    for part in range(0, len(i), 50_000):
+        cut_ = slice(part, part + 50_000)
+        shared[cut_] = np.minimum(points[i[cut_]], points[j[cut_]]).sum(axis=1, dtype=np.uint16)
+    return keep[(shared >= need) | ((m > 255) & (n > 255))]
+
+
+def bounded_pairs(points: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, side: np.ndarray, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of one shard that can be similar enough: an R-tree query of all against all. Rows with different `side`
+    pair only with each other; with one side, each pair comes once."""
     two = side.any() and not side.all()
-    order = np.lexsort((points.argmax(axis=1), sizes))
-    points, sizes, side = points[order], sizes[order], side[order]
+    order = np.lexsort((points.argmax(axis=1), ranks, sizes))
+    points, sizes, ranks, side = points[order], sizes[order], ranks[order], side[order]
     n = len(sizes)
     begins = np.arange(0, n, LEAF)
     upper = np.maximum.reduceat(points, begins, axis=0)
     smallest, largest = sizes[begins], sizes[np.minimum(begins + LEAF, n) - 1]
+    follow = np.maximum.reduceat(sizes - ranks, begins)
     a, b = share
     for q in range(0, n, 512):
         rows = np.arange(q, min(q + 512, n))
-        bound = np.zeros((len(rows), len(begins)), dtype=np.int32)
-        for g in range(points.shape[1]):
-            bound += np.minimum(points[rows, g][:, None], upper[:, g][None, :])
-        need = (a * (sizes[rows][:, None] + smallest[None, :]) + a + b - 1) // (a + b)
-        open_ = (bound >= need) & (smallest[None, :] * a <= sizes[rows][:, None] * b) & (largest[None, :] * b >= sizes[rows][:, None] * a) & (begins[None, :] + LEAF > rows[:, None])
+        m = sizes[rows][:, None]
+        need = -(-a * (m + smallest[None, :]) // (a + b))
+        open_ = (smallest[None, :] * a <= m * b) & (largest[None, :] * b >= m * a) & (begins[None, :] + LEAF > rows[:, None]) & (np.minimum((sizes - ranks)[rows][:, None], follow[None, :]) >= need)
         r, node = np.nonzero(open_)
+        keep = (np.minimum(points[rows[r]], upper[node]).sum(axis=1, dtype=np.uint16) >= need[r, node]) | (sizes[rows[r]] > 255)
+        r, node = r[keep], node[keep]
         for part in range(0, len(r), 20_000):
             i = np.repeat(rows[r[part : part + 20_000]], LEAF)
             j = (begins[node[part : part + 20_000]][:, None] + np.arange(LEAF)).ravel()
-            keep = (j < n) & (j > i)
-            i, j = i[keep], j[keep]
+            inside = (j < n) & (j > i)
+            i, j = i[inside], j[inside]
             if two:
-                keep = side[i] != side[j]
-                i, j = i[keep], j[keep]
-            keep = np.minimum(points[i], points[j]).sum(axis=1, dtype=np.int32) * (a + b) >= a * (sizes[i] + sizes[j])
-            if keep.any():
-                yield order[i[keep]], order[j[keep]]
+                other = side[i] != side[j]
+                i, j = i[other], j[other]
+            good = may_pair(points, sizes, ranks, i, j, share)
+            if len(good):
+                yield order[i[good]], order[j[good]]
 
 
-def shard_pairs(shard: np.ndarray, block: np.ndarray, sizes: np.ndarray, points: np.ndarray, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of the same shard and cell that pass the bound; rows come sorted by shard and cell."""
-    a, b = share
+def shard_pairs(shard: np.ndarray, block: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, points: np.ndarray, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same shard and cell that pass the bounds; rows come sorted by shard and cell."""
     cell = block >> 1
     begins = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (cell[1:] != cell[:-1])]))
     lengths = np.diff(np.append(begins, len(shard)))
@@ -88,17 +117,17 @@ def shard_pairs(shard: np.ndarray, block: np.ndarray, sizes: np.ndarray, points:
     small = np.repeat(lengths <= SMALL, lengths)
     two = np.add.reduceat(block & 1, begins)
     crossed = np.repeat((two > 0) & (two < lengths), lengths)
+    i = np.flatnonzero(small & (left > 1))
     for d in range(1, SMALL):
-        i = np.flatnonzero(small & (left > d))
+        i = i[left[i] > d]
         if not len(i):
             break
-        j = i + d
-        keep = ~crossed[i] | ((block[i] & 1) != (block[j] & 1))
-        i, j = i[keep], j[keep]
-        keep = np.minimum(points[i], points[j]).sum(axis=1, dtype=np.int32) * (a + b) >= a * (sizes[i] + sizes[j])
-        yield i[keep], j[keep]
+        at = i[~crossed[i] | ((block[i] & 1) != (block[i + d] & 1))]
+        good = may_pair(points, sizes, ranks, at, at + d, share)
+        if len(good):
+            yield at[good], at[good] + d
     for s, n in zip(begins[lengths > SMALL], lengths[lengths > SMALL]):
-        for i, j in bounded_pairs(points[s : s + n], sizes[s : s + n], block[s : s + n] & 1, share):
+        for i, j in bounded_pairs(points[s : s + n], sizes[s : s + n], ranks[s : s + n], block[s : s + n] & 1, share):
             yield s + i, s + j
 
 
@@ -149,20 +178,22 @@ def similar_pairs(df: DataFrame, key: str, text: str, context: str, share: tuple
             texts = batch.column(2).to_numpy(zero_copy_only=False)
             flat, ends = batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64), batch.column(3).offsets.to_numpy()
             ends = ends - ends[0]
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for i, c in enumerate(cls):
                 h = flat[ends[i] : ends[i + 1]]
                 n = len(h)
-                point = np.bincount((h >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.uint16).tobytes()
+                point = np.bincount((h >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+                point = np.minimum(point, 255).astype(np.uint8).tobytes()
                 times = often[(h % WIDTH).astype(np.int64)]
                 first = np.lexsort((h, times))[: n - (a * n + b - 1) // b + 1]
-                first = first[times[first] > 1]
+                ranks = np.flatnonzero(times[first] > 1)
+                first = first[ranks]
                 if not len(first):
                     continue
                 of_text = int(texts[i]) & ((1 << 64) - 1)
                 rows_of_text = int(often[(int(texts[i]) + (1 << 63)) % WIDTH])
                 own = int.from_bytes(c[:4], "big")
-                for word, most in zip(h[first].tolist(), np.minimum(times[first], rows_of_text).tolist()):
+                for rank, word, most in zip(ranks.tolist(), h[first].tolist(), np.minimum(times[first], rows_of_text).tolist()):
                     shard = ((word * 0x9E3779B97F4A7C15) ^ of_text) & ((1 << 64) - 1)
                     blocks = -(-most // SHARD)
                     # rows of one text stay together, so that a pair found in several shards is merged before it is shuffled
@@ -176,27 +207,28 @@ def similar_pairs(df: DataFrame, key: str, text: str, context: str, share: tuple
                         out[2].append(cell * 2 + (mine == high and low != high))
                         out[3].append(c)
                         out[4].append(n)
-                        out[5].append(point)
+                        out[5].append(rank)
+                        out[6].append(point)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()))], names=["pkey", "shard", "block", "class", "size", "point"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()))], names=["pkey", "shard", "block", "class", "size", "rank", "point"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def run(part: pa.Table) -> Iterator[pa.RecordBatch]:
-            col = {n: part.column(n) for n in part.column_names}
-            points = np.frombuffer(b"".join(col["point"].to_pylist()), dtype=np.uint16).reshape(-1, GROUPS)
-            names = np.array(col["class"].to_pylist(), dtype=object)
-            for i, j in shard_pairs(col["shard"].to_numpy(), col["block"].to_numpy(), col["size"].to_numpy(), points, share):
-                x, y = names[i], names[j]
-                swap = x > y
-                x, y = np.where(swap, y, x), np.where(swap, x, y)
-                keep = x != y
-                if keep.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(x[keep], pa.binary()), pa.array(y[keep], pa.binary())], names=["x", "y"])
+            part = part.combine_chunks()
+            numbers = {n: part.column(n).to_numpy().astype(np.int64) for n in ("shard", "block", "size", "rank")}
+            points = np.frombuffer(b"".join(part.column("point").to_pylist()), dtype=np.uint8).reshape(-1, GROUPS)
+            names = part.column("class")
+            for i, j in shard_pairs(numbers["shard"], numbers["block"], numbers["size"], numbers["rank"], points, share):
+                x, y = names.take(pa.array(i)), names.take(pa.array(j))
+                swap = pc.greater(x, y)
+                x, y = pc.if_else(swap, y, x), pc.if_else(swap, x, y)
+                pairs = pa.table({"x": x, "y": y}).filter(pc.not_equal(x, y)).combine_chunks()
+                yield from pairs.to_batches()
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(map(len, held)) < 60_000:
+            if sum(map(len, held)) < 100_000:
                 continue
             part = pa.Table.from_batches(held).combine_chunks()
             s, c = part.column("shard").to_numpy(), part.column("block").to_numpy() >> 1
@@ -217,7 +249,7 @@ def similar_pairs(df: DataFrame, key: str, text: str, context: str, share: tuple
     both = first.join(one.select(F.col("class").alias("y"), F.col("th").alias("ty"), F.col("words").alias("wy")), "y").where("tx = ty")
     common = F.size(F.array_intersect("wx", "wy"))
     alike = both.where(common * b >= a * (F.size("wx") + F.size("wy") - common)).select("x", "y")
-    members = made.select("class", "id")
+    members = cut(made.select("class", "id"))
     across = alike.join(members.select(F.col("class").alias("x"), F.col("id").alias("i")), "x").join(members.select(F.col("class").alias("y"), F.col("id").alias("j")), "y").select("i", "j")
     within = members.select("class", F.col("id").alias("i")).join(members.select("class", F.col("id").alias("j")), "class").where("i < j").select("i", "j")
     return across.unionByName(within).where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
