@@ -40,20 +40,23 @@ def detect_terms(docs: DataFrame, key: str, text: str, config: Config | None = N
     config, triggers = config or Config(), triggers or default_triggers()
     around = config.sentences_around
     any_term = v.exists(*[c for _, c in triggers], tail="-")
+    squeezed = lambda c: F.regexp_replace(c, r"\s+", " ")
+    cut = lambda c: F.when(F.length(c) > config.max_context, F.concat(F.substring(c, 1, config.max_context), F.lit("..."))).otherwise(c)
+
+    def in_context(sentence: Column, i: Column) -> Column:
+        begin = F.greatest(F.lit(0), i - around)
+        whole = F.array_join(F.slice("_s", begin + 1, i - begin + 1 + around), " ")
+        head = F.length(F.array_join(F.slice("_s", begin + 1, i - begin), " ")) + F.when(i > begin, 1).otherwise(0)
+        return F.struct(i.alias("no"), sentence.alias("sentence"), whole.alias("whole"), cut(squeezed(whole)).alias("context"), head.alias("head"))
+
+    # generators keep the contexts from being computed again in every predicate on them
     split = docs.where(F.col(text).rlike(any_term)).withColumn("_s", t.sentences(F.col(text)))
-    rows = split.select(*docs.columns, "_s", F.posexplode("_s").alias("sentence_no", "sentence")).where(F.col("sentence").rlike(any_term))
-    matches = F.flatten(F.array(*[term_matches(F.col("sentence"), i, kind, core) for i, (kind, core) in enumerate(triggers)]))
+    rows = split.select(*docs.columns, F.explode(F.filter(F.transform("_s", in_context), lambda x: x["sentence"].rlike(any_term))).alias("_c"))
+    matches = F.flatten(F.array(*[term_matches(F.col("_c.sentence"), i, kind, core) for i, (kind, core) in enumerate(triggers)]))
     found = rows.withColumn("_m", F.explode(first_at_each_start(matches)))
-    begin = F.greatest(F.lit(0), F.col("sentence_no") - around)
-    context = F.array_join(F.slice("_s", begin + 1, F.col("sentence_no") - begin + 1 + around), " ")
-    head = F.array_join(F.slice("_s", begin + 1, F.col("sentence_no") - begin), " ")
-    at = F.length(head) + F.when(F.col("sentence_no") > begin, 1).otherwise(0) + F.col("_m.start")
-    whole = found.select(*docs.columns, "sentence_no", "_m.start", "_m.trigger", "_m.term", context.alias("context"), at.alias("_at"))
-    size = F.length("term")
-    marked = F.concat(F.col("context").substr(F.lit(1), F.col("_at")), F.lit(">>>"), F.col("term"), F.lit("<<<"), F.col("context").substr(F.col("_at") + size + 1, F.length("context")))
-    cut = lambda c: F.when(F.length(c) > config.max_context, F.concat(F.substring(c, 1, config.max_context), F.lit("..."))).otherwise(c)
-    squeezed = lambda c: F.regexp_replace(c, r"\s+", " ")
-    return whole.withColumn("marked", cut(squeezed(marked))).withColumn("context", cut(squeezed(F.col("context")))).drop("_at")
+    whole, at, term = F.col("_c.whole"), F.col("_c.head") + F.col("_m.start"), F.col("_m.term")
+    marked = F.concat(whole.substr(F.lit(1), at), F.lit(">>>"), term, F.lit("<<<"), whole.substr(at + F.length(term) + 1, F.length(whole)))
+    return found.select(*docs.columns, F.col("_c.no").alias("sentence_no"), "_m.start", "_m.trigger", "_m.term", "_c.context", cut(squeezed(marked)).alias("marked"))
 
 
 def score_mentions(mentions: DataFrame, doc_type: str = "doc_type") -> DataFrame:
