@@ -26,6 +26,7 @@ from tidemark.functions.storage import cut
 from tidemark.llm.words import words
 
 GROUPS, LEAF, WIDTH, SHARD, SMALL = 40, 32, 1 << 21, 20_000, 48
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _KEYS = "pkey bigint, shard bigint, block int, class binary, size int, rank int, point binary"
 
 
@@ -75,23 +76,31 @@ def may_pair(points: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, i: np.nda
     return keep[(shared >= need) | ((m > 255) & (n > 255))]
 
 
+def partner_limit(sizes: np.ndarray, ranks: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """The largest partner that a row can have as the smaller of a pair, from the words that can follow the common one."""
+    a, b = share
+    return np.minimum(sizes * b // a, (sizes - ranks) * (a + b) // a - sizes)
+
+
 def bounded_pairs(points: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, side: np.ndarray, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of one shard that can be similar enough: an R-tree query of all against all. Rows with different `side`
     pair only with each other; with one side, each pair comes once."""
     two = side.any() and not side.all()
     order = np.lexsort((points.argmax(axis=1), ranks, sizes))
     points, sizes, ranks, side = points[order], sizes[order], ranks[order], side[order]
+    limit = partner_limit(sizes, ranks, share)
+    active = np.flatnonzero(limit >= sizes)
     n = len(sizes)
     begins = np.arange(0, n, LEAF)
     upper = np.maximum.reduceat(points, begins, axis=0)
-    smallest, largest = sizes[begins], sizes[np.minimum(begins + LEAF, n) - 1]
+    smallest = sizes[begins]
     follow = np.maximum.reduceat(sizes - ranks, begins)
     a, b = share
-    for q in range(0, n, 512):
-        rows = np.arange(q, min(q + 512, n))
+    for q in range(0, len(active), 512):
+        rows = active[q : q + 512]
         m = sizes[rows][:, None]
         need = -(-a * (m + smallest[None, :]) // (a + b))
-        open_ = (smallest[None, :] * a <= m * b) & (largest[None, :] * b >= m * a) & (begins[None, :] + LEAF > rows[:, None]) & (np.minimum((sizes - ranks)[rows][:, None], follow[None, :]) >= need)
+        open_ = (smallest[None, :] <= limit[rows][:, None]) & (begins[None, :] + LEAF > rows[:, None]) & (np.minimum((sizes - ranks)[rows][:, None], follow[None, :]) >= need)
         r, node = np.nonzero(open_)
         keep = (np.minimum(points[rows[r]], upper[node]).sum(axis=1, dtype=np.uint16) >= need[r, node]) | (sizes[rows[r]] > 255)
         r, node = r[keep], node[keep]
@@ -99,6 +108,7 @@ def bounded_pairs(points: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, side
             i = np.repeat(rows[r[part : part + 20_000]], LEAF)
             j = (begins[node[part : part + 20_000]][:, None] + np.arange(LEAF)).ravel()
             inside = (j < n) & (j > i)
+            inside[inside] = sizes[j[inside]] <= limit[i[inside]]
             i, j = i[inside], j[inside]
             if two:
                 other = side[i] != side[j]
@@ -109,7 +119,8 @@ def bounded_pairs(points: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, side
 
 
 def shard_pairs(shard: np.ndarray, block: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, points: np.ndarray, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of the same shard and cell that pass the bounds; rows come sorted by shard and cell."""
+    """Pairs of rows of the same shard and cell that pass the bounds; rows come sorted by shard, cell and
+    size, so the first of a pair is the smaller."""
     cell = block >> 1
     begins = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (cell[1:] != cell[:-1])]))
     lengths = np.diff(np.append(begins, len(shard)))
@@ -117,7 +128,7 @@ def shard_pairs(shard: np.ndarray, block: np.ndarray, sizes: np.ndarray, ranks:
     small = np.repeat(lengths <= SMALL, lengths)
     two = np.add.reduceat(block & 1, begins)
     crossed = np.repeat((two > 0) & (two < lengths), lengths)
-    i = np.flatnonzero(small & (left > 1))
+    i = np.flatnonzero(small & (left > 1) & (partner_limit(sizes, ranks, share) >= sizes))
     for d in range(1, SMALL):
         i = i[left[i] > d]
         if not len(i):
@@ -178,39 +189,44 @@ def similar_pairs(df: DataFrame, key: str, text: str, context: str, share: tuple
             texts = batch.column(2).to_numpy(zero_copy_only=False)
             flat, ends = batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64), batch.column(3).offsets.to_numpy()
             ends = ends - ends[0]
-            out: list[list] = [[], [], [], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            counts, sizes, points = np.zeros(len(cls), dtype=np.int64), np.diff(ends), []
             for i, c in enumerate(cls):
                 h = flat[ends[i] : ends[i + 1]]
                 n = len(h)
-                point = np.bincount((h >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
-                point = np.minimum(point, 255).astype(np.uint8).tobytes()
                 times = often[(h % WIDTH).astype(np.int64)]
                 first = np.lexsort((h, times))[: n - (a * n + b - 1) // b + 1]
                 ranks = np.flatnonzero(times[first] > 1)
+                points.append(np.minimum(np.bincount((h >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS), 255).astype(np.uint8))
                 first = first[ranks]
-                if not len(first):
-                    continue
-                of_text = int(texts[i]) & ((1 << 64) - 1)
+                of_text = np.uint64(int(texts[i]) & ((1 << 64) - 1))
                 rows_of_text = int(often[(int(texts[i]) + (1 << 63)) % WIDTH])
-                own = int.from_bytes(c[:4], "big")
-                for rank, word, most in zip(ranks.tolist(), h[first].tolist(), np.minimum(times[first], rows_of_text).tolist()):
-                    shard = ((word * 0x9E3779B97F4A7C15) ^ of_text) & ((1 << 64) - 1)
-                    blocks = -(-most // SHARD)
-                    # rows of one text stay together, so that a pair found in several shards is merged before it is shuffled
-                    pkey = of_text if rows_of_text <= SHARD else shard
-                    mine = own % blocks
-                    for other in range(blocks):
-                        low, high = min(mine, other), max(mine, other)
-                        cell = low * blocks + high
-                        out[0].append(((pkey + cell * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)) - (1 << 63))
-                        out[1].append(shard - (1 << 63))
-                        out[2].append(cell * 2 + (mine == high and low != high))
-                        out[3].append(c)
-                        out[4].append(n)
-                        out[5].append(rank)
-                        out[6].append(point)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()))], names=["pkey", "shard", "block", "class", "size", "rank", "point"])
+                shard = (h[first] * _MIX) ^ of_text
+                blocks = -(-np.minimum(times[first], rows_of_text).astype(np.int64) // SHARD)
+                # rows of one text stay together, so that a pair found in several shards is merged before it is shuffled
+                pkey = np.full(len(first), of_text) if rows_of_text <= SHARD else shard
+                block = np.zeros(len(first), dtype=np.int64)
+                if (blocks > 1).any():
+                    at = np.repeat(np.arange(len(first)), blocks)
+                    other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    mine = int.from_bytes(c[:4], "big") % blocks[at]
+                    low, high = np.minimum(mine, other), np.maximum(mine, other)
+                    cell = low * blocks[at] + high
+                    block = cell * 2 + ((mine == high) & (low != high))
+                    pkey, shard, ranks = pkey[at] + cell.astype(np.uint64) * _MIX, shard[at], ranks[at]
+                counts[i] = len(shard)
+                for column, x in zip(out, (pkey, shard, block, ranks)):
+                    column.append(x)
+            rows = np.repeat(np.arange(len(cls)), counts)
+            if len(rows):
+                pkey, shard, block, ranks = (np.concatenate(x) for x in out)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(pkey.view(np.int64)), pa.array(shard.view(np.int64)), pa.array(block.astype(np.int32)), batch.column(1).take(pa.array(rows)), pa.array(sizes[rows].astype(np.int32)), pa.array(ranks.astype(np.int32)),
+                        pa.array([x.tobytes() for x in points], pa.binary()).take(pa.array(rows)),
+                    ],
+                    names=["pkey", "shard", "block", "class", "size", "rank", "point"],
+                )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def run(part: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -241,9 +257,9 @@ def similar_pairs(df: DataFrame, key: str, text: str, context: str, share: tuple
         if held and sum(map(len, held)):
             yield from run(pa.Table.from_batches(held).combine_chunks())
 
-    made = rows.mapInArrow(classes, "id bigint, class binary, th bigint, words array<bigint>")
+    made = rows.mapInArrow(classes, "id bigint, class binary, th bigint, words array<bigint>").where("class is not null")  # said once, so that all joins share one exchange
     one = made.groupBy("class").agg(F.first("th").alias("th"), F.first("words").alias("words"))
-    keys = one.select(F.lit(0).cast("bigint").alias("id"), "class", "th", "words").mapInArrow(shards, _KEYS).repartition("pkey").sortWithinPartitions("shard", "block")
+    keys = one.select(F.lit(0).cast("bigint").alias("id"), "class", "th", "words").mapInArrow(shards, _KEYS).repartition("pkey").withColumn("cell", F.shiftright("block", 1)).sortWithinPartitions("shard", "cell", "size").drop("cell")
     found = keys.mapInArrow(compare, "x binary, y binary").distinct()
     first = found.join(one.select(F.col("class").alias("x"), F.col("th").alias("tx"), F.col("words").alias("wx")), "x")
     both = first.join(one.select(F.col("class").alias("y"), F.col("th").alias("ty"), F.col("words").alias("wy")), "y").where("tx = ty")
