@@ -474,3 +474,41 @@ def sentiment_governance_adjust(spark: SparkSession, base: str) -> DataFrame:
     label = F.when(softened & (score > -0.1), "neutral").otherwise(c("label"))
     flag = F.when(negative & truly, "confirmed_negative").when(negative & governance, "governance_adjusted").otherwise("standard")
     return _sentiment(spark, base).select("mention_id", label.alias("label"), F.round(score, 6).alias("score"), flag.alias("flag"))
+
+
+# streaming and the whole pipeline
+
+
+@_query("""
+SELECT company, year, doc_type, page, text, count(*) AS occurrence_count, arg_min_null(context, mention_id) AS context, arg_min_null(category_a, mention_id) AS category_a, arg_max_null(semantic_score, mention_id) AS semantic_score, max(confidence_score) AS confidence_score
+FROM mentions GROUP BY company, year, doc_type, page, text""")
+def incremental_replay(spark: SparkSession, base: str) -> DataFrame:
+    """The table read as a stream of files and folded batch by batch: the same as one merge of all rows."""
+    import uuid
+
+    from tidemark.functions.storage import ensure_checkpoint_dir
+    from tidemark.streaming.incremental import KEYS, stream_mentions
+
+    folder = f"{ensure_checkpoint_dir(spark)}/replay-{uuid.uuid4().hex}"
+    wanted = [*KEYS, "mention_id", "context", "category_a", "semantic_score", "confidence_score"]
+    kinds = {f.name: f for f in table(spark, base, "mentions").schema.fields}
+    schema = type(table(spark, base, "mentions").schema)([kinds[n] for n in wanted])
+    return stream_mentions(spark, f"{base}/mentions.parquet*", schema, folder)
+
+
+@_query("SELECT date_trunc('hour', ts) AS begin, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, base: str) -> DataFrame:
+    from tidemark.streaming.incremental import windowed_events
+
+    return windowed_events(table(spark, base, "events", "ts", "event_type", "value")).withColumn("value", F.round("value", 6))
+
+
+@_query()
+def pipeline_index(spark: SparkSession, base: str) -> DataFrame:
+    from tidemark.plans.pipeline import run
+
+    docs = table(spark, base, "documents", "doc_id", "text", "source", "company", "year", "doc_type").where("company is not null")
+    once = table(spark, base, "processed_documents", "source", "total_pages").groupBy("source").agg(F.max("total_pages").alias("total_pages"))
+    first = docs.groupBy("source").agg(F.min("doc_id").alias("doc_id")).join(once, "source")  # a filing's pages count once
+    filings = docs.join(first, ["source", "doc_id"], "left").withColumn("source", F.concat_ws("#", "source", "doc_id"))
+    return run(filings).index.select("company", "year", "total_refs", F.round("ai_adoption_index", 6).alias("ai_adoption_index"))
