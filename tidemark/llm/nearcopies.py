@@ -7,7 +7,7 @@ Pairs that survive this bound are verified on the words themselves.
 One tree over all records would sit in one task, so records are put into shards first: ordered by how rare they are in the
 whole collection, the first words of a record must include one of any record similar enough, so each of them (if any other
 record has it) is a shard, for each text. Shards that could be large are cut into blocks, and each pair of blocks is a task of
-its own. Records with equal text and equal word sets are one class: classes are compared, and their members joined at the end.
+its own. Records with equal text and context are one class: classes are compared, and their members joined at the end.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.storage import cut
 from tidemark.llm.words import words
 
 GROUPS, LEAF, WIDTH, SHARD, SMALL = 40, 32, 1 << 21, 20_000, 48
@@ -151,6 +150,7 @@ def similar_pairs(df: DataFrame, key: str, text: str, context: str, share: tuple
     """
     a, b = share
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"), F.col(context).alias("c")).where("t is not null and c is not null")
+    rows = rows.withColumn("class", F.unhex(F.md5(F.concat_ws("\x00", "t", "c"))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(WIDTH, dtype=np.int64)
@@ -170,24 +170,23 @@ def similar_pairs(df: DataFrame, key: str, text: str, context: str, share: tuple
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            at, cls, th, hs = [], [], [], []
+            at, th, hs = [], [], []
             for i, t, h in records([batch.column(1).to_pylist(), batch.column(2).to_pylist()], least_words):
                 of_text = _hash("\x00" + t)
                 if often[of_text % WIDTH] > 1:
                     at.append(i)
                     th.append(of_text - (1 << 63))
                     hs.append(h.view(np.int64))
-                    cls.append(xxhash.xxh3_128_digest(of_text.to_bytes(8, "big") + h.tobytes()))
             if at:
                 ends = np.concatenate([[0], np.cumsum([len(h) for h in hs])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(cls, pa.binary()), pa.array(th, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hs)))], names=["id", "class", "th", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(3).take(pa.array(at, pa.int64())), pa.array(th, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hs)))], names=["class", "th", "words"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            cls = batch.column(1).to_pylist()
-            texts = batch.column(2).to_numpy(zero_copy_only=False)
-            flat, ends = batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64), batch.column(3).offsets.to_numpy()
+            cls = batch.column(0).to_pylist()
+            texts = batch.column(1).to_numpy(zero_copy_only=False)
+            flat, ends = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64), batch.column(2).offsets.to_numpy()
             ends = ends - ends[0]
             out: list[list[np.ndarray]] = [[], [], [], []]
             counts, sizes, points = np.zeros(len(cls), dtype=np.int64), np.diff(ends), []
@@ -222,7 +221,7 @@ def similar_pairs(df: DataFrame, key: str, text: str, context: str, share: tuple
                 pkey, shard, block, ranks = (np.concatenate(x) for x in out)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(pkey.view(np.int64)), pa.array(shard.view(np.int64)), pa.array(block.astype(np.int32)), batch.column(1).take(pa.array(rows)), pa.array(sizes[rows].astype(np.int32)), pa.array(ranks.astype(np.int32)),
+                        pa.array(pkey.view(np.int64)), pa.array(shard.view(np.int64)), pa.array(block.astype(np.int32)), batch.column(0).take(pa.array(rows)), pa.array(sizes[rows].astype(np.int32)), pa.array(ranks.astype(np.int32)),
                         pa.array([x.tobytes() for x in points], pa.binary()).take(pa.array(rows)),
                     ],
                     names=["pkey", "shard", "block", "class", "size", "rank", "point"],
@@ -257,15 +256,16 @@ def similar_pairs(df: DataFrame, key: str, text: str, context: str, share: tuple
         if held and sum(map(len, held)):
             yield from run(pa.Table.from_batches(held).combine_chunks())
 
-    made = rows.mapInArrow(classes, "id bigint, class binary, th bigint, words array<bigint>").where("class is not null")  # said once, so that all joins share one exchange
-    one = made.groupBy("class").agg(F.first("th").alias("th"), F.first("words").alias("words"))
-    keys = one.select(F.lit(0).cast("bigint").alias("id"), "class", "th", "words").mapInArrow(shards, _KEYS).repartition("pkey").withColumn("cell", F.shiftright("block", 1)).sortWithinPartitions("shard", "cell", "size").drop("cell")
+    made = rows.mapInArrow(classes, "class binary, th bigint, words array<bigint>").where("class is not null")  # said once, so that all joins share one exchange
+    one = made.groupBy("class").agg(F.first("th").alias("th"), F.first("words").alias("words"), F.count("*").alias("n"))
+    keys = one.select("class", "th", "words").mapInArrow(shards, _KEYS).repartition("pkey").withColumn("cell", F.shiftright("block", 1)).sortWithinPartitions("shard", "cell", "size").drop("cell")
     found = keys.mapInArrow(compare, "x binary, y binary").distinct()
     first = found.join(one.select(F.col("class").alias("x"), F.col("th").alias("tx"), F.col("words").alias("wx")), "x")
     both = first.join(one.select(F.col("class").alias("y"), F.col("th").alias("ty"), F.col("words").alias("wy")), "y").where("tx = ty")
     common = F.size(F.array_intersect("wx", "wy"))
     alike = both.where(common * b >= a * (F.size("wx") + F.size("wy") - common)).select("x", "y")
-    members = cut(made.select("class", "id"))
+    members = rows.select("class", "id")
+    copied = members.join(one.where("n > 1").select("class"), "class")
     across = alike.join(members.select(F.col("class").alias("x"), F.col("id").alias("i")), "x").join(members.select(F.col("class").alias("y"), F.col("id").alias("j")), "y").select("i", "j")
-    within = members.select("class", F.col("id").alias("i")).join(members.select("class", F.col("id").alias("j")), "class").where("i < j").select("i", "j")
+    within = copied.select("class", F.col("id").alias("i")).join(copied.select("class", F.col("id").alias("j")), "class").where("i < j").select("i", "j")
     return across.unionByName(within).where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
