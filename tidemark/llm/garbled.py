@@ -191,9 +191,9 @@ class WordJudge:
     def _broken(word: str, other: str) -> bool:
         """A capital with an accent, or a sign, stands behind a small letter, and the re-reading has a small letter there."""
         for i, c in enumerate(word[: len(other)]):
-            if ord(c) <= 0x7F or not i or i + 1 >= len(word):
+            if ord(c) <= 0x7F or not i or i + 1 >= len(word) and not c.isupper():
                 continue
-            if word[i - 1].islower() and word[i + 1].islower() and (c.isupper() or not c.isalnum() and c not in "’‘-–­·" and c.isprintable()) and (other[i].islower() or other[i] == "’"):
+            if word[i - 1].islower() and (i + 1 >= len(word) or word[i + 1].islower()) and (c.isupper() or not c.isalnum() and c not in "’‘-–­·" and c.isprintable()) and (other[i].islower() or other[i] == "’"):
                 return True
         return False
 

@@ -276,6 +276,7 @@ def train(counts: CountTable, sample: list[tuple[str, str, str]], seed: int = 11
                 continue
             cases.append((editor.line_features(shown, flat[: len(flat) // 2], flat[len(flat) // 2 :], False, company, doc_type), 1))
     known = sorted(w for w, n in words.items() if len(w) > 3 and w.isalpha() and editor.count(w) >= 8)
+    conjunctions = sorted(CONJUNCTIONS)
     inverse: dict[str, list[str]] = defaultdict(list)
     for odd, was in MISREAD.items():
         inverse[was].append(odd.strip())
@@ -290,6 +291,8 @@ def train(counts: CountTable, sample: list[tuple[str, str, str]], seed: int = 11
             for gap in rng.sample(["\n", " \n", "\r\n", "\n ", "\n\n", " "], 2):
                 cut = rng.randint(2, len(w) - 2)
                 cases.append((editor.join_features("", w[:cut], rng.choice("---¬"), gap, w[cut:]), 1))
+            # suspended hyphens, with whole words and with parts of words before them
+            cases.append((editor.join_features("", w[: rng.randint(2, len(w))], "-", rng.choice([" ", " ", "\n"]), rng.choice(conjunctions)), 0))
     for w, n in words.items():
         forms, features = editor.candidates(w)
         if len(forms) > 1 and (n > 1 or not any(c in "015689!@" for c in w)):
