@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,11 +101,11 @@ def leaked_passages(docs: DataFrame, key: str, text: str, items: DataFrame, item
     found = []
     for b in range(blocks):
         block = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("i", "p"), F.lit(blocks)) == b)
-        held = TestPassages([(r["i"], r["p"]) for r in block.collect()], span)
+        shared = docs.sparkSession.sparkContext.broadcast(TestPassages([(r["i"], r["p"]) for r in block.collect()], span))
 
-        def look(frames: Iterator[pd.DataFrame], held: TestPassages = held) -> Iterator[pd.DataFrame]:
+        def look(frames: Iterator[pd.DataFrame], shared: Broadcast = shared) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                hits = list(held.find(frame["t"].tolist()))
+                hits = list(shared.value.find(frame["t"].tolist()))
                 if hits:
                     at, item, run = (np.concatenate(x) for x in zip(*hits))
                     yield pd.DataFrame({key: frame["k"].to_numpy()[at], item_key: item, "longest": run}).groupby([key, item_key], as_index=False).max()
