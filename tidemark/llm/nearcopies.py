@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.words import words
 
-GROUPS, LEAF, WIDTH, SHARD, SMALL = 40, 32, 1 << 21, 20_000, 48
+GROUPS, LEAF, WIDTH, SHARD, SMALL, QUERIES, DENSE = 40, 32, 1 << 21, 20_000, 24, 128, 500
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _KEYS = "pkey bigint, shard bigint, block int, class binary, size int, rank int, point binary"
 
@@ -89,32 +89,54 @@ def bounded_pairs(points: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, side
     points, sizes, ranks, side = points[order], sizes[order], ranks[order], side[order]
     limit = partner_limit(sizes, ranks, share)
     active = np.flatnonzero(limit >= sizes)
-    n = len(sizes)
+    n, wide = len(sizes), np.uint8 if sizes.max() <= 255 else np.uint16
+    if n < DENSE:  # a tree of few nodes: the sizes alone leave few enough pairs
+        partners = np.maximum(0, np.searchsorted(sizes, limit[active], side="right") - active - 1)
+        i = np.repeat(active, partners)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(partners) - partners, partners)
+        if two:
+            i, j = i[side[i] != side[j]], j[side[i] != side[j]]
+        good = may_pair(points, sizes, ranks, i, j, share)
+        if len(good):
+            yield order[i[good]], order[j[good]]
+        return
     begins = np.arange(0, n, LEAF)
-    upper = np.maximum.reduceat(points, begins, axis=0)
-    smallest = sizes[begins]
-    follow = np.maximum.reduceat(sizes - ranks, begins)
+    upper = np.maximum.reduceat(points, begins, axis=0).T.astype(wide)
+    coordinates = np.ascontiguousarray(points.T).astype(wide)
     a, b = share
-    for q in range(0, len(active), 512):
-        rows = active[q : q + 512]
-        m = sizes[rows][:, None]
-        need = -(-a * (m + smallest[None, :]) // (a + b))
-        open_ = (smallest[None, :] <= limit[rows][:, None]) & (begins[None, :] + LEAF > rows[:, None]) & (np.minimum((sizes - ranks)[rows][:, None], follow[None, :]) >= need)
-        r, node = np.nonzero(open_)
-        keep = (np.minimum(points[rows[r]], upper[node]).sum(axis=1, dtype=np.uint16) >= need[r, node]) | (sizes[rows[r]] > 255)
-        r, node = r[keep], node[keep]
-        for part in range(0, len(r), 20_000):
-            i = np.repeat(rows[r[part : part + 20_000]], LEAF)
-            j = (begins[node[part : part + 20_000]][:, None] + np.arange(LEAF)).ravel()
-            inside = (j < n) & (j > i)
-            inside[inside] = sizes[j[inside]] <= limit[i[inside]]
-            i, j = i[inside], j[inside]
-            if two:
-                other = side[i] != side[j]
-                i, j = i[other], j[other]
-            good = may_pair(points, sizes, ranks, i, j, share)
-            if len(good):
-                yield order[i[good]], order[j[good]]
+    least = np.where(sizes > 255, 0, -(-2 * a * sizes // (a + b)))  # the partner is at least as large
+    for q in range(0, len(active), QUERIES):
+        rows = active[q : q + QUERIES]
+        own = coordinates[:, rows]
+        first, last = rows[0] // LEAF, -(-int(np.searchsorted(sizes, limit[rows].max(), side="right")) // LEAF)
+        if last <= first:
+            continue
+        open_ = first + np.flatnonzero((_minima(own, upper[:, first:last]) >= least[rows][:, None]).any(axis=0))
+        if not len(open_):
+            continue
+        # neighbouring open nodes are compared as one block
+        for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1):
+            for node in range(run[0], run[-1] + 1, 64):
+                begin, end = node * LEAF, min(min(node + 64, run[-1] + 1) * LEAF, n)
+                r, j = np.nonzero(_minima(own, coordinates[:, begin:end]) >= least[rows][:, None])
+                i, j = rows[r], j + begin
+                inside = (j > i) & (sizes[j] <= limit[i])
+                if two:
+                    inside &= side[i] != side[j]
+                i, j = i[inside], j[inside]
+                good = may_pair(points, sizes, ranks, i, j, share)
+                if len(good):
+                    yield order[i[good]], order[j[good]]
+
+
+def _minima(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The summed minima of the coordinates of all of `own` with all of `others`; both have a row for each coordinate."""
+    total = np.zeros((own.shape[1], others.shape[1]), dtype=own.dtype)
+    part = np.empty_like(total)
+    for x, y in zip(own, others):
+        np.minimum(x[:, None], y[None, :], out=part)
+        total += part
+    return total
 
 
 def shard_pairs(shard: np.ndarray, block: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, points: np.ndarray, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
