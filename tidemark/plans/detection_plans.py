@@ -9,17 +9,17 @@ from tidemark import vocabulary as v
 from tidemark.functions import predicates as p
 from tidemark.functions import text as t
 from tidemark.operators import classify, detect
-from tidemark.sources.tables import table
+from tidemark.sources.tables import spread, table
 
 _COLUMNS = ("doc_id", "text", "company", "year", "doc_type")
 
 
 def _found(spark: SparkSession, base: str) -> DataFrame:
-    return detect.detect_terms(table(spark, base, "documents", *_COLUMNS), "doc_id", "text").drop("text")
+    return detect.detect_terms(spread(table(spark, base, "documents", *_COLUMNS)), "doc_id", "text").drop("text")
 
 
 def _contexts(spark: SparkSession, base: str) -> DataFrame:
-    rows = table(spark, base, "mentions", "mention_id", "text", "context", "doc_type").where("text is not null and context is not null")
+    rows = spread(table(spark, base, "mentions", "mention_id", "text", "context", "doc_type")).where("text is not null and context is not null")
     return rows.withColumn("context", F.regexp_replace(t.unmarked(F.col("context")), r"\s+", " "))
 
 

@@ -30,3 +30,10 @@ def table(spark: SparkSession, base: str, name: str, *columns: str) -> DataFrame
     ship(spark)
     df = spark.read.parquet(f"{base}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its scan has fewer partitions than the cluster has cores (one small file); a larger table
+    stays as it is read, so nothing is shuffled at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
