@@ -77,6 +77,15 @@ def test_scan_noise_is_found_and_repaired(spark):
     assert repaired_scans(rows.limit(0), "id", "context", "company", "doc_type", sound.limit(0)).count() == 0
 
 
+def test_copies_of_a_scan_do_not_vote_for_their_noise(spark):
+    _, sound = _sound(spark)
+    clean = "The research lab connected the forecast engine in the northern plants. Our pricing team measured a quality dashboard."
+    copies = [(1000 + i, clean.replace("forecast", "forecasf"), "Acme Group", "Annual Report") for i in range(200)]  # a third of the rows
+    rows = sound.unionByName(spark.createDataFrame(copies, sound.schema))
+    got = {r.id: r.repaired for r in repaired_scans(rows, "id", "context", "company", "doc_type", sound, 300).collect()}
+    assert got == {i: clean for i, *_ in copies}
+
+
 # 3
 
 

@@ -6,7 +6,7 @@ their features are the edited characters with their neighbours and how often the
 collection. A second set of weights judges lines, and stretches shaped like a page number or header, as page furniture by their
 shape, their position on the page and whether they repeat the company or kind of filing. Both are trained here: on a bounded
 sample of sound contexts (`sample_rows`, in an order that a hash of the id fixes), into which the usual damage is put.
-The counts cover every word of every row, in a table of fixed size.
+The counts cover every word of every distinct context, in a table of fixed size: copies of a context do not vote for its noise.
 """
 
 from __future__ import annotations
@@ -50,8 +50,8 @@ def counted(text: str) -> list[str]:
 
 
 def word_counts(df: DataFrame, text: str) -> CountTable:
-    """How often each word and each hyphenated compound occurs in all rows."""
-    return count_words(df, [text], counted)
+    """How often each word and each hyphenated compound occurs in all distinct texts."""
+    return count_words(df.select(text).distinct(), [text], counted)
 
 
 class Perceptron:
@@ -244,10 +244,13 @@ def train(counts: CountTable, sample: list[tuple[str, str, str]], seed: int = 11
     rng, editor = random.Random(seed), Editor(counts)
     words: Counter[str] = Counter()
     cases: list[tuple[list[list[str]], int]] = []
+    read: set[str] = set()
     for text, company, doc_type in sample:
         if not text:
             continue
-        words.update(WORD.findall(BREAK.sub(" ", text)))
+        if text not in read:
+            read.add(text)
+            words.update(WORD.findall(BREAK.sub(" ", text)))
         for m in BREAK.finditer(text):  # sound hyphens before white space
             if m.group(5).lower() in CONJUNCTIONS or editor.count(m.group(2) + m.group(5)) == 0:
                 cases.append((editor.join_features(*m.groups()), 0))
@@ -297,7 +300,7 @@ def train(counts: CountTable, sample: list[tuple[str, str, str]], seed: int = 11
         forms, features = editor.candidates(w)
         if len(forms) > 1 and (n > 1 or not any(c in "015689!@" for c in w)):
             lead = max(editor.count(f) for f in forms[1:])
-            if editor.count(w) * 16 > lead:  # a much rarer word in the sample may be noise itself
+            if n >= 8 or editor.count(w) * 16 > lead:  # a much rarer word in the sample may be noise itself, unless it recurs there
                 cases.append((features, 0))
     editor.model.train(cases, rounds)
     editor.known.clear()
