@@ -86,6 +86,15 @@ def test_copies_of_a_scan_do_not_vote_for_their_noise(spark):
     assert got == {i: clean for i, *_ in copies}
 
 
+def test_two_misreadings_in_a_word_are_repaired_at_every_count(spark):
+    for size, share in ((400, 15), (1600, 60)):
+        texts, sound = _sound(spark, size)
+        hit = [(10_000 + i, t) for i, t in enumerate([t for t in texts if "customer" in t][:share])]
+        noisy = spark.createDataFrame([(i, t.replace("customer", "cusfomcr"), "Acme Group", "Annual Report") for i, t in hit], sound.schema)
+        got = {r.id: r.repaired for r in repaired_scans(sound.unionByName(noisy), "id", "context", "company", "doc_type", sound, 300).collect()}
+        assert got == dict(hit)
+
+
 # 3
 
 

@@ -128,7 +128,7 @@ class Editor:
         single = self.edits(word)
         pool = [(w, ((i, op),)) for w, i, op in single]
         if mixed or not any(self.count(w) > 4 * mine + 4 for w, _, _ in single):
-            if len(word) > 4 and mine < 50:
+            if len(word) > 4:
                 pool += [(w2, ((i, op), (j, op2))) for w, i, op in single for w2, j, op2 in self.edits(w) if op.split(">")[0] != op2.split(">")[1]]
         seen = set(forms)
         for form, done in pool:
