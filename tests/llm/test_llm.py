@@ -185,6 +185,18 @@ def test_garbled_spans_decode_exactly(spark):
     assert garbled_fields(df.limit(0), "id", ["context"]).count() == 0
 
 
+def test_copies_and_rare_words_of_a_wrong_code_page_are_found(spark):
+    wrong = lambda t: t.encode("cp1252").decode("cp850")
+    copied, rare = "Die Kapazitäten wachsen", ["Der Rückbau läuft", "un goût fort", "la adopción avanza", "une leçon utile", "dafür"]
+    rows = [(i, wrong(copied)) for i in range(100)] + [(100 + i, wrong(t)) for i, t in enumerate(rare)]
+    rows += [(150 + i, wrong("más")) for i in range(50)] + [(200 + i, f"más {i}") for i in range(12)]
+    sound = ["comissões e milhões", "Alþingi", "Verbrauch in kWh/m²a", "10 m³h", "Umsatz¹ und Gewinn³", "groß, größer", "São Paulo", "müssen"]
+    rows += [(300 + i, t) for i, t in enumerate(sound)]
+    got = {r.id: r.repaired for r in garbled_fields(spark.createDataFrame(rows, "id long, context string"), "id", ["context"]).collect()}
+    want = {i: copied for i in range(100)} | {100 + i: t for i, t in enumerate(rare)} | {150 + i: "más" for i in range(50)}
+    assert got == want
+
+
 # 7
 
 

@@ -6,18 +6,20 @@ that filings contain. Only those spans are decoded, again and again until none i
 
 Single bytes read in the wrong single-byte encoding leave no such structure. They are found by word: a word with characters
 that are letters only in another encoding, or one whose re-reading is far more frequent in the whole collection than the word
-itself. The counts come from all rows, in a table of fixed size, so what is sent to the tasks has a bound.
+itself. The counts come from all distinct values, so that copies do not vote for their own damage, in a table of fixed size, so
+what is sent to the tasks has a bound.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm.codepoints import from_codes, row_of, to_codes
 from tidemark.llm.counts import CountTable, count_words
@@ -27,6 +29,10 @@ MULTIBYTE = ("cp1252", "mac_roman", "cp850", "cp437")
 SINGLE_BYTE = ("mac_roman", "cp850")
 _WORD = re.compile(r"[^\s]*[^\x00-\x7f\s][^\s]*")
 _EDGES = ".,;:!?()[]<>\"'"
+# Letters and numbers that no English, French, German or Spanish word holds between small letters, each with
+# the letters that may follow it there for all that: õ in Portuguese, þ (read for ç) in Icelandic.
+_FOREIGN = {"õ": "e", "þ": "bcdefghijklmnpqrstvwxyzáéíóúýæöð", "³": "", "¹": "", "¾": "", "ˆ": ""}
+_METRES = re.compile(r"(?:^|[^a-z])[cdkm]?m$")
 
 
 @lru_cache
@@ -130,8 +136,9 @@ def high_words(text: str | None) -> list[str]:
 
 
 def word_counts(df: DataFrame, columns: list[str]) -> CountTable:
-    """How often each word beyond ASCII occurs in `columns` of all rows."""
-    return count_words(df, columns, high_words)
+    """How often each word beyond ASCII occurs in the distinct values of `columns`."""
+    values = [df.select(F.col(c).alias("value")).where(F.octet_length("value") > F.length("value")) for c in columns]
+    return count_words(reduce(DataFrame.unionAll, values).distinct(), ["value"], high_words)
 
 
 @lru_cache
@@ -187,14 +194,27 @@ class WordJudge:
         """The re-reading stands in quotation marks where the word has other signs."""
         return any(other.startswith(a) and other.rstrip(_EDGES).endswith(b) and len(other) > 4 and word[0] != a for a, b in self.PAIRS)
 
+    @staticmethod
+    def _foreign(word: str, i: int) -> bool:
+        """The character at i, between small letters or behind a first capital, belongs to no word of the languages of
+        filings; exponents of units do."""
+        following = word[i + 1 : i + 2]
+        if not (word[i - 1].islower() or word[i - 1].isupper() and not word[: i - 1][-1:].isalpha()):
+            return False
+        unit = word[i] in "¹³" and not word[i + 2 : i + 3].isalpha() and _METRES.search(word[:i])
+        return word[i] in _FOREIGN and following.islower() and following not in _FOREIGN[word[i]] and not unit
+
     @staticmethod
     def _broken(word: str, other: str) -> bool:
-        """A capital with an accent, or a sign, stands behind a small letter, and the re-reading has a small letter there."""
+        """A capital with an accent, a sign, or a letter of no language of filings stands behind a small letter, and the
+        re-reading has a small letter there."""
         for i, c in enumerate(word[: len(other)]):
             if ord(c) <= 0x7F or not i or i + 1 >= len(word) and not c.isupper():
                 continue
             if word[i - 1].islower() and (i + 1 >= len(word) or word[i + 1].islower()) and (c.isupper() or not c.isalnum() and c not in "’‘-–­·" and c.isprintable()) and (other[i].islower() or other[i] == "’"):
                 return True
+            if other[i].islower() and WordJudge._foreign(word, i):
+                return True
         return False
 
 
