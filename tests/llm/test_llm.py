@@ -43,6 +43,19 @@ def test_ngram_counts_match_brute_force():
     assert got == {g: (occurrences[g], holders[g]) for g in occurrences}
 
 
+def test_ngrams_of_all_lengths_are_counted(spark):
+    from tidemark.sources.tables import table
+
+    occurrences, holders = Counter(), Counter()
+    for r in table(spark, SF, "mentions", "detection_method").where("detection_method is not null").collect():
+        terms = detection_terms(r[0])
+        grams = [(n, " | ".join(terms[i : i + n])) for n in range(1, len(terms) + 1) for i in range(len(terms) - n + 1)]
+        occurrences.update(grams)
+        holders.update(set(grams))
+    got = {(r.n, r.ngram): (r.occurrences, r.records) for r in queries.p1_ngrams(spark, SF).collect()}
+    assert got == {g: (occurrences[g], holders[g]) for g in occurrences} and max(n for n, _ in got) > 3
+
+
 def test_terms_of_awkward_values(spark):
     assert detection_terms("A | reasons= x ,Y,, x|") == ["a", "x", "y", "x"] and category_terms("  ") == []
     rows = spark.createDataFrame([(" B1 ", "r"), ("b1", "r"), (None, "r"), ("", "r"), (LONG, "r")], "category_a string, records string")

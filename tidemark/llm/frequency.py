@@ -1,7 +1,8 @@
 """Problem 1: frequency of every value, term and n-gram, by suffix arrays with common-prefix intervals.
 
 Every Arrow batch is a block of the collection. Equal values are collapsed to one weighted record first, so a value that a
-third of all rows hold costs one record. Over the block's records a suffix array is sorted, cut at `n_max` terms; runs of
+third of all rows hold costs one record. Over the block's records, those of like length together, a suffix array is sorted,
+as deep as the longest record or cut at `n_max` terms where only shorter n-grams are wanted; runs of
 neighbours with a common prefix of d terms are the intervals, one for each d-gram, and their weight is its number of
 occurrences. A second order, by record and then by suffix, has the repeats inside a record side by side: each neighbour pair
 with a common prefix of d terms takes one from the record count of its d-gram. The blocks' counts are summed by key in one
@@ -45,12 +46,13 @@ def _common_prefix(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.logical_and.accumulate(same, axis=1).sum(axis=1)]).astype(np.int64)
 
 
-def block_counts(records: list[list[str]], weights: np.ndarray, n_max: int) -> list[tuple[int, list[str], int, int]]:
-    """(n, n-gram, occurrences, records) of every n-gram up to `n_max` terms; weights[i] rows hold records[i]."""
+def block_counts(records: list[list[str]], weights: np.ndarray, n_max: int | None = None) -> list[tuple[int, list[str], int, int]]:
+    """(n, n-gram, occurrences, records) of every n-gram, up to `n_max` terms if given; weights[i] rows hold records[i]."""
     lengths = np.array([len(r) for r in records], dtype=np.int64)
     flat = [t for r in records for t in r]
     if not flat:
         return []
+    n_max = int(lengths.max()) if n_max is None else min(n_max, int(lengths.max()))
     names, codes = np.unique(np.array(flat, dtype=object), return_inverse=True)
     owner = np.repeat(np.arange(len(records)), lengths)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(flat))  # terms to the record's end
@@ -81,8 +83,16 @@ def block_counts(records: list[list[str]], weights: np.ndarray, n_max: int) -> l
     return out
 
 
-def term_frequency(df: DataFrame, fields: dict[str, Callable[[str], list[str]]], n_max: int = 1) -> DataFrame:
-    """Occurrences and records of every n-gram (1 to `n_max` terms) of every field over all rows.
+def by_length(records: list[list[str]], weights: np.ndarray) -> Iterator[tuple[list[list[str]], np.ndarray]]:
+    """The records in classes of like length, so that a long one does not deepen the suffixes of all."""
+    sizes = np.array([len(r).bit_length() for r in records], dtype=np.int64)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        yield [records[i] for i in at], weights[at]
+
+
+def term_frequency(df: DataFrame, fields: dict[str, Callable[[str], list[str]]], n_max: int | None = 1) -> DataFrame:
+    """Occurrences and records of every n-gram (1 to `n_max` terms, without a bound if None) of every field over all rows.
 
     `fields` maps a string column to the function that splits a value into its terms. Null, empty and blank values give no
     terms; an empty table gives no rows. Columns besides `fields` are ignored, whatever their names.
@@ -95,7 +105,8 @@ def term_frequency(df: DataFrame, fields: dict[str, Callable[[str], list[str]]],
             for field, split in fields.items():
                 values = pc.value_counts(batch.column(field).drop_null())
                 held, weights = values.field(0).to_pylist(), values.field(1).to_numpy(zero_copy_only=False)
-                rows += [(field, *x) for x in block_counts([split(v) for v in held], weights, n_max)]
+                for records, held_by in by_length([split(v) for v in held], weights):
+                    rows += [(field, *x) for x in block_counts(records, held_by, n_max)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
 

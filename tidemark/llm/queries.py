@@ -36,7 +36,7 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p1_ngrams(spark: SparkSession, base: str) -> DataFrame:
-    counts = term_frequency(table(spark, base, "mentions", "detection_method"), {"detection_method": detection_terms}, n_max=3)
+    counts = term_frequency(table(spark, base, "mentions", "detection_method"), {"detection_method": detection_terms}, n_max=None)
     return counts.select("n", F.array_join("ngram", " | ").alias("ngram"), "occurrences", "records")
 
 
