@@ -153,6 +153,15 @@ def same(a, b):
     return a == b
 
 
+def test_codes_of_both_axes_are_counted(spark, duck):
+    want = {}
+    for axis in "ab":
+        held = [(x or "").strip(" ").upper() for (x,) in duck.execute(f"select category_{axis} from mentions").fetchall()]
+        want |= {(axis, code): held.count(code) for (code,) in duck.execute(f"select code from taxonomy_codes where axis = '{axis}'").fetchall()}
+    got = {(r.axis, r.code): r.n for r in catalogue.QUERIES["keyword_lookup"](spark, SF).collect()}
+    assert got == want and got["b", "B1"] > 0
+
+
 FAST = [n for n in catalogue.ORACLE if n not in ("detect_with_negation", "doc_counters", "tri_axis_unclassified", "classify_axis_b", "classify_eu", "context_window", "dedup_reduction")]
 
 

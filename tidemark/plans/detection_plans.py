@@ -108,8 +108,9 @@ def doc_counters(spark: SparkSession, base: str) -> DataFrame:
 
 def keyword_lookup(spark: SparkSession, base: str) -> DataFrame:
     codes = table(spark, base, "taxonomy_codes", "code", "axis", "label")
-    mentions = table(spark, base, "mentions", "category_a").select(F.upper(F.trim("category_a")).alias("code"))
-    return codes.join(mentions.groupBy("code").agg(F.count("*").alias("n")), "code", "left").select("code", "axis", "label", F.coalesce("n", F.lit(0)).alias("n"))
+    held = F.array(*[F.struct(F.lit(axis).alias("axis"), F.upper(F.trim(f"category_{axis}")).alias("code")) for axis in ("a", "b")])
+    mentions = table(spark, base, "mentions", "category_a", "category_b").select(F.inline(held))
+    return codes.join(mentions.groupBy("axis", "code").agg(F.count("*").alias("n")), ["axis", "code"], "left").select("code", "axis", "label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (detect_hard_soft, context_window, detect_with_negation, mention_only_filter, fp_filter, corrupted_context, validator_check, robotics_class, rpa_class, negation_class, esg_like, feature_counts, confidence_strength, tri_axis_unclassified, doc_counters, keyword_lookup)}
