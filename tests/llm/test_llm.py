@@ -126,6 +126,16 @@ def test_consistent_forms(spark):
     assert consistent_text(rows.limit(0), "id", "text").count() == 0
 
 
+def test_variation_selectors_tags_and_letterlike_signs(spark):
+    cases = [
+        ("re\ufe00port \ufe0fof", "report of", True), ("da\U000e0061\U000e007fta", "data", True), ("t\u210ee \U0001d461\u210e\U0001d452", "the the", True), ("fo\U000e0101rm", "form", True),
+        ("I \u2764\ufe0f it, 1\ufe0f\u20e3, \u00ae\ufe0f", None, False), ("\U0001f3f4\U000e0067\U000e0062\U000e007f and \U0001f469\u200d\U0001f4bb", None, False), ("\u2122 \u2116 \u00b2 \u2103 \u2126 \U00020000", None, False),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "id long, text string")
+    got = {r.id: (r.normal, r.changed) for r in consistent_text(rows, "id", "text").collect()}
+    assert got == {i: (t if normal is None else normal, changed) for i, (t, normal, changed) in enumerate(cases)}
+
+
 # 4
 
 

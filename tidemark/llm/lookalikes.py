@@ -26,10 +26,11 @@ LOOKALIKES = {
     "α": "a", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "ι": "i", "κ": "k", "ϲ": "c", "ϳ": "j", "γ": "y", "η": "n", "τ": "t", "ω": "w", "χ": "x", "ε": "e",
     "ɡ": "g", "ɑ": "a", "ı": "i", "ӕ": "æ", "Ӕ": "Æ", "ո": "n", "ս": "u", "օ": "o", "հ": "h",
 }
-# Characters that show nothing, and blanks other than U+0020 and line breaks.
-INVISIBLE = [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0x3164, 0xFEFF, 0xFFA0]
+# Characters that show nothing (the default-ignorable ranges of Unicode), and blanks other than U+0020 and line breaks.
+INVISIBLE = [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0x3164, *range(0xFE00, 0xFE10), 0xFEFF, 0xFFA0, *range(0xFFF0, 0xFFF9), *range(0x1BCA0, 0x1BCA4), *range(0x1D173, 0x1D17B), *range(0xE0000, 0xE1000)]
 BLANKS = [0x09, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
-TOP = 0x20000
+TOP = 0xE1000
+SCRIPTS = 0x20000  # letters from here on are ideographs and have no Latin form
 
 
 @lru_cache
@@ -43,16 +44,16 @@ def tables() -> dict[str, np.ndarray]:
         count[c], stands[c] = 0, True
     for c in BLANKS:
         first[c], stands[c] = 0x20, True
-    for c in range(0x80, TOP):
+    for c in range(0x80, SCRIPTS):
         form = unicodedata.decomposition(chr(c))
-        if form.startswith(("<wide>", "<font>", "<compat>")) and (plain := unicodedata.normalize("NFKC", chr(c))).isalnum() and not 0x2100 <= c < 0x2190 or 0xFF01 <= c <= 0xFF5E:
+        if form.startswith(("<wide>", "<font>", "<compat>")) and (plain := unicodedata.normalize("NFKC", chr(c))).isalnum() and (form.startswith("<font>") or not 0x2100 <= c < 0x2190) or 0xFF01 <= c <= 0xFF5E:
             plain = unicodedata.normalize("NFKC", chr(c))
-            stands[c] = plain.isalnum() and (c >= 0xFB00 or c >= 0x1D400) and not 0xFE70 <= c <= 0xFEFC
+            stands[c] = plain.isalnum() and (c >= 0xFB00 or form.startswith("<font>")) and not 0xFE70 <= c <= 0xFEFC
             if stands[c] or 0xFF01 <= c <= 0xFF5E:
                 first[c], count[c] = len(pool), len(plain)
                 pool += map(ord, plain)
     letter = np.zeros(TOP, dtype=np.int8)  # 1 Latin, 2 another script
-    for c in range(0x41, TOP):
+    for c in range(0x41, SCRIPTS):
         if chr(c).isalpha():
             letter[c] = 1 if unicodedata.name(chr(c), "").startswith(("LATIN", "FULLWIDTH LATIN")) else 2
     alike = np.zeros(TOP, dtype=np.int64)
@@ -90,6 +91,18 @@ def in_latin_word(codes: np.ndarray, offsets: np.ndarray, t: dict[str, np.ndarra
     return (t["alike"][low] > 0) & inner & latin[word]
 
 
+def in_emoji(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which invisible characters belong to an emoji: joiners, variation selectors and tags directly behind a pictograph."""
+    begins = np.zeros(len(codes) + 1, dtype=bool)
+    begins[offsets] = True
+    held = (codes == 0x200D) | (codes == 0xFE0E) | (codes == 0xFE0F) | (codes >= 0xE0020) & (codes <= 0xE007F)
+    at = np.where(held & ~begins[:-1], 0, np.arange(len(codes)))
+    base = codes[np.maximum.accumulate(at)]  # the character before a run of them
+    keycap = np.isin(base, [0x23, 0x2A, *range(0x30, 0x3A)]) & (np.concatenate([codes[1:], [0]]) == 0x20E3)
+    sign = (base >= 0x2190) & (base < 0x3300) | (base >= 0x1F000) & (base < 0x20000) | np.isin(base, [0xA9, 0xAE, 0x203C, 0x2049, 0x2122, 0x2139])
+    return held & ~begins[:-1] & (sign | keycap)
+
+
 def ordinary_forms(codes: np.ndarray, offsets: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The codes in one consistent form, their offsets, and which rows held a character that stands for another; positions
     in `skip` (garbled text) stay and do not count."""
@@ -100,7 +113,7 @@ def ordinary_forms(codes: np.ndarray, offsets: np.ndarray, skip: np.ndarray) ->
     low = np.minimum(codes, TOP - 1).astype(np.int64)
     far = codes >= TOP
     free = ~skip & ~far
-    joiner = (codes == 0x200D) & np.concatenate([[False], codes[:-1] >= 0x2600])  # holds emoji together
+    joiner = in_emoji(codes, offsets)
     stands = t["stands"][low] & free & ~joiner
     alike = in_latin_word(codes, offsets, t) & free
     begins = np.zeros(len(codes) + 1, dtype=bool)
