@@ -257,6 +257,46 @@ def test_large_shards_are_cut_into_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_spread_texts_blocks_and_links_match_brute_force(spark):
+    from tidemark.llm.nearcopies import similar_counts
+
+    rng = random.Random(21)
+    columns = [f"k{i}" for i in range(64)]
+    rows = [(i, rng.choice(["AI ", "ai", "llm"]), " ".join(rng.sample(columns, 46))) for i in range(150)]
+    rows += [(1000 + i, "ai", rows[i][2]) for i in range(0, 30, 2)] + [(2000 + i, "ai", rows[3][2]) for i in range(40)]  # copies, one in many rows
+    rows += [(3000, "ai", " ".join(f"long{i}" for i in range(70_000))), (3001, "ai", " ".join(f"long{i}" for i in range(80_000)))]
+    held = {i: (t.strip(" ").lower(), set(c.split())) for i, t, c in rows}
+    want = {(a, b) for a, b in combinations(sorted(held), 2) if held[a][0] == held[b][0] and len(held[a][1] & held[b][1]) * 10 >= 7 * len(held[a][1] | held[b][1])}
+    links = Counter(x for p in want for x in p)
+    first = {}
+    for i in sorted(held):
+        first.setdefault((held[i][0], frozenset(held[i][1])), i)
+    df = spark.createDataFrame([*rows, rows[0]], "id long, text string, context string")
+    for sizes in ({}, {"local": 60, "shard_rows": 7}):
+        got = [(r.a, r.b) for r in similar_pairs(df, "id", "text", "context", **sizes).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        counts = {r.id: (r.class_id, r.links) for r in similar_counts(df, "id", "text", "context", **sizes).collect()}
+        assert counts == {i: (first[held[i][0], frozenset(held[i][1])], links[i]) for i in held}
+
+
+def test_forest_of_several_levels_loses_no_pair():
+    import numpy as np
+
+    from tidemark.llm.nearcopies import GROUPS, bounded_pairs, points_of
+
+    rng = np.random.default_rng(3)
+    sets = [rng.choice(300, size=rng.integers(30, 60), replace=False) for _ in range(40)]
+    sets = [np.unique(np.concatenate([s[: len(s) - 4], rng.choice(300, size=4)])) for s in sets for _ in range(20)]
+    sets.sort(key=len)
+    sizes = np.array([len(s) for s in sets])
+    hashes = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    points = points_of(np.concatenate([hashes[s] for s in sets]), np.repeat(np.arange(len(sets)), sizes), len(sets))
+    assert points.shape == (len(sets), GROUPS)
+    got = [p for i, j in bounded_pairs(np.zeros(len(sets), dtype=np.int64), sizes, np.zeros(len(sets), dtype=np.int64), points, (7, 10)) for p in zip(i.tolist(), j.tolist())]
+    want = {(i, j) for i, j in combinations(range(len(sets)), 2) if (common := len(np.intersect1d(sets[i], sets[j]))) * 10 >= 7 * (sizes[i] + sizes[j] - common)}
+    assert len(got) == len(set(got)) and want <= set(got) and len(got) < len(sets) * (len(sets) - 1) // 4
+
+
 # 8
 
 

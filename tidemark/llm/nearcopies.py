@@ -1,13 +1,17 @@
 """Problem 7: records whose word sets nearly agree, by a count-vector R-tree.
 
 A record's words are hashed into GROUPS groups; the counts are a point. Two records share at most the sum of the smaller
-counts of each group, and a node of the tree can be passed over if the sum of the minima with its upper corner is too small.
-Pairs that survive this bound are verified on the words themselves.
+counts of each group, so a node of the tree is passed over if the sum of the minima with its upper corner is too small. Pairs
+that survive this bound are verified on the words themselves.
 
-One tree over all records would sit in one task, so records are put into shards first: ordered by how rare they are in the
-whole collection, the first words of a record must include one of any record similar enough, so each of them (if any other
-record has it) is a shard, for each text. Shards that could be large are cut into blocks, and each pair of blocks is a task of
-its own. Records with equal text and context are one class: classes are compared, and their members joined at the end.
+Only records of one text are compared, so the rows of a text meet in one task. There a text's rare words make its trees: in an
+order from rare to frequent, the first words of a record must include one of any record similar enough, so each of them is a
+tree of the records that have it among their first. All trees of a task, of two records or of many thousands, are one forest
+of arrays with the same leaves, inner nodes and query; no size is treated otherwise.
+
+A text with more than `local` rows does not fit one task: its trees are spread by word over the cluster, large ones cut into
+blocks with a task for each pair of blocks, and its pairs verified by joins. Rows with equal text and context are one class:
+classes are compared, and their members follow at the end.
 """
 
 from __future__ import annotations
@@ -22,57 +26,42 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.storage import cut
 from tidemark.llm.words import words
 
-GROUPS, LEAF, WIDTH, SHARD, SMALL, QUERIES, DENSE = 40, 32, 1 << 21, 20_000, 24, 128, 500
+GROUPS, LEAF, FAN, LOCAL, CHUNK, SHARD, WIDTH, STEP = 40, 16, 8, 32_000, 32_000, 20_000, 1 << 21, 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_KEYS = "pkey bigint, shard bigint, block int, class binary, size int, rank int, point binary"
-
-
-def _hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
+_TOP = 65_535  # counts are kept up to here; of two records with more words the sum says nothing
 
 _chunks: dict[str, tuple[int, ...]] = {}
 
 
-def records(columns: list[list], least_words: int) -> Iterator[tuple[int, str, np.ndarray]]:
-    """(row, trimmed and lower-cased text, sorted hashes of the distinct words) of the rows that can have partners.
+def word_hashes(context: str | None) -> np.ndarray:
+    """The sorted hashes of a context's distinct words.
 
     No word holds white space, so the words of each distinct chunk between white space are hashed once in a worker; the store
     is emptied when it is full.
     """
-    for i, (text, context) in enumerate(zip(*columns)):
-        if text is None or not context:
-            continue
-        chunks = set(context.split())
-        new = chunks.difference(_chunks)
-        if new:
-            if len(_chunks) + len(new) > 500_000:
-                _chunks.clear()
-                new = chunks
-            for c in new:
-                _chunks[c] = tuple(_hash(w) for w in words(c))
-        held = set(chain.from_iterable(map(_chunks.__getitem__, chunks)))
-        if len(held) >= least_words:
-            h = np.fromiter(held, dtype=np.uint64, count=len(held))
-            h.sort()
-            yield i, text.strip(" ").lower(), h
-
-
-def may_pair(points: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, i: np.ndarray, j: np.ndarray, share: tuple[int, int]) -> np.ndarray:
-    """The numbers of the pairs (i, j) of one shard that can be similar enough: by size, by how many words can follow the common one, and by the
-    summed minima of the counts (counts of large records are cut at 255, so of two such the sum says nothing)."""
-    a, b = share
-    m, n = sizes[i], sizes[j]
-    need = -(-a * (m + n) // (a + b))
-    keep = np.flatnonzero((m * b >= a * n) & (n * b >= a * m) & (np.minimum(m - ranks[i], n - ranks[j]) >= need))
-    i, j, m, n, need = i[keep], j[keep], m[keep], n[keep], need[keep]
-    shared = np.zeros(len(i), dtype=np.int64)
-    for part in range(0, len(i), 50_000):
-        cut_ = slice(part, part + 50_000)
-        shared[cut_] = np.minimum(points[i[cut_]], points[j[cut_]]).sum(axis=1, dtype=np.uint16)
-    return keep[(shared >= need) | ((m > 255) & (n > 255))]
+    chunks = set(context.split()) if context else set()
+    new = chunks.difference(_chunks)
+    if new:
+        if len(_chunks) + len(new) > 300_000:
+            _chunks.clear()
+            new = chunks
+        for c in new:
+            _chunks[c] = tuple(xxhash.xxh3_64_intdigest(w) for w in words(c))
+    held = set(chain.from_iterable(map(_chunks.__getitem__, chunks)))
+    h = np.fromiter(held, dtype=np.uint64, count=len(held))
+    h.sort()
+    return h
+
+
+def points_of(flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """The count vector of each of `n` records."""
+    at = owner * GROUPS + (flat >> np.uint64(40)).astype(np.int64) % GROUPS
+    counts = np.bincount(at, minlength=n * GROUPS).reshape(n, GROUPS)
+    most = int(counts.max()) if counts.size else 0
+    return np.minimum(counts, _TOP).astype(np.uint8 if most < 256 else np.uint16)
 
 
 def partner_limit(sizes: np.ndarray, ranks: np.ndarray, share: tuple[int, int]) -> np.ndarray:
@@ -81,213 +70,351 @@ def partner_limit(sizes: np.ndarray, ranks: np.ndarray, share: tuple[int, int])
     return np.minimum(sizes * b // a, (sizes - ranks) * (a + b) // a - sizes)
 
 
-def bounded_pairs(points: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, side: np.ndarray, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of one shard that can be similar enough: an R-tree query of all against all. Rows with different `side`
-    pair only with each other; with one side, each pair comes once."""
-    two = side.any() and not side.all()
-    order = np.lexsort((points.argmax(axis=1), ranks, sizes))
-    points, sizes, ranks, side = points[order], sizes[order], ranks[order], side[order]
-    limit = partner_limit(sizes, ranks, share)
-    active = np.flatnonzero(limit >= sizes)
-    n, wide = len(sizes), np.uint8 if sizes.max() <= 255 else np.uint16
-    if n < DENSE:  # a tree of few nodes: the sizes alone leave few enough pairs
-        partners = np.maximum(0, np.searchsorted(sizes, limit[active], side="right") - active - 1)
-        i = np.repeat(active, partners)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(partners) - partners, partners)
-        if two:
-            i, j = i[side[i] != side[j]], j[side[i] != side[j]]
-        good = may_pair(points, sizes, ranks, i, j, share)
-        if len(good):
-            yield order[i[good]], order[j[good]]
-        return
-    begins = np.arange(0, n, LEAF)
-    upper = np.maximum.reduceat(points, begins, axis=0).T.astype(wide)
-    coordinates = np.ascontiguousarray(points.T).astype(wide)
-    a, b = share
-    least = np.where(sizes > 255, 0, -(-2 * a * sizes // (a + b)))  # the partner is at least as large
-    for q in range(0, len(active), QUERIES):
-        rows = active[q : q + QUERIES]
-        own = coordinates[:, rows]
-        first, last = rows[0] // LEAF, -(-int(np.searchsorted(sizes, limit[rows].max(), side="right")) // LEAF)
-        if last <= first:
-            continue
-        open_ = first + np.flatnonzero((_minima(own, upper[:, first:last]) >= least[rows][:, None]).any(axis=0))
-        if not len(open_):
-            continue
-        # neighbouring open nodes are compared as one block
-        for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1):
-            for node in range(run[0], run[-1] + 1, 64):
-                begin, end = node * LEAF, min(min(node + 64, run[-1] + 1) * LEAF, n)
-                r, j = np.nonzero(_minima(own, coordinates[:, begin:end]) >= least[rows][:, None])
-                i, j = rows[r], j + begin
-                inside = (j > i) & (sizes[j] <= limit[i])
-                if two:
-                    inside &= side[i] != side[j]
-                i, j = i[inside], j[inside]
-                good = may_pair(points, sizes, ranks, i, j, share)
-                if len(good):
-                    yield order[i[good]], order[j[good]]
-
-
-def _minima(own: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """The summed minima of the coordinates of all of `own` with all of `others`; both have a row for each coordinate."""
-    total = np.zeros((own.shape[1], others.shape[1]), dtype=own.dtype)
-    part = np.empty_like(total)
-    for x, y in zip(own, others):
-        np.minimum(x[:, None], y[None, :], out=part)
-        total += part
-    return total
-
-
-def shard_pairs(shard: np.ndarray, block: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, points: np.ndarray, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of the same shard and cell that pass the bounds; rows come sorted by shard, cell and
-    size, so the first of a pair is the smaller."""
-    cell = block >> 1
-    begins = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (cell[1:] != cell[:-1])]))
-    lengths = np.diff(np.append(begins, len(shard)))
-    left = np.repeat(begins + lengths, lengths) - np.arange(len(shard))  # rows to the end of the shard
-    small = np.repeat(lengths <= SMALL, lengths)
-    two = np.add.reduceat(block & 1, begins)
-    crossed = np.repeat((two > 0) & (two < lengths), lengths)
-    i = np.flatnonzero(small & (left > 1) & (partner_limit(sizes, ranks, share) >= sizes))
-    for d in range(1, SMALL):
-        i = i[left[i] > d]
-        if not len(i):
-            break
-        at = i[~crossed[i] | ((block[i] & 1) != (block[i + d] & 1))]
-        good = may_pair(points, sizes, ranks, at, at + d, share)
-        if len(good):
-            yield at[good], at[good] + d
-    for s, n in zip(begins[lengths > SMALL], lengths[lengths > SMALL]):
-        for i, j in bounded_pairs(points[s : s + n], sizes[s : s + n], ranks[s : s + n], block[s : s + n] & 1, share):
-            yield s + i, s + j
-
-
-def similar_pairs(df: DataFrame, key: str, text: str, context: str, share: tuple[int, int] = (7, 10), least_words: int = 30) -> DataFrame:
-    """(a, b), a < b: the rows with equal trimmed, lower-cased `text` whose distinct words of `context` have a Jaccard
-    similarity of at least share[0] / share[1], both with at least `least_words` distinct words.
+class Forest:
+    """R-trees over rows that come sorted by tree and, in it, by size; one for each tree number.
 
-    Rows with a null text or context or fewer words have no partners; equal rows are partners; equal ids are taken as one
-    row; other columns are ignored; an empty table gives no rows. Nothing is capped.
+    Level 0 has nodes of LEAF neighbouring rows, each level above nodes of FAN neighbours below it, until a tree has one node.
+    A node holds its upper corner, its smallest size and its last row.
     """
-    a, b = share
-    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"), F.col(context).alias("c")).where("t is not null and c is not null")
-    rows = rows.withColumn("class", F.unhex(F.md5(F.concat_ws("\x00", "t", "c"))))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(WIDTH, dtype=np.int64)
-        for batch in batches:
-            for _, t, h in records([batch.column(1).to_pylist(), batch.column(2).to_pylist()], least_words):
-                total[(h % WIDTH).astype(np.int64)] += 1
-                total[_hash("\x00" + t) % WIDTH] += 1
-        held = np.flatnonzero(total)
-        if len(held):
-            yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], names=["slot", "n"])
-
-    sums = rows.mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()  # at most WIDTH rows
-    table = np.zeros(WIDTH, dtype=np.int32)
-    table[sums["slot"].to_numpy()] = sums["n"].to_numpy()
-    shared = df.sparkSession.sparkContext.broadcast(table)
+    def __init__(self, tree: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, points: np.ndarray, share: tuple[int, int], side: np.ndarray | None = None):
+        self.sizes, self.ranks, self.points, self.share = sizes, ranks, points, share
+        self.limit = partner_limit(sizes, ranks, share)
+        self.levels: list[dict[str, np.ndarray]] = []
+        self.roots: list[tuple[int, np.ndarray, np.ndarray]] = []  # (level, rows, node of each)
+        begins = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]])) if len(tree) else np.empty(0, dtype=np.int64)
+        lengths = np.diff(np.append(begins, len(tree)))
+        self.side = None
+        if side is not None:
+            two = np.add.reduceat(side, begins) if len(begins) else begins
+            self.side = np.where(np.repeat((two > 0) & (two < lengths), lengths), side, -1)  # -1: pairs of all rows
+        trees = np.flatnonzero(lengths > 1)
+        rows_of = lambda t: np.repeat(begins[t], lengths[t]) + _ramp(lengths[t])
+        below = rows_of(trees)  # what the next level is made of, by tree
+        counts, upper, low, last = lengths[trees], points, sizes, np.arange(len(tree))
+        fan = LEAF
+        while len(trees):
+            made = -(-counts // fan)
+            starts = np.repeat(np.cumsum(counts) - counts, made) + _ramp(made) * fan
+            size = np.diff(np.append(starts, len(below)))
+            node = {"child": below, "first": starts, "n": size, "upper": np.maximum.reduceat(upper[below], starts, axis=0), "low": low[below[starts]], "last": last[below[starts + size - 1]]}
+            self.levels.append(node)
+            one = made == 1
+            offsets = np.cumsum(made) - made
+            rows = rows_of(trees[one])
+            root = np.repeat(offsets[one], lengths[trees[one]])
+            live = self.limit[rows] >= sizes[rows]
+            self.roots.append((len(self.levels) - 1, rows[live], root[live]))
+            below = np.repeat(offsets[~one], made[~one]) + _ramp(made[~one])
+            trees, counts, upper, low, last, fan = trees[~one], made[~one], node["upper"], node["low"], node["last"], FAN
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows (i, j) of one tree, i before j, that the bounds let pass; every such pair comes once a tree."""
+        a, b = self.share
+        stack = [(level, rows[k : k + STEP], nodes[k : k + STEP]) for level, rows, nodes in self.roots for k in range(0, len(rows), STEP)]
+        while stack:
+            level, r, v = stack.pop()
+            node = self.levels[level]
+            keep = np.flatnonzero((node["last"][v] > r) & (node["low"][v] <= self.limit[r]))
+            r, v = r[keep], v[keep]
+            m = self.sizes[r]
+            need = np.where(m > _TOP, 0, -(-a * (m + np.maximum(m, node["low"][v])) // (a + b)))
+            open_ = np.flatnonzero(_minima(self.points[r], node["upper"][v]) >= need)
+            r, v = r[open_], v[open_]
+            n = node["n"][v]
+            for part in _parts(n, STEP):
+                i = np.repeat(r[part], n[part])
+                below = node["child"][np.repeat(node["first"][v[part]], n[part]) + _ramp(n[part])]
+                if level:
+                    stack.append((level - 1, i, below))
+                    continue
+                fits = np.flatnonzero((below > i) & (self.sizes[below] <= self.limit[i]))
+                i, j = i[fits], below[fits]
+                if self.side is not None:
+                    apart = (self.side[i] < 0) | (self.side[i] != self.side[j])
+                    i, j = i[apart], j[apart]
+                good = self._alike(i, j)
+                if len(good):
+                    yield i[good], j[good]
+
+    def _alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The numbers of the pairs that can be similar enough: by how many words can follow the common one, and by the summed
+        minima of their own counts."""
+        a, b = self.share
+        m, n = self.sizes[i], self.sizes[j]
+        need = -(-a * (m + n) // (a + b))
+        keep = np.flatnonzero(np.minimum(m - self.ranks[i], n - self.ranks[j]) >= need)
+        i, j = i[keep], j[keep]
+        return keep[(_minima(self.points[i], self.points[j]) >= need[keep]) | ((m[keep] > _TOP) & (n[keep] > _TOP))]
+
+
+def _minima(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The summed minima of the coordinates of each row of x with that of y."""
+    return np.minimum(x, y).sum(axis=1, dtype=np.uint16 if x.dtype == np.uint8 else np.int64)
+
+
+def _ramp(counts: np.ndarray) -> np.ndarray:
+    """0, 1, 2 ... for each count, one behind the other."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _parts(counts: np.ndarray, most: int) -> list[slice]:
+    """Slices of neighbours whose counts sum to about `most`."""
+    if not len(counts):
+        return []
+    edges = np.searchsorted(np.cumsum(counts), np.arange(most, int(counts.sum()), most), side="left") + 1
+    edges = np.unique(np.concatenate([[0], edges, [len(counts)]]))
+    return [slice(int(x), int(y)) for x, y in zip(edges[:-1], edges[1:])]
+
+
+def bounded_pairs(tree: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, points: np.ndarray, share: tuple[int, int], side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows of one tree that can be similar enough. Where a tree has rows of both sides, only these pair."""
+    return Forest(tree, sizes, ranks, points, share, side).pairs()
+
+
+class TextClasses:
+    """The classes of some whole texts: their words, coded so that rarer words of a text have smaller codes."""
+
+    def __init__(self, text: np.ndarray, hashes: list[np.ndarray], share: tuple[int, int]):
+        self.share, self.sizes = share, np.array([len(h) for h in hashes], dtype=np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        flat = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
+        owner = np.repeat(np.arange(len(hashes)), self.sizes)
+        self.points = points_of(flat, owner, len(hashes))
+        names, codes, counts = np.unique(flat ^ (text * _MIX)[owner], return_inverse=True, return_counts=True)
+        order = np.argsort(counts, kind="stable")
+        code = np.empty(len(names), dtype=np.uint64)
+        code[order] = np.arange(len(names), dtype=np.uint64)
+        packed = (owner.astype(np.uint64) << np.uint64(32)) | code[codes]
+        packed.sort()
+        self.codes, self.often = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64), counts[order]
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Classes (i, j) of one text that are similar enough, each pair once."""
+        a, b = self.share
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        place = np.arange(len(owner)) - self.ends[:-1][owner]
+        first = np.flatnonzero((place < (self.sizes - -(-a * self.sizes // b) + 1)[owner]) & (self.often[self.codes] > 1))
+        tree, row, rank = self.codes[first], owner[first], place[first]
+        order = np.lexsort((self.sizes[row], tree))
+        tree, row, rank = tree[order], row[order], rank[order]
+        held, waiting = [], 0
+        for i, j in bounded_pairs(tree, self.sizes[row], rank, self.points[row], self.share):
+            held.append((row[i], row[j], tree[i]))
+            waiting += len(i)
+            if waiting > 20 * STEP:
+                yield from self._verified(*map(np.concatenate, zip(*held)))
+                held, waiting = [], 0
+        if held:
+            yield from self._verified(*map(np.concatenate, zip(*held)))
+
+    def _verified(self, i: np.ndarray, j: np.ndarray, tree: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The similar pairs among candidates. A pair counts only from the tree of its first common word, so that pairs found
+        in several trees come once, although not all candidates are held at the same time."""
+        a, b = self.share
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        order = np.lexsort((tree, j, i))
+        i, j, tree = i[order], j[order], tree[order]
+        new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        i, j, tree = i[new], j[new], tree[new]
+        m, n = self.sizes[i], self.sizes[j]
+        for part in _parts(m + n, 10 * STEP):
+            x, y, sx, sy = i[part], j[part], m[part], n[part]
+            number = np.arange(len(x), dtype=np.uint64) << np.uint64(32)
+            of = lambda z, s: np.repeat(number, s) | self.codes[np.repeat(self.ends[z], s) + _ramp(s)].astype(np.uint64)
+            both = np.concatenate([of(x, sx), of(y, sy)])
+            both.sort()
+            common = both[1:][both[1:] == both[:-1]]
+            pair = (common >> np.uint64(32)).astype(np.int64)
+            shared = np.bincount(pair, minlength=len(x))
+            smallest = np.full(len(x), -1, dtype=np.int64)
+            smallest[pair[::-1]] = (common[::-1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            good = (shared * (a + b) >= a * (sx + sy)) & (smallest == tree[part])
+            if good.any():
+                yield x[good], y[good]
+
+
+def whole_texts(batches: Iterator[pa.RecordBatch], column: str, least: int) -> Iterator[pa.Table]:
+    """Tables of at least `least` rows (the last may be smaller) that end where `column`, by which rows are sorted, changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) < least:
+            continue
+        part = pa.Table.from_batches(held).combine_chunks()
+        value = part.column(column).to_numpy()
+        other = np.flatnonzero(value != value[-1])
+        if len(other):
+            yield part.slice(0, int(other[-1]) + 1)
+            part = part.slice(int(other[-1]) + 1)
+        held = part.to_batches()
+    if sum(map(len, held)):
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _compare_texts(share: tuple[int, int], least_words: int, expand: bool, chunk: int):
+    """For rows (th, id, c) sorted by text: id pairs, or one row for each id with its class and its number of links."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_texts(batches, "th", chunk):
+            texts, ids = part.column("th").to_numpy().view(np.uint64), part.column("id").to_numpy()
+            order = np.argsort(ids, kind="stable")  # so that a class's members come sorted, its representative first
+            known: dict[tuple[int, str], int] = {}
+            hashes, text, member, of = [], [], [], []
+            contexts = part.column("c").to_pylist()
+            for r in order.tolist():
+                key = (int(texts[r]), contexts[r])
+                k = known.get(key)
+                if k is None:
+                    h = word_hashes(contexts[r])
+                    k = known[key] = len(hashes) if len(h) >= least_words else -1
+                    if k >= 0:
+                        hashes.append(h)
+                        text.append(texts[r])
+                if k >= 0:
+                    member.append(ids[r])
+                    of.append(k)
+            if not hashes:
+                continue
+            of = np.array(of)
+            by = np.argsort(of, kind="stable")
+            of, member = of[by], np.array(member)[by]
+            once = np.concatenate([[True], (of[1:] != of[:-1]) | (member[1:] != member[:-1])])
+            of, member = of[once], member[once]
+            n = np.bincount(of, minlength=len(hashes))
+            begin = np.cumsum(n) - n
+            links, rows = n - 1, np.arange(len(hashes))
+            inner = np.flatnonzero(n > 1)
+            found = chain(TextClasses(np.array(text, dtype=np.uint64), hashes, share).pairs(), [(inner, inner)] if expand and len(inner) else [])
+            for i, j in found:
+                if not expand:
+                    links = links + np.bincount(i, weights=n[j], minlength=len(rows)).astype(np.int64) + np.bincount(j, weights=n[i], minlength=len(rows)).astype(np.int64)
+                    continue
+                # row by row of the first class, so that what is made at once has a bound
+                left = np.repeat(i, n[i])
+                x, right = begin[left] + _ramp(n[i]), np.repeat(j, n[i])
+                for piece in _parts(n[right], 5 * STEP):
+                    size = n[right[piece]]
+                    u, w = member[np.repeat(x[piece], size)], member[np.repeat(begin[right[piece]], size) + _ramp(size)]
+                    keep = (u < w) if i is j else (u != w)
+                    if keep.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, w)[keep]), pa.array(np.maximum(u, w)[keep])], names=["a", "b"])
+            if not expand:
+                yield pa.RecordBatch.from_arrays([pa.array(member), pa.array(member[begin[of]]), pa.array(links[of])], names=["id", "class_id", "links"])
+
+    return compare
+
+
+def _spread_classes(rows: DataFrame, share: tuple[int, int], least_words: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(class_a, class_b) of similar classes and (class, id, ...) of members, for texts too large for a task."""
+    a, b = share
+    rows = rows.withColumn("class", F.unhex(F.md5(F.concat_ws("\x00", F.col("th").cast("string"), "c"))))
+    one = rows.groupBy("class").agg(F.first("th").alias("th"), F.first("c").alias("c"), F.count("*").alias("n"))
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
         for batch in batches:
-            at, th, hs = [], [], []
-            for i, t, h in records([batch.column(1).to_pylist(), batch.column(2).to_pylist()], least_words):
-                of_text = _hash("\x00" + t)
-                if often[of_text % WIDTH] > 1:
-                    at.append(i)
-                    th.append(of_text - (1 << 63))
-                    hs.append(h.view(np.int64))
+            hs = [word_hashes(c) for c in batch.column("c").to_pylist()]
+            at = [i for i, h in enumerate(hs) if len(h) >= least_words]
             if at:
-                ends = np.concatenate([[0], np.cumsum([len(h) for h in hs])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(3).take(pa.array(at, pa.int64())), pa.array(th, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hs)))], names=["class", "th", "words"])
+                ends = np.concatenate([[0], np.cumsum([len(hs[i]) for i in at])]).astype(np.int32)
+                taken = batch.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([taken.column("class"), taken.column("th"), taken.column("n"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([hs[i].view(np.int64) for i in at])))], names=["class", "th", "n", "words"])
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made = cut(one.mapInArrow(classes, "class binary, th bigint, n bigint, words array<bigint>"))
+    slots = made.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(WIDTH)).cast("int").alias("slot")).agg(F.least(F.count("*"), F.lit(2**31 - 1)).cast("int").alias("n"))
+    sums = slots.toArrow()  # at most WIDTH rows: an order from rare to frequent, the same in all tasks, is all that is needed
+    table = np.zeros(WIDTH, dtype=np.int32)
+    table[sums["slot"].to_numpy()] = sums["n"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            cls = batch.column(0).to_pylist()
-            texts = batch.column(1).to_numpy(zero_copy_only=False)
-            flat, ends = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64), batch.column(2).offsets.to_numpy()
-            ends = ends - ends[0]
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            counts, sizes, points = np.zeros(len(cls), dtype=np.int64), np.diff(ends), []
-            for i, c in enumerate(cls):
-                h = flat[ends[i] : ends[i + 1]]
-                n = len(h)
-                times = often[(h % WIDTH).astype(np.int64)]
-                first = np.lexsort((h, times))[: n - (a * n + b - 1) // b + 1]
-                ranks = np.flatnonzero(times[first] > 1)
-                points.append(np.minimum(np.bincount((h >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS), 255).astype(np.uint8))
-                first = first[ranks]
-                of_text = np.uint64(int(texts[i]) & ((1 << 64) - 1))
-                rows_of_text = int(often[(int(texts[i]) + (1 << 63)) % WIDTH])
-                shard = (h[first] * _MIX) ^ of_text
-                blocks = -(-np.minimum(times[first], rows_of_text).astype(np.int64) // SHARD)
-                # rows of one text stay together, so that a pair found in several shards is merged before it is shuffled
-                pkey = np.full(len(first), of_text) if rows_of_text <= SHARD else shard
-                block = np.zeros(len(first), dtype=np.int64)
-                if (blocks > 1).any():
-                    at = np.repeat(np.arange(len(first)), blocks)
-                    other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                    mine = int.from_bytes(c[:4], "big") % blocks[at]
-                    low, high = np.minimum(mine, other), np.maximum(mine, other)
-                    cell = low * blocks[at] + high
-                    block = cell * 2 + ((mine == high) & (low != high))
-                    pkey, shard, ranks = pkey[at] + cell.astype(np.uint64) * _MIX, shard[at], ranks[at]
-                counts[i] = len(shard)
-                for column, x in zip(out, (pkey, shard, block, ranks)):
-                    column.append(x)
-            rows = np.repeat(np.arange(len(cls)), counts)
-            if len(rows):
-                pkey, shard, block, ranks = (np.concatenate(x) for x in out)
+            cls = batch.column("class").to_pylist()
+            texts = batch.column("th").to_numpy().view(np.uint64)
+            flat, ends = batch.column("words").flatten().to_numpy().view(np.uint64), batch.column("words").offsets.to_numpy()
+            sizes, ends = np.diff(ends), ends - ends[0]
+            owner = np.repeat(np.arange(len(cls)), sizes)
+            points = points_of(flat, owner, len(cls)).astype("<u2")
+            times = often[(flat.view(np.int64) % WIDTH).astype(np.int64)]
+            order = np.lexsort((flat, times, owner))
+            place = np.arange(len(flat)) - ends[:-1][owner]
+            first = np.flatnonzero((place < (sizes - -(-a * sizes // b) + 1)[owner]) & (times[order] > 1))
+            row, rank, times = owner[first], place[first], times[order][first]
+            shard = (flat[order][first] * _MIX) ^ texts[row]
+            blocks = -(-times.astype(np.int64) // shard_rows)
+            at = np.repeat(np.arange(len(row)), blocks)
+            other = _ramp(blocks)
+            number = np.array([int.from_bytes(c[:4], "big") for c in cls], dtype=np.int64)
+            mine = number[row[at]] % blocks[at]
+            low, high = np.minimum(mine, other), np.maximum(mine, other)
+            cell = low * blocks[at] + high
+            side = ((mine == high) & (low != high)).astype(np.int8)
+            row, rank, shard = row[at], rank[at], shard[at] + cell.astype(np.uint64) * _MIX
+            if len(row):
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(pkey.view(np.int64)), pa.array(shard.view(np.int64)), pa.array(block.astype(np.int32)), batch.column(0).take(pa.array(rows)), pa.array(sizes[rows].astype(np.int32)), pa.array(ranks.astype(np.int32)),
-                        pa.array([x.tobytes() for x in points], pa.binary()).take(pa.array(rows)),
-                    ],
-                    names=["pkey", "shard", "block", "class", "size", "rank", "point"],
+                    [pa.array(shard.view(np.int64)), pa.array(side), batch.column("class").take(pa.array(row)), pa.array(sizes[row].astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array([p.tobytes() for p in points], pa.binary()).take(pa.array(row))],
+                    names=["shard", "side", "class", "size", "rank", "point"],
                 )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def run(part: pa.Table) -> Iterator[pa.RecordBatch]:
-            part = part.combine_chunks()
-            numbers = {n: part.column(n).to_numpy().astype(np.int64) for n in ("shard", "block", "size", "rank")}
-            points = np.frombuffer(b"".join(part.column("point").to_pylist()), dtype=np.uint8).reshape(-1, GROUPS)
-            names = part.column("class")
-            for i, j in shard_pairs(numbers["shard"], numbers["block"], numbers["size"], numbers["rank"], points, share):
+        for part in whole_texts(batches, "shard", 100_000):
+            points = np.frombuffer(b"".join(part.column("point").to_pylist()), dtype="<u2").reshape(-1, GROUPS)
+            size, rank = part.column("size").to_numpy().astype(np.int64), part.column("rank").to_numpy().astype(np.int64)
+            names = part.column("class").combine_chunks()
+            for i, j in bounded_pairs(part.column("shard").to_numpy(), size, rank, points, share, part.column("side").to_numpy()):
                 x, y = names.take(pa.array(i)), names.take(pa.array(j))
                 swap = pc.greater(x, y)
-                x, y = pc.if_else(swap, y, x), pc.if_else(swap, x, y)
-                pairs = pa.table({"x": x, "y": y}).filter(pc.not_equal(x, y)).combine_chunks()
-                yield from pairs.to_batches()
+                yield from pa.table({"x": pc.if_else(swap, y, x), "y": pc.if_else(swap, x, y)}).filter(pc.not_equal(x, y)).combine_chunks().to_batches()
 
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) < 100_000:
-                continue
-            part = pa.Table.from_batches(held).combine_chunks()
-            s, c = part.column("shard").to_numpy(), part.column("block").to_numpy() >> 1
-            whole = np.flatnonzero((s != s[-1]) | (c != c[-1]))
-            if len(whole):
-                end = int(whole[-1]) + 1
-                yield from run(part.slice(0, end))
-                part = part.slice(end)
-            held = part.to_batches()
-        if held and sum(map(len, held)):
-            yield from run(pa.Table.from_batches(held).combine_chunks())
-
-    made = rows.mapInArrow(classes, "class binary, th bigint, words array<bigint>").where("class is not null")  # said once, so that all joins share one exchange
-    one = made.groupBy("class").agg(F.first("th").alias("th"), F.first("words").alias("words"), F.count("*").alias("n"))
-    keys = one.select("class", "th", "words").mapInArrow(shards, _KEYS).repartition("pkey").withColumn("cell", F.shiftright("block", 1)).sortWithinPartitions("shard", "cell", "size").drop("cell")
-    found = keys.mapInArrow(compare, "x binary, y binary").distinct()
-    first = found.join(one.select(F.col("class").alias("x"), F.col("th").alias("tx"), F.col("words").alias("wx")), "x")
-    both = first.join(one.select(F.col("class").alias("y"), F.col("th").alias("ty"), F.col("words").alias("wy")), "y").where("tx = ty")
+    keyed = made.select("class", "th", "words").mapInArrow(keys, "shard bigint, side tinyint, class binary, size int, rank int, point binary")
+    found = keyed.repartition("shard").sortWithinPartitions("shard", "size").mapInArrow(compare, "x binary, y binary").distinct()
+    first = found.join(made.select(F.col("class").alias("x"), F.col("th").alias("tx"), F.col("words").alias("wx")), "x")
+    both = first.join(made.select(F.col("class").alias("y"), F.col("th").alias("ty"), F.col("words").alias("wy")), "y").where("tx = ty")
     common = F.size(F.array_intersect("wx", "wy"))
     alike = both.where(common * b >= a * (F.size("wx") + F.size("wy") - common)).select("x", "y")
-    members = rows.select("class", "id")
-    copied = members.join(one.where("n > 1").select("class"), "class")
+    return alike, rows.select("class", "id").join(made.select("class", "n"), "class").distinct()
+
+
+def _texts(df: DataFrame, key: str, text: str, context: str, local: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (th, id, c) of texts with at most `local` rows, and those of other texts if there are any."""
+    rows = df.select(F.col(key).cast("bigint").alias("id"), F.xxhash64(F.lower(F.trim(text))).alias("th"), F.col(context).alias("c"), F.col(text).isNotNull().alias("has"))
+    rows = rows.where("has and c is not null and id is not null").drop("has")
+    large = cut(rows.groupBy("th").agg(F.count("*").alias("n")).where(F.col("n") > local).select("th"))
+    if large.isEmpty():
+        return rows, None
+    return rows.join(large, "th", "left_anti"), rows.join(large, "th", "left_semi")
+
+
+def similar_pairs(df: DataFrame, key: str, text: str, context: str, share: tuple[int, int] = (7, 10), least_words: int = 30, local: int = LOCAL, shard_rows: int = SHARD) -> DataFrame:
+    """(a, b), a < b: the rows with equal trimmed, lower-cased `text` whose distinct words of `context` have a Jaccard
+    similarity of at least share[0] / share[1], both with at least `least_words` distinct words.
+
+    Rows with a null id, text or context or fewer words have no partners; rows with equal context are partners; repeated rows
+    count once; other columns are ignored; an empty table gives no rows. Nothing is capped. `local` and `shard_rows` say how
+    many rows of a text, or of a word in a larger text, a task may hold; they change no result.
+    """
+    small, large = _texts(df, key, text, context, local)
+    pairs = small.repartition("th").sortWithinPartitions("th").mapInArrow(_compare_texts(share, least_words, True, min(CHUNK, local)), "a bigint, b bigint")
+    if large is None:
+        return pairs
+    alike, members = _spread_classes(large, share, least_words, shard_rows)
     across = alike.join(members.select(F.col("class").alias("x"), F.col("id").alias("i")), "x").join(members.select(F.col("class").alias("y"), F.col("id").alias("j")), "y").select("i", "j")
+    copied = members.where("n > 1")
     within = copied.select("class", F.col("id").alias("i")).join(copied.select("class", F.col("id").alias("j")), "class").where("i < j").select("i", "j")
-    return across.unionByName(within).where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    return pairs.unionByName(across.unionByName(within).where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")))
+
+
+def similar_counts(df: DataFrame, key: str, text: str, context: str, share: tuple[int, int] = (7, 10), least_words: int = 30, local: int = LOCAL, shard_rows: int = SHARD) -> DataFrame:
+    """(id, class_id, links): each row that can have partners, the smallest id with its text and context, and how many rows
+    `similar_pairs` pairs it with. Copies are never expanded into pairs. Nulls, repeats and empty tables as there."""
+    small, large = _texts(df, key, text, context, local)
+    counts = small.repartition("th").sortWithinPartitions("th").mapInArrow(_compare_texts(share, least_words, False, min(CHUNK, local)), "id bigint, class_id bigint, links bigint")
+    if large is None:
+        return counts
+    alike, members = _spread_classes(large, share, least_words, shard_rows)
+    one = members.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
+    ways = alike.unionByName(alike.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    beside = ways.join(one.select(F.col("class").alias("y"), "n"), "y").groupBy(F.col("x").alias("class")).agg(F.sum("n").alias("more"))
+    linked = one.join(beside, "class", "left").select("class", "class_id", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
+    return counts.unionByName(members.select("class", "id").join(linked, "class").select("id", "class_id", "links"))

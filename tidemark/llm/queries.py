@@ -10,7 +10,7 @@ from tidemark.llm.frequency import category_terms, detection_terms, mark_useless
 from tidemark.llm.garbled import garbled_fields
 from tidemark.llm.leaks import leaked_passages
 from tidemark.llm.lookalikes import consistent_text
-from tidemark.llm.nearcopies import similar_pairs
+from tidemark.llm.nearcopies import similar_counts, similar_pairs
 from tidemark.llm.scans import repaired_scans
 from tidemark.llm.spans import shared_share, sharing_pairs
 from tidemark.llm.survivors import preferred_rows, true_values
@@ -106,6 +106,11 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return similar_pairs(table(spark, base, "mentions", "mention_id", "text", "context"), "mention_id", "text", "context").toDF("mention_a", "mention_b")
 
 
+def p7_links(spark: SparkSession, base: str) -> DataFrame:
+    counts = similar_counts(table(spark, base, "mentions", "mention_id", "text", "context"), "mention_id", "text", "context")
+    return counts.select(F.col("id").alias("mention_id"), "class_id", "links")
+
+
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     return token_ids(table(spark, base, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -130,7 +135,7 @@ def p10_share(spark: SparkSession, base: str) -> DataFrame:
     return shared_share(table(spark, base, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_ngrams, p2_found, p2_repaired, p3_found, p3_consistent, p4_found, p4_categories, p5_found, p6_found, p6_repaired, p7_found, p8_ids, p9_found, p9_longest, p10_found, p10_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_ngrams, p2_found, p2_repaired, p3_found, p3_consistent, p4_found, p4_categories, p5_found, p6_found, p6_repaired, p7_found, p7_links, p8_ids, p9_found, p9_longest, p10_found, p10_share)}
 
 _P1 = """
 WITH v AS (
@@ -187,6 +192,15 @@ WITH w AS (
   FROM k a JOIN k b ON a.t = b.t AND a.mention_id < b.mention_id AND len(a.w) * 10 >= len(b.w) * 7 AND len(b.w) * 10 >= len(a.w) * 7
 )
 SELECT mention_a, mention_b FROM p WHERE i * 10 >= 7 * (na + nb - i)""",
+    "p7_links": """
+WITH w AS (
+  SELECT mention_id, lower(trim(text, ' ')) AS t, context, list_distinct(regexp_extract_all(lower(context), '[\\p{L}\\p{N}]+')) AS w FROM mentions WHERE text IS NOT NULL AND context IS NOT NULL
+), k AS (
+  SELECT * FROM w WHERE len(w) >= 30
+), p AS (
+  SELECT a.mention_id, count(*) AS n FROM k a JOIN k b ON a.t = b.t AND a.mention_id <> b.mention_id AND 10 * len(list_intersect(a.w, b.w)) >= 7 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) GROUP BY 1
+)
+SELECT mention_id, min(mention_id) OVER (PARTITION BY t, context) AS class_id, coalesce(n, 0)::BIGINT AS links FROM k LEFT JOIN p USING (mention_id)""",
     "p9_found": """
 WITH d AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL
