@@ -385,6 +385,31 @@ def test_spans_match_brute_force(spark):
         sharing_pairs(df, "doc_id", "text", least=50)
 
 
+def test_spans_of_other_lengths_and_split_followers_match_brute_force(spark):
+    rng = random.Random(17)
+    make = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    stock = make(150)  # in a third of all documents
+    docs = [(i, make(rng.randint(0, 200)) + (stock[rng.randint(0, 40) :] if i % 3 == 0 else "") + make(rng.randint(0, 90))) for i in range(60)]
+    docs += [(100, docs[0][1]), (101, docs[0][1]), (102, "=" * 500), (103, "=" * 200), (None, docs[0][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for least, unit in ((120, 2), (70, 20_000)):
+        grams = {i: {t[k : k + least] for k in range(len(t) - least + 1)} for i, t in docs if i is not None}
+        want = {(a, b) for a, b in combinations(sorted(grams), 2) if grams[a] & grams[b]}
+        got = [(r.a, r.b) for r in sharing_pairs(df, "doc_id", "text", least, unit).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and (102, 103) in want
+
+
+def test_spans_come_from_the_automata(spark, monkeypatch):
+    from tidemark.llm import spans
+
+    text = "".join(random.Random(18).choice("abcdefgh ") for _ in range(500))
+    df = spark.createDataFrame([(1, text), (2, "x" + text)], "doc_id long, text string")
+    assert sharing_pairs(df, "doc_id", "text").count() == 1
+    many = spans.compiled([f"{i:05d}" for i in range(spans.AUTOMATON + 1)])
+    assert [len(a) for a in many] == [spans.AUTOMATON, 1]
+    assert list(spans.core_keys(text, many, 300)) == [] and list(spans.core_keys(text, spans.compiled([text[200:300]]), 300))
+
+
 # the queries against their SQL
 
 
