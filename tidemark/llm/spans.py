@@ -31,7 +31,7 @@ from pyspark.sql import window as W
 from tidemark.functions.storage import cut
 from tidemark.llm.codepoints import to_codes
 
-PHRASE, STEPS, SHORTEST, AUTOMATON, UNIT = 100, 2, 60, 2_000, 20_000
+PHRASE, STEPS, SHORTEST, AUTOMATON, UNIT = 200, 2, 60, 2_000, 20_000
 _BASE = np.uint64(0x100000001B3)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -130,7 +130,7 @@ def shared_windows(docs: DataFrame, key: str, text: str, least: int = 300, unit:
     """
     if least < SHORTEST:
         raise ValueError(f"spans must have at least {SHORTEST} characters")
-    phrase = min(PHRASE, least // 2)
+    phrase = min(PHRASE, 2 * least // 3)
     docs = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).where((F.length("t") >= least) & F.col("id").isNotNull())
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
