@@ -75,15 +75,34 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def _claimer() -> F.Column:
+    """Who states a row's values: the kind and strength of its detection. The rows of a group have one source, so that sources
+    cannot be told apart inside it."""
+    method = F.coalesce(F.col("detection_method"), F.lit(""))
+    return F.concat_ws("/", F.regexp_extract(method, "^[a-z]*", 0), F.regexp_extract(method, "strength=([a-z_]+)", 1))
+
+
 def p4_categories(spark: SparkSession, base: str) -> DataFrame:
-    rows = table(spark, base, "mentions", "source", "page", "text", "category_a", "detection_method", "sentiment_confidence")
-    kind = F.regexp_extract(F.coalesce("detection_method", F.lit("")), "^[a-z]*", 0)
-    strength = F.regexp_extract(F.coalesce("detection_method", F.lit("")), "strength=([a-z_]+)", 1)
-    claims = rows.select("source", "page", F.lower(F.trim("text")).alias("term"), F.concat_ws("/", kind, strength).alias("claimer"), F.upper(F.trim("category_a")).alias("value"))
+    rows = table(spark, base, "mentions", "source", "page", "text", "category_a", "detection_method")
+    claims = rows.select("source", "page", F.lower(F.trim("text")).alias("term"), _claimer().alias("claimer"), F.upper(F.trim("category_a")).alias("value"))
     values, _ = true_values(claims, ["source", "page", "term"], "claimer", "value")
     return values.select("source", "page", "term", "value", F.round("probability", 6).alias("probability"), "is_true")
 
 
+def p4_values(spark: SparkSession, base: str) -> DataFrame:
+    """All values of context, semantic_score and sentiment_score judged by the two-sided model. Contexts that differ only in
+    case, marks around the term and white space state one value."""
+    rows = table(spark, base, "mentions", "mention_id", "source", "page", "text", "context", "semantic_score", "sentiment_score", "detection_method")
+    c = F.col
+    squeezed = F.nullif(F.trim(F.regexp_replace(F.lower(F.regexp_replace("context", ">>>|<<<", "")), r"\s+", " ")), F.lit(""))
+    number = lambda x, digits: F.when(~F.isnan(x), F.format_number(F.round(x, digits), digits))
+    stated = {"context": F.md5(squeezed), "semantic_score": F.when(c("semantic_score") > 0, number("semantic_score", 2)), "sentiment_score": number("sentiment_score", 1)}
+    fields = F.array(*[F.struct(F.lit(k).alias("field"), F.concat_ws(":", F.lit(k), _claimer()).alias("claimer"), v.alias("value")) for k, v in stated.items()])
+    claims = rows.select("source", "page", F.lower(F.trim("text")).alias("term"), F.inline(fields))
+    values, _ = true_values(claims, ["source", "page", "term", "field"], "claimer", "value")
+    return values.select("source", "page", "term", "field", "value", F.round("probability", 6).alias("probability"), "is_true")
+
+
 def _adoption_once(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "adoption_index", "index_id", "company", "year", "industry", "ai_adoption_index", "created_at")
     last = rows.groupBy("company", "year").agg(F.max(F.struct("created_at", "index_id", "industry", "ai_adoption_index")).alias("r"))
@@ -135,7 +154,7 @@ def p10_share(spark: SparkSession, base: str) -> DataFrame:
     return shared_share(table(spark, base, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_ngrams, p2_found, p2_repaired, p3_found, p3_consistent, p4_found, p4_categories, p5_found, p6_found, p6_repaired, p7_found, p7_links, p8_ids, p9_found, p9_longest, p10_found, p10_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_ngrams, p2_found, p2_repaired, p3_found, p3_consistent, p4_found, p4_categories, p4_values, p5_found, p6_found, p6_repaired, p7_found, p7_links, p8_ids, p9_found, p9_longest, p10_found, p10_share)}
 
 _P1 = """
 WITH v AS (

@@ -33,47 +33,53 @@ def preferred_rows(df: DataFrame, keys: list[Column], row_id: str, fields: dict[
     return rows.groupBy(*names).agg(F.count("*").alias("_n"), F.min("_id").alias("group_id"), *best).where("_n > 1").select("group_id", *fields)
 
 
-def true_values(df: DataFrame, keys: list[str], claimer: str, value: str, rounds: int = 8, start: tuple[float, float] = (0.8, 0.8), most_claimers: int = 10_000) -> tuple[DataFrame, dict]:
-    """(keys, value, probability, is_true) of every value claimed in a group, and {claimer: (sensitivity, specificity)}.
+class Quality:
+    """The sensitivity and specificity of each claimer, as a table; one claimer's pair is fetched when it is asked for."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def __getitem__(self, claimer: object) -> tuple[float, float]:
+        row = self.table.where(F.col("c") == F.lit(claimer)).first()
+        if row is None:
+            raise KeyError(claimer)
+        return row["s"], row["p"]
+
+
+def true_values(df: DataFrame, keys: list[str], claimer: str, value: str, rounds: int = 8, start: tuple[float, float] = (0.8, 0.8)) -> tuple[DataFrame, Quality]:
+    """(keys, value, probability, is_true) of every value claimed in a group, and the quality of every claimer.
 
     Every claimer that has a row in a group either states a candidate value or does not; null values and null claimers state
     nothing, groups without any value give no rows. Equal patterns of claims are counted once with a weight, so the rounds of
-    expectation-maximisation run over distinct patterns. Only the claimers' qualities reach the driver; more than
-    `most_claimers` of them raise an error instead of overfilling it.
+    expectation-maximisation run over distinct patterns. Qualities are a table that is joined, whatever its size; only two
+    sums a round reach the driver. Fields that should not share qualities need claimers of their own.
     """
-    rows = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(claimer).alias("_c"), F.col(value).alias("_v")).dropna(subset=["_c", *[f"_k{i}" for i in range(len(keys))]])
     group = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(k).alias(g) for k, g in zip(keys, group)], F.col(claimer).alias("_c"), F.col(value).alias("_v")).dropna(subset=["_c", *group])
     claims = rows.distinct()
     present = claims.groupBy(*group).agg(F.sort_array(F.collect_set("_c")).alias("_present"))
     stated = claims.where("_v is not null").groupBy(*group, "_v").agg(F.sort_array(F.collect_set("_c")).alias("_yes"))
-    candidates = stated.join(present, group).withColumn("_no", F.array_except("_present", "_yes"))
-    patterns = cut(candidates.groupBy("_yes", "_no").agg(F.count("*").alias("_w")))
-    names = [r[0] for r in patterns.select(F.explode(F.array_union("_yes", "_no")).alias("c")).distinct().limit(most_claimers + 1).collect()]
-    if len(names) > most_claimers:
-        raise ValueError(f"more than {most_claimers} claimers; group them before fitting")
-    quality, prior = {c: start for c in names}, 0.5
+    candidates = cut(stated.join(present, group).select(*group, "_v", "_yes", F.array_except("_present", "_yes").alias("_no")).withColumn("_pattern", F.xxhash64(F.size("_yes"), "_yes", "_no")))
+    patterns = cut(candidates.groupBy("_pattern").agg(F.first("_yes").alias("_yes"), F.first("_no").alias("_no"), F.count("*").alias("_w")))
+    said = lambda names, one: F.transform(names, lambda c: F.struct(c.alias("c"), F.lit(one).alias("one")))
+    votes = cut(patterns.select("_pattern", "_w", F.inline(F.concat(said("_yes", 1), said("_no", 0)))))
+    quality = votes.select("c").distinct().select("c", F.lit(start[0]).alias("s"), F.lit(start[1]).alias("p"))
+    prior = 0.5
     for _ in range(rounds):
-        scored = patterns.withColumn("_p", _probability(quality, prior))
-        p_true, p_all = scored.agg(F.sum(F.col("_w") * F.col("_p")), F.sum("_w")).first()
-        if not p_all:
+        scored = votes.join(_probability(votes, quality, prior), "_pattern")
+        weighed = patterns.select("_pattern", "_w").join(_probability(votes, quality, prior), "_pattern").agg(F.sum(F.col("_w") * F.col("_p")), F.sum("_w")).first()
+        if not weighed[1]:
             break
-        prior = min(max(p_true / p_all, 0.01), 0.99)
-        yes = scored.select(F.explode("_yes").alias("c"), "_w", "_p", F.lit(1).alias("s"))
-        no = scored.select(F.explode("_no").alias("c"), "_w", "_p", F.lit(0).alias("s"))
-        sums = yes.unionByName(no).groupBy("c").agg(
-            F.sum(F.col("_w") * F.col("_p") * F.col("s")).alias("tp"), F.sum(F.col("_w") * F.col("_p")).alias("t"), F.sum(F.col("_w") * (1 - F.col("_p")) * (1 - F.col("s"))).alias("tn"), F.sum(F.col("_w") * (1 - F.col("_p"))).alias("f")
-        )
-        quality = {r["c"]: ((r["tp"] + 4) / (r["t"] + 5), (r["tn"] + 4) / (r["f"] + 5)) for r in sums.collect()}  # four of five as a prior
-    result = candidates.withColumn("_p", _probability(quality, prior)).select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.col("_v").alias("value"), F.col("_p").alias("probability"), (F.col("_p") >= 0.5).alias("is_true"))
-    return result, quality
-
-
-def _probability(quality: dict, prior: float) -> Column:
-    """The probability that a value is true, from the claimers that state it (_yes) and those present that do not (_no)."""
-    if not quality:
-        return F.lit(prior)
-    said = F.create_map(*[x for c, (s, p) in quality.items() for x in (F.lit(c), F.lit(math.log(s / (1 - p))))])
-    kept = F.create_map(*[x for c, (s, p) in quality.items() for x in (F.lit(c), F.lit(math.log((1 - s) / p)))])
-    add = lambda names, weights: F.aggregate(names, F.lit(0.0), lambda a, c: a + weights[c])
-    odds = F.lit(math.log(prior / (1 - prior))) + add(F.col("_yes"), said) + add(F.col("_no"), kept)
-    return 1 / (1 + F.exp(-odds))
+        prior = min(max(weighed[0] / weighed[1], 0.01), 0.99)
+        w, p, one = F.col("_w"), F.col("_p"), F.col("one")
+        sums = scored.groupBy("c").agg(F.sum(w * p * one).alias("tp"), F.sum(w * p).alias("t"), F.sum(w * (1 - p) * (1 - one)).alias("tn"), F.sum(w * (1 - p)).alias("f"))
+        quality = cut(sums.select("c", ((F.col("tp") + 4) / (F.col("t") + 5)).alias("s"), ((F.col("tn") + 4) / (F.col("f") + 5)).alias("p")))  # four of five as a prior
+    result = candidates.join(_probability(votes, quality, prior), "_pattern")
+    return result.select(*[F.col(g).alias(k) for k, g in zip(keys, group)], F.col("_v").alias("value"), F.col("_p").alias("probability"), (F.col("_p") >= 0.5).alias("is_true")), Quality(quality)
+
+
+def _probability(votes: DataFrame, quality: DataFrame, prior: float) -> DataFrame:
+    """(_pattern, _p): the probability that a value with these claims is true, from the claimers that state it and those
+    present that do not."""
+    odds = F.when(F.col("one") == 1, F.log(F.col("s") / (1 - F.col("p")))).otherwise(F.log((1 - F.col("s")) / F.col("p")))
+    return votes.join(quality, "c").groupBy("_pattern").agg((1 / (1 + F.exp(-(F.lit(math.log(prior / (1 - prior))) + F.sum(odds))))).alias("_p"))

@@ -1,8 +1,9 @@
 """Problem 5: the top N of every group, by merging sorted runs with a loser tree.
 
 Every map task turns its rows into one run, sorted by group, score and tie keys, and leaves from each group only its first N:
-a group of a third of all rows shrinks to N rows a run before anything is shuffled. The runs are bucketed by group. Each bucket
-merges its runs through a loser tree; once a group has its N rows, every run seeks to its next group by binary search.
+a group of a third of all rows shrinks to N rows a run before anything is shuffled. The runs are bucketed by group and stored
+there in the order of groups. A bucket is read in blocks of whole groups; the runs of a block are merged through a loser tree,
+and once a group has its N rows, every run seeks to its next group by binary search.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,7 +73,7 @@ def merge_runs(runs: list[tuple[np.ndarray, list[tuple]]], n: int) -> Iterator[t
         tree.replace(r, head(r))
 
 
-def top_n(df: DataFrame, groups: list[str], score: str, ties: list[str], keep: list[str], n: int, buckets: int | None = None) -> DataFrame:
+def top_n(df: DataFrame, groups: list[str], score: str, ties: list[str], keep: list[str], n: int, buckets: int | None = None, block_rows: int = 20_000) -> DataFrame:
     """groups, keep and pos (1 to n): the `n` rows of each group with the highest score, ties by `ties` ascending.
 
     Rows with a null group or a null or NaN score are left out; nulls in a tie column come last; rows equal in all of
@@ -100,26 +100,47 @@ def top_n(df: DataFrame, groups: list[str], score: str, ties: list[str], keep: l
     schema = rows.schema
     runs = rows.sortWithinPartitions(*order).mapInArrow(cut_run, schema).withColumn("_run", F.spark_partition_id())
     bucketed = runs.repartition(buckets, *by) if buckets else runs.repartition(*by)
-
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [f for f in frames if len(f)]
-        if not parts:
-            return
-        rows = pd.concat(parts, ignore_index=True)
-        names = sorted(set(zip(*[rows[c] for c in by])))
-        code = {g: i for i, g in enumerate(names)}
-        rows["_g"] = [code[g] for g in zip(*[rows[c] for c in by])]
-        keys = [-rows[inner[score]]] + [x for t in ties for x in (rows[inner[t]].isna(), rows[inner[t]])]
-        rows["_k"] = list(zip(*keys))
-        runs, frames_of = [], []
-        for _, run in rows.groupby("_run", sort=True):
-            run = run.sort_values(["_g", "_k"], kind="stable")  # the shuffle may have mixed a run's blocks
-            runs.append((run["_g"].to_numpy(), run["_k"].tolist()))
-            frames_of.append(run.index.to_numpy())
-        picked = list(merge_runs(runs, n))
-        out = rows.loc[[frames_of[r][i] for r, i, _ in picked], [inner[c] for c in wanted]].copy()
-        out["pos"] = np.array([p for _, _, p in picked], dtype="int32")
-        yield out
-
-    final = T.StructType([schema[inner[c]] for c in wanted] + [T.StructField("pos", T.IntegerType())])
-    return bucketed.mapInPandas(merge, final).select(*[F.col(inner[c]).alias(c) for c in wanted], "pos")
+    # a bucket's runs lie side by side group by group, sorted by Spark's own sort, which spills
+    stored = bucketed.sortWithinPartitions(*by, "_run", *order[len(by) :])
+    kept = [schema[inner[c]] for c in wanted]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in whole_groups(batches, by, block_rows):
+            groups = list(zip(*[block.column(c).to_pylist() for c in by]))
+            code, number = [0] * len(groups), 0
+            for i in range(1, len(groups)):
+                number += groups[i] != groups[i - 1]
+                code[i] = number
+            parts = [[-x for x in block.column(inner[score]).to_pylist()]] + [x for t in ties for v in [block.column(inner[t]).to_pylist()] for x in ([y is None for y in v], v)]
+            keys = list(zip(*parts))
+            of_run: dict[int, list[int]] = {}
+            for i, r in enumerate(block.column("_run").to_pylist()):
+                of_run.setdefault(r, []).append(i)
+            held = [(np.array([code[i] for i in rows]), [keys[i] for i in rows], rows) for rows in of_run.values()]
+            picked = list(merge_runs([x[:2] for x in held], n))
+            if picked:
+                out = block.select([inner[c] for c in wanted]).take(pa.array([held[r][2][i] for r, i, _ in picked], pa.int64()))
+                yield from out.append_column("pos", pa.array([p for _, _, p in picked], pa.int32())).combine_chunks().to_batches()
+
+    final = T.StructType([*kept, T.StructField("pos", T.IntegerType())])
+    return stored.mapInArrow(merge, final).select(*[F.col(inner[c]).alias(c) for c in wanted], "pos")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], least: int) -> Iterator[pa.Table]:
+    """Tables of at least `least` rows (the last may be smaller) that end where a group ends; rows come sorted by group. A
+    group has at most n rows of each run, so a table has a bound however many groups a bucket has."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) < least:
+            continue
+        block = pa.Table.from_batches(held).combine_chunks()
+        last = [block.column(c)[-1].as_py() for c in by]
+        end = len(block)
+        while end and all(block.column(c)[end - 1].as_py() == x for c, x in zip(by, last)):
+            end -= 1
+        if end:
+            yield block.slice(0, end)
+        held = block.slice(end).to_batches()
+    if sum(map(len, held)):
+        yield pa.Table.from_batches(held).combine_chunks()
