@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is set only where the session has none (tests)."""
+    """The folder in spark.checkpoint.dir. Only a local session that names none gets one of its own (tests); on a cluster that
+    would be a machine's own folder, so it is an error there."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
+    held = context._jsc.sc().getCheckpointDir()
     if named:
-        if context._jsc.sc().getCheckpointDir().isEmpty():
+        if held.isEmpty():
             context.setCheckpointDir(named)
         return named
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if held.isEmpty():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -24,3 +29,10 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` written to the checkpoint folder and read from there: lineage ends, and lost executors lose nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like `cut`, as a compressed table in the same folder: smaller, for what is large."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
