@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tidemark.functions.storage import cut
+from tidemark.functions.storage import cut, stored
 from tidemark.llm.codepoints import to_codes
+from tidemark.llm.counts import only_with
 
 PHRASE, STEPS, SHORTEST, AUTOMATON, UNIT = 200, 2, 60, 2_000, 20_000
 _BASE = np.uint64(0x100000001B3)
@@ -138,11 +139,11 @@ def shared_windows(docs: DataFrame, key: str, text: str, least: int = 300, unit:
             row, place, h = chosen_phrases(*to_codes(batch.column(1)), least, phrase)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(place.astype(np.int32))], names=["id", "h", "p"])
 
-    phrases = cut(docs.mapInArrow(choose, "id bigint, h bigint, p int"))
+    phrases = stored(docs.mapInArrow(choose, "id bigint, h bigint, p int"))
     # one for each recurring phrase: the document that it belongs to, and where it stands there
     recurring = cut(phrases.groupBy("h").agg(F.min(F.struct("id", "p")).alias("r"), F.max("id").alias("last")).where("r.id <> last").select("h", F.col("r.id").alias("owner"), F.col("r.p").alias("p")))
     shards = max(1, -(-recurring.count() // AUTOMATON))
-    follow = phrases.join(recurring.select("h", "owner"), "h").select("id", "owner").distinct()
+    follow = stored(phrases.join(recurring.select("h", "owner"), "h").select("id", "owner").distinct())
     large = follow.groupBy("owner").agg(F.ceil(F.count("*") / unit).cast("int").alias("units")).where("units > 1")
     shard = lambda owner, u: F.pmod(F.xxhash64(owner, u), F.lit(shards)).cast("int")
     units = F.coalesce("units", F.lit(1))
@@ -150,7 +151,8 @@ def shared_windows(docs: DataFrame, key: str, text: str, least: int = 300, unit:
     own = recurring.join(large, "owner", "left").groupBy(F.col("owner").alias("id")).agg(F.collect_list("p").alias("ps"), F.array_distinct(F.flatten(F.collect_set(F.transform(F.sequence(F.lit(0), units - 1), lambda u: shard(F.col("owner"), u.cast("int")))))).alias("own"))
     row = lambda s, kind, t: F.struct(s.alias("s"), F.lit(kind).alias("kind"), t.alias("t"))
     held = F.flatten(F.transform("own", lambda s: F.transform("ps", lambda p: row(s, 0, F.col("t").substr(p + 1, F.lit(phrase))))))
-    streamed = docs.join(to, "id").join(own, "id", "left").select("id", F.inline(F.concat(F.coalesce(held, F.array().cast("array<struct<s:int,kind:int,t:string>>")), F.transform("to", lambda s: row(s, 1, F.col("t"))))))
+    routed = stored(only_with(docs, "id", follow).join(to, "id").join(own, "id", "left"))
+    streamed = routed.select("id", F.inline(F.concat(F.coalesce(held, F.array().cast("array<struct<s:int,kind:int,t:string>>")), F.transform("to", lambda s: row(s, 1, F.col("t"))))))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, known, automata = None, [], None
@@ -171,7 +173,7 @@ def shared_windows(docs: DataFrame, key: str, text: str, least: int = 300, unit:
             if found:
                 yield _cores(found)
 
-    cores = cut(streamed.repartition("s").sortWithinPartitions("s", "kind").mapInArrow(locate, "id bigint, k1 bigint, k2 bigint, f bigint, a int, n int, start int, stop int"))
+    cores = stored(streamed.repartition("s").sortWithinPartitions("s", "kind").mapInArrow(locate, "id bigint, k1 bigint, k2 bigint, f bigint, a int, n int, start int, stop int"))
     kinds = cores.groupBy("k1", "k2").agg(F.min("id").alias("low"), F.max("id").alias("high"), (F.min("f") != F.max("f")).alias("mixed")).where("low <> high").select("k1", "k2", "mixed")
     live = cores.join(kinds, ["k1", "k2"])
     whole = live.where("not mixed").select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), "id", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"))
@@ -185,7 +187,7 @@ def shared_windows(docs: DataFrame, key: str, text: str, least: int = 300, unit:
                     out = [(*_digest(t[s : s + least]), id_, s, s + least) for s in sorted(starts)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["g1", "g2", "id", "start", "stop"])
 
-    exact = docs.join(reach, "id").mapInArrow(each_window, "g1 bigint, g2 bigint, id bigint, start bigint, stop bigint")
+    exact = routed.select("id", "t").join(reach, "id").mapInArrow(each_window, "g1 bigint, g2 bigint, id bigint, start bigint, stop bigint")
     groups = exact.groupBy("g1", "g2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("g1", "g2")
     return whole.unionByName(exact.join(groups, ["g1", "g2"]))
 
