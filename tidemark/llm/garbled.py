@@ -1,19 +1,21 @@
 """Problem 6: text that was decoded with the wrong encoding.
 
 Characters are mapped back to the bytes they had in a legacy encoding. Over these bytes an automaton of the structure of
-UTF-8 finds maximal well-formed multibyte spans, all positions of a column at once; a span counts if it decodes to characters
-that filings contain. Only those spans are decoded, again and again until none is left (text may be garbled twice).
+UTF-8 finds maximal well-formed multibyte spans, all positions of a column at once. Sequences that sound text could hold by
+chance count only beside another sequence or where the characters around them rule that out. Only those spans are decoded,
+again and again until none is left (text may be garbled twice).
 
 Single bytes read in the wrong single-byte encoding leave no such structure. They are found by word: a word with characters
 that are letters only in another encoding, or one whose re-reading is far more frequent in the whole collection than the word
-itself. The counts come from all distinct values, so that copies do not vote for their own damage, in a table of fixed size, so
-what is sent to the tasks has a bound.
+itself. The counts are exact and come from all distinct values, so that copies do not vote for their own damage; a word is judged
+once for the whole collection.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -21,17 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.storage import stored
 from tidemark.llm.codepoints import from_codes, row_of, to_codes
-from tidemark.llm.counts import CountTable, count_words
+from tidemark.llm.counts import MOST_SENT, count_words, decided, with_decisions
 
 #: Encodings in which UTF-8 bytes, or bytes of western Windows text, are found to have been read.
 MULTIBYTE = ("cp1252", "mac_roman", "cp850", "cp437")
+PASSES = (*((codec, False) for codec in MULTIBYTE), ("cp1252", True))
 SINGLE_BYTE = ("mac_roman", "cp850")
 _WORD = re.compile(r"[^\s]*[^\x00-\x7f\s][^\s]*")
-_EDGES = ".,;:!?()[]<>\"'"
+EDGES = ".,;:!?()[]<>\"'"
 # Letters and numbers that no English, French, German or Spanish word holds between small letters, each with
 # the letters that may follow it there for all that: õ in Portuguese, þ (read for ç) in Icelandic.
 _FOREIGN = {"õ": "e", "þ": "bcdefghijklmnpqrstvwxyzáéíóúýæöð", "³": "", "¹": "", "¾": "", "ˆ": ""}
+# Signs that may stand behind a capital or an accented letter in sound text, and those that may join two words.
+_BEHIND = "’‘”“»«›‹…–—™®©°¹²³ªº·•§¿¡\u00a0\u00ad"
+_BETWEEN = "–—·•…\u00a0\u00ad"
 _METRES = re.compile(r"(?:^|[^a-z])[cdkm]?m$")
 
 
@@ -51,15 +58,31 @@ def legacy_bytes(codec: str) -> np.ndarray:
 
 @lru_cache
 def _expected() -> np.ndarray:
-    """Which code points a span may decode to: western letters and signs, punctuation, Greek, Cyrillic, CJK, forms."""
-    table = np.zeros(0x110000, dtype=bool)
+    """What a sequence may decode to: 2 what filings often hold (western letters and signs, punctuation, Greek, Cyrillic, CJK,
+    forms), 1 any other assigned character that shows something, 0 nothing else."""
+    table = np.zeros(0x110000, dtype=np.int8)
+    for c in range(0xA0, 0x30000):
+        table[c] = unicodedata.category(chr(c)) not in ("Cc", "Cn", "Co", "Cs")
     for a, b in ((0x80, 0x17F), (0x192, 0x192), (0x2C6, 0x2DC), (0x300, 0x36F), (0x391, 0x3C9), (0x410, 0x44F), (0x2000, 0x206F), (0x20AC, 0x20AC), (0x2122, 0x2122), (0x2190, 0x22FF), (0x2500, 0x25FF), (0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xFB00, 0xFB06), (0xFEFF, 0xFEFF), (0xFF01, 0xFF5E), (0xFFFD, 0xFFFD), (0x1F300, 0x1FAFF)):
-        table[a : b + 1] = True
+        table[a : b + 1] = 2
     return table
 
 
-def multibyte_spans(codes: np.ndarray, offsets: np.ndarray, codec: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, code point) of each UTF-8 sequence among `codes` as read in `codec`; no sequence crosses rows."""
+@lru_cache
+def _signs(characters: str) -> np.ndarray:
+    table = np.zeros(0x10000, dtype=bool)
+    table[[ord(c) for c in characters]] = True
+    return table
+
+
+@lru_cache
+def _small() -> np.ndarray:
+    return np.array([chr(c).islower() for c in range(0x250)])
+
+
+def multibyte_spans(codes: np.ndarray, offsets: np.ndarray, codec: str, wide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, code point) of each UTF-8 sequence among `codes` as read in `codec`; no sequence crosses rows. `wide`
+    adds the characters that filings seldom hold, and single letters of extended Latin."""
     at = np.flatnonzero(codes > 0x7F)
     if not len(at):
         return at, at, at
@@ -80,25 +103,35 @@ def multibyte_spans(codes: np.ndarray, offsets: np.ndarray, codec: str) -> tuple
     point = np.select([length == 2, length == 3, length == 4], [((b & 0x1F) << 6) | low[1], ((b & 0x0F) << 12) | (low[1] << 6) | low[2], ((b & 0x07) << 18) | (low[1] << 12) | (low[2] << 6) | low[3]], 0)
     shortest = np.select([length == 3, length == 4], [0x800, 0x10000], 0x80)
     good = (length > 0) & (point >= shortest) & (point <= 0x10FFFF)
-    good[good] = _expected()[point[good]]
-    # letters of scripts that a lone pair of western characters could feign: only beside another such sequence
-    shy = good & ((point >= 0x3040) & (point <= 0x9FFF) | (point >= 0x410) & (point <= 0x44F) & (codec != "cp1252") | (point >= 0x100) & (point <= 0x13F))
+    kind = np.zeros(n, dtype=np.int8)
+    kind[good] = _expected()[point[good]]
+    good &= kind >= (1 if wide else 2)
+    # what a lone pair of western characters could feign: only beside another such sequence, or where sound text has no such signs
+    shy = good & ((kind == 1) | (point >= 0x3040) & (point <= 0x9FFF) | (point >= 0x410) & (point <= 0x44F) & (codec != "cp1252") | (point >= 0x100) & (point <= 0x13F))
     if shy.any():
-        starts = set(at[good].tolist())
-        ends = {int(a + l) for a, l in zip(at[good], length[good])}
-        for i in np.flatnonzero(shy):
-            if int(at[i] + length[i]) not in starts and int(at[i]) not in ends:
-                good[i] = False
+        starts, ends = np.zeros(len(codes) + 5, dtype=bool), np.zeros(len(codes) + 5, dtype=bool)
+        starts[at[good]] = ends[at[good] + length[good]] = True
+        lone = shy & ~starts[at + length] & ~ends[at]
+        latin = (point >= 0x100) & (point < 0x250) | (point >= 0x1E00) & (point < 0x1F00)
+        last = codes[np.minimum(at + np.maximum(length, 1) - 1, len(codes) - 1)]
+        behind = np.minimum(at + length, len(codes) - 1)
+        small = (at + length < offsets[row + 1]) & _small()[np.minimum(codes[behind], 0x24F)] & (codes[behind] < 0x250)
+        sign = np.minimum(last, 0xFFFF)
+        allowed = latin & wide & (~_signs(_BEHIND)[sign] | small & ~_signs(_BETWEEN)[sign])
+        good &= ~lone | allowed
     return at[good], length[good], point[good]
 
 
-def decode_spans(codes: np.ndarray, offsets: np.ndarray, rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def decode_spans(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The codes with all garbled spans decoded, the new offsets, and which rows held such a span."""
     hit = np.zeros(len(offsets) - 1, dtype=bool)
-    for _ in range(rounds):
+    changed = True
+    while changed:  # each round shortens the text
         changed = False
-        for codec in MULTIBYTE:
-            start, length, point = multibyte_spans(codes, offsets, codec)
+        for codec, wide in PASSES:
+            if wide and changed:
+                break  # only where no usual character is left to decode
+            start, length, point = multibyte_spans(codes, offsets, codec, wide)
             if not len(start):
                 continue
             changed = True
@@ -110,16 +143,14 @@ def decode_spans(codes: np.ndarray, offsets: np.ndarray, rounds: int = 3) -> tup
                 keep[(start + k)[length > k]] = False
             offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
             codes = codes[keep]
-        if not changed:
-            break
     return codes, offsets, hit
 
 
 def span_mask(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Which code points belong to a garbled multibyte span."""
     mask = np.zeros(len(codes), dtype=bool)
-    for codec in MULTIBYTE:
-        start, length, _ = multibyte_spans(codes, offsets, codec)
+    for codec, wide in PASSES:
+        start, length, _ = multibyte_spans(codes, offsets, codec, wide)
         for k in range(4):
             mask[(start + k)[length > k]] = True
     return mask
@@ -127,7 +158,7 @@ def span_mask(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def bare(word: str) -> str:
     """A word without punctuation at its edges."""
-    return word.strip(_EDGES)
+    return word.strip(EDGES)
 
 
 def high_words(text: str | None) -> list[str]:
@@ -135,12 +166,6 @@ def high_words(text: str | None) -> list[str]:
     return [w for w in map(bare, _WORD.findall(text)) if w] if text and not text.isascii() else []
 
 
-def word_counts(df: DataFrame, columns: list[str]) -> CountTable:
-    """How often each word beyond ASCII occurs in the distinct values of `columns`."""
-    values = [df.select(F.col(c).alias("value")).where(F.octet_length("value") > F.length("value")) for c in columns]
-    return count_words(reduce(DataFrame.unionAll, values).distinct(), ["value"], high_words)
-
-
 @lru_cache
 def _reread(codec: str) -> dict[int, str]:
     """Characters of `codec` beyond ASCII, and the western Windows character of the same byte."""
@@ -157,32 +182,27 @@ class WordJudge:
 
     #: quotation marks that open and close
     PAIRS = (("“", "”"), ("„", "“"), ("«", "»"), ("‘", "’"))
+    RATIO, LEAST = 4, 3
 
-    def __init__(self, counts: CountTable, ratio: int = 4, least: int = 3):
-        self.counts, self.ratio, self.least = counts, ratio, least
-        self.known: dict[str, str | None] = {}
-
-    def original(self, word: str) -> str | None:
+    @staticmethod
+    def readings(word: str) -> list[str]:
+        """What the word would be in the encodings whose characters it is made of."""
+        high = [ord(c) for c in word if ord(c) > 0x7F]
+        tables = [t for t in map(_reread, SINGLE_BYTE) if all(c in t for c in high)]
+        return [other for other in (word.translate(t) for t in tables) if other != word]
+
+    def asked(self, word: str) -> set[str]:
+        """The words whose counts decide on a word; none if it has no other reading."""
+        others = {bare(other) for other in self.readings(word)}
+        return others | {word} if others else set()
+
+    def original(self, word: str, counts: dict[str, int]) -> str | None:
         """The word as it was before, or None if it is sound."""
-        if word not in self.known:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            self.known[word] = self._original(word)
-        return self.known[word]
-
-    def _original(self, word: str) -> str | None:
-        high = [c for c in word if ord(c) > 0x7F]
         best = None
-        for codec in SINGLE_BYTE:
-            table = _reread(codec)
-            if not all(ord(c) in table for c in high):
-                continue
-            other = word.translate(table)
-            if other == word:
-                continue
+        for other in self.readings(word):
             if any(c.isalpha() for c in bare(other)) or any(c.isalpha() for c in word):
-                mine, its = self.counts[word], self.counts[bare(other)]
-                if its >= self.least and its >= self.ratio * mine and (best is None or its > best[0]):
+                mine, its = counts.get(word, 0), counts.get(bare(other), 0)
+                if its >= self.LEAST and its >= self.RATIO * mine and (best is None or its > best[0]):
                     best = (its, other)
             if best is None and self._quoted(word, other):
                 best = (0, other)
@@ -192,7 +212,7 @@ class WordJudge:
 
     def _quoted(self, word: str, other: str) -> bool:
         """The re-reading stands in quotation marks where the word has other signs."""
-        return any(other.startswith(a) and other.rstrip(_EDGES).endswith(b) and len(other) > 4 and word[0] != a for a, b in self.PAIRS)
+        return any(other.startswith(a) and other.rstrip(EDGES).endswith(b) and len(other) > 4 and word[0] != a for a, b in self.PAIRS)
 
     @staticmethod
     def _foreign(word: str, i: int) -> bool:
@@ -218,46 +238,70 @@ class WordJudge:
         return False
 
 
+def wrong_words(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(item, result): the words of `columns` that were read in the wrong single-byte encoding, and what they were."""
+    values = [df.select(F.col(c).alias("value")).where(F.octet_length("value") > F.length("value")) for c in columns]
+    counts = stored(count_words(reduce(DataFrame.unionAll, values).distinct(), "value", high_words))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = WordJudge()
+        for batch in batches:
+            pairs = [(w, asked) for w in batch.column(0).to_pylist() for asked in judge.asked(w)]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*pairs)], names=["item", "word"])
+
+    return decided(counts.select("word").mapInArrow(ask, "item string, word string"), counts, lambda word, held: WordJudge().original(word, held))
+
+
+_BOX = re.compile(r"[^\W_][─-▟]|[─-▟][^\W_]|[─-▟][^\x00-\x7f─-▟\s]|[^\x00-\x7f─-▟\s][─-▟]")
+
+
 def _box(text: str) -> bool:
-    """A box-drawing character beside a letter or a quotation mark's place."""
-    return any("─" <= c <= "▟" for c in text)
+    """A box-drawing character directly beside a letter or another sign beyond ASCII: an accent or a quotation mark once stood
+    there. Frames drawn of them stand apart from words."""
+    return _BOX.search(text) is not None
 
 
-def garbled_fields(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def garbled_fields(df: DataFrame, key: str, columns: list[str], most_sent: int = MOST_SENT) -> DataFrame:
     """(key, field, repaired): one row for each of `columns` of each row that holds a garbled stretch.
 
     repaired is the text with all recoverable stretches restored; characters lost for good (U+FFFD) stay. Nulls, empty texts
     and sound texts give no row; repeated rows are judged each by itself; other columns are ignored.
     """
-    counts = df.sparkSession.sparkContext.broadcast(word_counts(df, columns))
     kind = df.schema[key].dataType.simpleString()
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordJudge(counts.value)
-        for batch in batches:
-            for field in columns:
-                column = batch.column(field)
-                codes, offsets = to_codes(column)
-                lost = np.zeros(len(column), dtype=bool)
-                lost[row_of(offsets, np.flatnonzero(codes == 0xFFFD))] = True
-                fixed, ends, hit = decode_spans(codes, offsets)
-                high = np.zeros(len(column), dtype=bool)
-                high[row_of(ends, np.flatnonzero(fixed > 0x7F))] = True
-                texts = from_codes(fixed, ends)
-                rows, repaired = [], []
-                for i in np.flatnonzero(high | hit | lost):
-                    text = texts[i].as_py()
-                    bad = {}
-                    for w in set(high_words(text)):
-                        if (was := words.original(w)) is not None:
-                            bad[w] = was
-                    boxes = _box(text)
-                    if hit[i] or lost[i] or bad or boxes:
-                        if bad:
-                            text = re.sub("|".join(re.escape(w) for w in sorted(bad, key=len, reverse=True)), lambda m: bad[m.group()], text)
-                        rows.append(i)
-                        repaired.append(text)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows, pa.int64())), pa.array([field] * len(rows)), pa.array(repaired)], names=[key, "field", "repaired"])
-
-    return df.select(key, *columns).mapInArrow(judge, f"`{key}` {kind}, field string, repaired string")
+    def read(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The column with its spans decoded, which rows to look at, and which of them hold a span or a lost character."""
+        codes, offsets = to_codes(column)
+        hit = np.zeros(len(column), dtype=bool)
+        hit[row_of(offsets, np.flatnonzero(codes == 0xFFFD))] = True
+        fixed, ends, spans = decode_spans(codes, offsets)
+        high = hit | spans
+        high[row_of(ends, np.flatnonzero(fixed > 0x7F))] = True
+        return from_codes(fixed, ends), np.flatnonzero(high), hit | spans
+
+    def needed(batch: pa.RecordBatch) -> list[set[str]]:
+        items: list[set[str]] = [set() for _ in range(len(batch))]
+        for field in names:
+            texts, rows, _ = read(batch.column(field))
+            for i in rows:
+                items[i].update(high_words(texts[i].as_py()))
+        return items
+
+    def judge(batch: pa.RecordBatch, known: Callable[[int], dict[str, str]]) -> pa.RecordBatch | None:
+        at, fields, repaired = [], [], []
+        for name, field in zip(names, columns):
+            texts, rows, sure = read(batch.column(name))
+            for i, text in zip(rows.tolist(), texts.take(pa.array(rows)).to_pylist()):
+                bad = {w: was for w in set(high_words(text)) if (was := known(i).get(w)) is not None}
+                if sure[i] or bad or _box(text):
+                    if bad:
+                        text = re.sub("|".join(re.escape(w) for w in sorted(bad, key=len, reverse=True)), lambda m: bad[m.group()], text)
+                    at.append(i)
+                    fields.append(field)
+                    repaired.append(text)
+        return pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(at, pa.int64())), pa.array(fields), pa.array(repaired)], names=[key, "field", "repaired"]) if at else None
+
+    names = [f"v{i}" for i in range(len(columns))]
+    rows = df.select(F.col(key).alias("k"), *[F.col(c).alias(v) for c, v in zip(columns, names)])
+    return with_decisions(rows, wrong_words(df, columns), needed, judge, f"`{key}` {kind}, field string, repaired string", most_sent)

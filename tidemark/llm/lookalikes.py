@@ -2,21 +2,25 @@
 
 A column is one array of code points. A lookup table says of each code point what it stands for (nothing, another one, or
 several); the output is made by gathers and expansion offsets. Look-alike letters change only inside words that also hold
-Latin letters. Then a letter and a mark behind it are composed by a second lookup, for all pairs at once.
+Latin letters. Then letters with marks are taken apart, the marks put in canonical order, and both composed by a second lookup,
+for all letters at once.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm.codepoints import from_codes, row_of, to_codes
-from tidemark.llm.garbled import WordJudge, bare, span_mask, word_counts
+from tidemark.llm.counts import MOST_SENT, with_decisions
+from tidemark.llm.garbled import EDGES, span_mask, wrong_words
 
 # Letters of other scripts and phonetic letters, with the Latin letters they look like.
 LOOKALIKES = {
@@ -52,6 +56,8 @@ def tables() -> dict[str, np.ndarray]:
             if stands[c] or 0xFF01 <= c <= 0xFF5E:
                 first[c], count[c] = len(pool), len(plain)
                 pool += map(ord, plain)
+    for c, plain in ((0x212A, 0x4B), (0x212B, 0xC5)):  # Kelvin and Angstrom: letters by definition
+        first[c], stands[c] = plain, True
     letter = np.zeros(TOP, dtype=np.int8)  # 1 Latin, 2 another script
     for c in range(0x41, SCRIPTS):
         if chr(c).isalpha():
@@ -62,7 +68,15 @@ def tables() -> dict[str, np.ndarray]:
             alike[ord(odd)], letter[ord(odd)] = ord(latin), 2
     mark = np.zeros(TOP, dtype=np.int64)
     mark[0x300:0x370] = np.arange(1, 0x71)
-    return {"count": count, "first": first, "pool": np.array(pool, dtype=np.uint32), "stands": stands, "letter": letter, "alike": alike, "mark": mark}
+    rank = np.zeros(0x370, dtype=np.int64)
+    rank[0x300:] = [unicodedata.combining(chr(c)) for c in range(0x300, 0x370)]
+    apart, begin = np.ones(0x2000, dtype=np.int64), np.arange(0x2000, dtype=np.int64)
+    for c in range(0xC0, 0x2000):
+        parts = unicodedata.normalize("NFD", chr(c))
+        if len(parts) > 1 and all(0x300 <= ord(p) < 0x370 for p in parts[1:]):
+            apart[c], begin[c] = len(parts), len(pool)
+            pool += map(ord, parts)
+    return {"rank": rank, "apart": apart, "begin": begin, "count": count, "first": first, "pool": np.array(pool, dtype=np.uint32), "stands": stands, "letter": letter, "alike": alike, "mark": mark}
 
 
 @lru_cache
@@ -127,58 +141,96 @@ def ordinary_forms(codes: np.ndarray, offsets: np.ndarray, skip: np.ndarray) ->
     source = np.repeat(np.arange(len(codes)), count)
     out = t["pool"][first[source] + np.arange(ends[-1]) - ends[source]]
     out[far[source]] = codes[source][far[source]]
-    offsets = ends[offsets]
+    return *composed(out, ends[offsets]), hit
+
+
+def composed(out: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes with every letter and the marks behind it in canonical composition, and their offsets."""
+    t = tables()
+    begins = np.zeros(len(out) + 1, dtype=bool)
+    begins[offsets] = True
+    marked = (out >= 0x300) & (out < 0x370) & ~begins[:-1]
+    if not marked.any():
+        return out, offsets
+    # letters before a mark are taken apart, so that all their marks can be ordered
+    count = np.where(np.concatenate([marked[1:], [False]]) & (out < 0x2000), t["apart"][np.minimum(out, 0x1FFF)], 1)
+    ends = np.concatenate([[0], np.cumsum(count)])
+    source = np.repeat(np.arange(len(out)), count)
+    inner = np.arange(ends[-1]) - ends[source]
+    out = np.where(count[source] > 1, t["pool"][np.where(count[source] > 1, t["begin"][np.minimum(out, 0x1FFF)][source] + inner, 0)], out[source]).astype(np.uint32)
+    marked, offsets = marked[source] | (inner > 0), ends[offsets]
+    rank = np.where(marked, t["rank"][np.minimum(out, 0x36F)], 0)
+    at = np.flatnonzero(rank > 0)
+    run = np.cumsum(np.concatenate([[True], np.diff(at) > 1])) if len(at) else at
+    out[at] = out[at][np.lexsort((rank[at], run))]
+    rank[at] = t["rank"][out[at]]
+    # the base of a run of marks, and the run's length
+    first = np.flatnonzero(marked & ~np.concatenate([[False], marked[:-1]]))
+    size = np.diff(np.append(np.flatnonzero(np.concatenate([[True], np.diff(np.flatnonzero(marked)) > 1])), int(marked.sum())))
+    base, last = first - 1, np.zeros(len(first), dtype=np.int64)
+    keep = np.ones(len(out), dtype=bool)
     keys, made = compositions()
-    for _ in range(3):  # a letter may carry several marks
-        if len(out) < 2:
-            break
-        begins = np.zeros(len(out) + 1, dtype=bool)
-        begins[offsets] = True
-        at = np.flatnonzero((out[1:] >= 0x300) & (out[1:] < 0x370) & ~begins[1:-1])
-        key = (out[at].astype(np.int64) << 21) + out[at + 1]
+    for j in range(int(size.max())):
+        live = np.flatnonzero(size > j)
+        place = first[live] + j
+        key = (out[base[live]].astype(np.int64) << 21) + out[place]
         found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        fits = keys[found] == key
-        at, found = at[fits], found[fits]
-        if not len(at):
-            break
-        out[at] = made[found]
-        keep = np.ones(len(out), dtype=bool)
-        keep[at + 1] = False
-        offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
-        out = out[keep]
-    return out, offsets, hit
-
-
-def consistent_text(df: DataFrame, key: str, text: str) -> DataFrame:
+        fits = (keys[found] == key) & (last[live] < rank[place])  # a mark of the same rank between them blocks
+        out[base[live[fits]]] = made[found[fits]]
+        keep[place[fits]] = False
+        last[live[~fits]] = rank[place[~fits]]
+    return out[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+
+
+def odd_words(codes: np.ndarray, offsets: np.ndarray, skip: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(word without punctuation at its edges, row, begin, end) of the words with a sign that may be another encoding's and
+    more than one character beyond ASCII: such a word decides whether all of it is garbled."""
+    odd = np.flatnonzero(tables()["stands"][np.minimum(codes, TOP - 1)] & (codes >= 0x80) & ((codes < 0x100) | (codes >= 0xFB00) & (codes < 0xFB07)) & ~skip)
+    if not len(odd):
+        return pa.array([], pa.string()), odd, odd, odd
+    edge = np.zeros(len(codes) + 1, dtype=bool)
+    edge[offsets] = True
+    inner = codes > 0x20
+    begin = np.flatnonzero(inner & (edge[:-1] | np.concatenate([[True], ~inner[:-1]])))
+    end = np.flatnonzero(inner & (edge[1:] | np.concatenate([~inner[1:], [True]]))) + 1
+    number = np.searchsorted(begin, np.flatnonzero(inner & (codes > 0x7F)), side="right") - 1
+    held = np.unique(np.searchsorted(begin, odd, side="right") - 1)
+    held = held[np.bincount(number, minlength=len(begin))[held] > 1]
+    begin, end = begin[held], end[held]
+    size = end - begin
+    ends = np.concatenate([[0], np.cumsum(size)])
+    words = from_codes(codes[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])], ends)
+    return pc.utf8_trim(words, characters=EDGES), row_of(offsets, begin), begin, end
+
+
+def consistent_text(df: DataFrame, key: str, text: str, most_sent: int = MOST_SENT) -> DataFrame:
     """(key, normal, changed): every row's text in one consistent form, and whether it held a character standing for another.
 
     Null stays null and is not changed; an empty text stays empty. Garbled stretches of a wrong encoding are left alone.
     Other columns are ignored; repeated rows come out as often as they went in.
     """
-    counts = df.sparkSession.sparkContext.broadcast(word_counts(df, [text]))
     kind = df.schema[key].dataType.simpleString()
 
-    def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = WordJudge(counts.value)
-        t = tables()
-        for batch in batches:
-            column = batch.column(text)
-            codes, offsets = to_codes(column)
-            skip = span_mask(codes, offsets)
-            # candidates beside a sign of another encoding: the word decides whether all of it is garbled
-            odd = np.flatnonzero(t["stands"][np.minimum(codes, TOP - 1)] & (codes >= 0x80) & ((codes < 0x100) | (codes >= 0xFB00) & (codes < 0xFB07)) & ~skip)
-            for p in odd:
-                row = int(row_of(offsets, np.array([p]))[0])
-                a = b = int(p)
-                while a > offsets[row] and codes[a - 1] > 0x20:
-                    a -= 1
-                while b < offsets[row + 1] and codes[b] > 0x20:
-                    b += 1
-                word = bare("".join(map(chr, codes[a:b])))
-                if sum(ord(c) > 0x7F for c in word) > 1 and judge.original(word) is not None:
-                    skip[a:b] = True
-            out, ends, hit = ordinary_forms(codes, offsets, skip)
-            null = np.asarray(column.is_null().to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([batch.column(key), from_codes(out, ends, null), pa.array(hit)], names=[key, "normal", "changed"])
-
-    return df.select(key, text).mapInArrow(normalise, f"`{key}` {kind}, normal string, changed boolean")
+    def needed(batch: pa.RecordBatch) -> list[set[str]]:
+        codes, offsets = to_codes(batch.column("t"))
+        items: list[set[str]] = [set() for _ in range(len(batch))]
+        words, rows, _, _ = odd_words(codes, offsets, span_mask(codes, offsets))
+        for w, r in zip(words.to_pylist(), rows.tolist()):
+            items[r].add(w)
+        return items
+
+    def normalise(batch: pa.RecordBatch, known: Callable[[int], dict[str, str]]) -> pa.RecordBatch:
+        column = batch.column("t")
+        codes, offsets = to_codes(column)
+        skip = span_mask(codes, offsets)
+        words, rows, begin, end = odd_words(codes, offsets, skip)
+        garbled = np.array([w in known(r) for w, r in zip(words.to_pylist(), rows.tolist())], dtype=bool)
+        edges = np.zeros(len(codes) + 1, dtype=np.int64)
+        np.add.at(edges, begin[garbled], 1)
+        np.add.at(edges, end[garbled], -1)
+        out, ends, hit = ordinary_forms(codes, offsets, skip | (np.cumsum(edges)[:-1] > 0))
+        null = np.asarray(column.is_null().to_numpy(zero_copy_only=False))
+        return pa.RecordBatch.from_arrays([batch.column("k"), from_codes(out, ends, null), pa.array(hit)], names=[key, "normal", "changed"])
+
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return with_decisions(rows, wrong_words(df, [text]), needed, normalise, f"`{key}` {kind}, normal string, changed boolean", most_sent)
