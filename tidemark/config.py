@@ -8,6 +8,8 @@ from pathlib import Path
 
 # Weights of the seven dimensions, and thresholds.
 WEIGHTS = {"intensity": 0.15, "semantic": 0.20, "diversity": 0.15, "sentiment": 0.15, "maturity": 0.15, "future": 0.10, "commitment": 0.10}
+# Names that older files have.
+LEGACY = {"context_sentences": "sentences_around", "max_context_length": "max_context", "dedup_threshold": "deduplication_threshold", "semantic_threshold_strict": "semantic_strict_threshold"}
 
 
 @dataclass(frozen=True)
@@ -18,6 +20,7 @@ class Config:
     min_text_length: int = 100
     sentences_around: int = 2
     max_context: int = 2000
+    window: int = 2000
     weights: dict[str, float] = field(default_factory=lambda: dict(WEIGHTS))
 
     def __post_init__(self) -> None:
@@ -30,8 +33,11 @@ class Config:
 
     @classmethod
     def load(cls, path: str) -> Config | None:
-        """The saved settings; None where the file is missing or invalid."""
+        """The saved settings, under these names or older ones; None where the file is missing or invalid, unknown names are
+        ignored."""
         try:
-            return cls(**json.loads(Path(path).read_text()))
-        except (OSError, ValueError, TypeError):
+            held = json.loads(Path(path).read_text())
+            known = {k: v for k, v in held.items() if k in cls.__dataclass_fields__}
+            return cls(**{new: held[old] for old, new in LEGACY.items() if old in held and new not in held} | known)
+        except (OSError, ValueError, TypeError, AttributeError):
             return None

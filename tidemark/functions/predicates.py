@@ -38,17 +38,23 @@ def corrupted_context(context: Column) -> Column:
 def false_positive(term: Column, context: Column) -> Column:
     """Cheap tests first: corrupted, an exclusion, or a short term without a validator."""
     both = F.concat(term, F.lit(" "), context)
-    return corrupted_context(context) | reduce(or_, [both.rlike(p) for p in v.FALSE_POSITIVE.values()]) | ((F.length(term) <= 3) & ~contains_any(context, v.VALIDATORS))
+    unless = [both.rlike(p) & ~both.rlike(q) for p, q in v.FALSE_UNLESS.values()]
+    return corrupted_context(context) | reduce(or_, [both.rlike(p) for p in v.FALSE_POSITIVE.values()] + unless) | ((F.length(term) <= 3) & ~contains_any(context, v.VALIDATORS))
 
 
 def robotics_class(context: Column) -> Column:
-    """not_robotics, ai_robotics or traditional_robotics."""
-    return F.when(~F.lower(context).contains("robot"), "not_robotics").when(context.rlike(v.ROBOT_AI), "ai_robotics").otherwise("traditional_robotics")
+    """not_robotics, ai_robotics or traditional_robotics. A rule for learning robots comes before one for traditional ones, and
+    a hint of learning anywhere before the rest."""
+    traditional = context.rlike(v.ROBOT_TRADITIONAL)
+    learning = context.rlike(v.ROBOT_AI) | ~traditional & contains_any(context, v.ROBOT_HINTS)
+    return F.when(~F.lower(context).contains("robot"), "not_robotics").when(learning, "ai_robotics").otherwise("traditional_robotics")
 
 
 def rpa_class(context: Column) -> Column:
-    """ai_rpa, traditional_rpa or not_rpa."""
-    return F.when(context.rlike(v.RPA_AI), "ai_rpa").when(context.rlike(v.RPA_ANY), "traditional_rpa").otherwise("not_rpa")
+    """ai_rpa, traditional_rpa or not_rpa. Process automation is traditional if no word of learning follows its last mention."""
+    behind = F.regexp_replace(context, rf"(?is)^.*(?:^|[^{v.WORD_CHARS}]){v.RPA_NAMES}", "")
+    plain = context.rlike(v.exists(v.RPA_NAMES)) & ~behind.rlike(v.RPA_LEARNING)
+    return F.when(~contains_any(context, v.RPA_GUARD), "not_rpa").when(context.rlike(v.RPA_AI), "ai_rpa").when(plain | context.rlike(v.RPA_RULES), "traditional_rpa").otherwise("not_rpa")
 
 
 def negation(context: Column) -> Column:

@@ -18,54 +18,63 @@ def default_triggers() -> Triggers:
     return [("hard", c) for c in v.HARD] + [("soft", c) for c in v.SOFT]
 
 
-def term_matches(text: Column, ordinal: int, kind: str, core: str) -> Column:
-    """All matches of one core as an array of (start, ord, trigger, term); starts from the lengths of matches and gaps."""
-    pattern = v.located(core)
+def term_matches(text: Column, low: Column, ordinal: int, kind: str, core: str) -> Column:
+    """All matches of one core as an array of (_start, _ord, _trigger, _term); starts from the lengths of matches and gaps. The core
+    is looked for only where its literal stands in the lower-cased text."""
+    pattern, literal = v.located(core, v.TAILS.get(core, "")), v.literal(core)
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     size = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-    return F.transform(found, lambda m, i: F.struct((size(gaps, i + 1) + size(found, i)).alias("start"), F.lit(ordinal).alias("ord"), F.lit(kind).alias("trigger"), m.alias("term")))
-
-
-def first_at_each_start(matches: Column) -> Column:
-    """Of the matches that begin at one place only that of the first term in order."""
-    ordered = F.array_sort(matches)
-    return F.filter(ordered, lambda m, i: (i == 0) | (F.get(ordered, i - 1)["start"] != m["start"]))
+    located = F.transform(found, lambda m, i: F.struct((size(gaps, i + 1) + size(found, i)).alias("_start"), F.lit(ordinal).alias("_ord"), F.lit(kind).alias("_trigger"), m.alias("_term")))
+    return F.when(low.contains(literal), located).otherwise(F.array().cast("array<struct<_start:int,_ord:int,_trigger:string,_term:string>>")) if literal else located
 
 
 def detect_terms(docs: DataFrame, key: str, text: str, config: Config | None = None, triggers: Triggers | None = None) -> DataFrame:
     """(key, sentence_no, start, trigger, term, context, marked): one row for each term found, other columns of `docs` kept.
 
-    A context is the sentence with its neighbours. Null and empty texts give no rows.
+    Of the terms that begin at one place the first in order counts. A context is the sentence with its neighbours, at most
+    `window` characters to either side of the term, without boilerplate, cleaned, and cut to `max_context` characters around the
+    term's first occurrence, which is marked in `marked`. Null and empty texts give no rows.
     """
     config, triggers = config or Config(), triggers or default_triggers()
     around = config.sentences_around
-    any_term = v.exists(*[c for _, c in triggers], tail="-")
-    squeezed = lambda c: F.regexp_replace(c, r"\s+", " ")
-    cut = lambda c: F.when(F.length(c) > config.max_context, F.concat(F.substring(c, 1, config.max_context), F.lit("..."))).otherwise(c)
+    any_term = v.exists(*[c for _, c in triggers])
+
+    def cut(c: Column, place: Column) -> Column:
+        most = F.lit(config.max_context)
+        start = F.least(F.greatest(F.lit(0), place - 1 - config.max_context // 2), F.greatest(F.lit(0), F.length(c) - most))
+        return F.when(F.length(c) > most, F.concat(c.substr(start + 1, most), F.lit("..."))).otherwise(c)
 
     def in_context(sentence: Column, i: Column) -> Column:
         begin = F.greatest(F.lit(0), i - around)
         whole = F.array_join(F.slice("_s", begin + 1, i - begin + 1 + around), " ")
         head = F.length(F.array_join(F.slice("_s", begin + 1, i - begin), " ")) + F.when(i > begin, 1).otherwise(0)
-        return F.struct(i.alias("no"), sentence.alias("sentence"), whole.alias("whole"), cut(squeezed(whole)).alias("context"), head.alias("head"))
+        return F.struct(i.alias("_no"), sentence.alias("_sentence"), whole.alias("_whole"), head.alias("_head"))
 
-    # generators keep the contexts from being computed again in every predicate on them
+    # generators keep sentences, matches and contexts from being computed again in every expression on them
     split = docs.where(F.col(text).rlike(any_term)).withColumn("_s", t.sentences(F.col(text)))
-    rows = split.select(*docs.columns, F.explode(F.filter(F.transform("_s", in_context), lambda x: x["sentence"].rlike(any_term))).alias("_c"))
-    matches = F.flatten(F.array(*[term_matches(F.col("_c.sentence"), i, kind, core) for i, (kind, core) in enumerate(triggers)]))
-    found = rows.withColumn("_m", F.explode(first_at_each_start(matches)))
-    whole, at, term = F.col("_c.whole"), F.col("_c.head") + F.col("_m.start"), F.col("_m.term")
-    marked = F.concat(whole.substr(F.lit(1), at), F.lit(">>>"), term, F.lit("<<<"), whole.substr(at + F.length(term) + 1, F.length(whole)))
-    return found.select(*docs.columns, F.col("_c.no").alias("sentence_no"), "_m.start", "_m.trigger", "_m.term", "_c.context", cut(squeezed(marked)).alias("marked"))
+    rows = split.select(*docs.columns, F.inline(F.filter(F.transform("_s", in_context), lambda x: x["_sentence"].rlike(any_term))))
+    low = F.lower("_sentence")
+    matches = F.flatten(F.array(*[term_matches(F.col("_sentence"), low, i, kind, core) for i, (kind, core) in enumerate(triggers)]))
+    ordered = rows.select(*docs.columns, "_no", "_whole", "_head", F.explode(F.array(F.array_sort(matches))).alias("_o"))
+    found = ordered.select(*docs.columns, "_no", "_whole", "_head", F.inline(F.filter("_o", lambda m, i: (i == 0) | (F.get("_o", i - 1)["_start"] != m["_start"]))))
+    at, term = F.col("_head") + F.col("_start"), F.col("_term")
+    left = F.greatest(F.lit(0), at - config.window)
+    near = F.col("_whole").substr(left + 1, at - left + F.length(term) + config.window)
+    cleaned = F.trim(F.regexp_replace(t.clean(t.without_boilerplate(near)), r"\s+", " "))
+    held = found.withColumn("_x", F.explode(F.array(cleaned)))
+    place = F.instr(F.col("_x"), term)
+    marked = F.when(place > 0, F.concat(F.col("_x").substr(F.lit(1), place - 1), F.lit(">>>"), term, F.lit("<<<"), F.col("_x").substr(place + F.length(term), F.length("_x")))).otherwise(F.col("_x"))
+    return held.select(*docs.columns, F.col("_no").alias("sentence_no"), F.col("_start").alias("start"), F.col("_trigger").alias("trigger"), F.col("_term").alias("term"), cut(F.col("_x"), place).alias("context"), cut(marked, place).alias("marked"))
 
 
 def score_mentions(mentions: DataFrame, doc_type: str = "doc_type") -> DataFrame:
     """Drops false positives and traditional robots and processes, scores the rest, and treats negated contexts: hard ones
     go, soft ones keep four tenths of their confidence and become mention_only."""
     context, term = F.col("context"), F.col("term")
-    kept = mentions.where(~p.false_positive(term, context)).withColumns({"robotics_type": p.robotics_class(context), "rpa_type": p.rpa_class(context), "negation": p.negation(context)})
+    judged = F.when(F.col("trigger") == "semantic", "").otherwise(term)  # a paragraph has no term of its own
+    kept = mentions.where(~p.false_positive(judged, context)).withColumns({"robotics_type": p.robotics_class(context), "rpa_type": p.rpa_class(context), "negation": p.negation(context)})
     kept = kept.where((F.col("robotics_type") != "traditional_robotics") & (F.col("rpa_type") != "traditional_rpa") & (F.col("negation") != "hard"))
-    score, strength, reasons = p.confidence(F.col("trigger"), F.lit(0.0), context, F.col(doc_type))
+    score, strength, reasons = p.confidence(F.col("trigger"), F.coalesce("semantic_score", F.lit(0.0)) if "semantic_score" in mentions.columns else F.lit(0.0), context, F.col(doc_type))
     soft = F.col("negation") == "soft"
     return kept.withColumns({"confidence_score": score, "reference_strength": strength, "confidence_reasons": reasons}).withColumns(
         {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +16,10 @@ DIMENSIONS = ["intensity", "semantic", "diversity", "sentiment", "maturity", "fu
 
 
 def _count(text: Column, cores: list[str]) -> Column:
-    """Occurrences of any core; the neighbouring characters belong to the match, as in `exists`."""
-    return F.regexp_count(text, F.lit(v.exists(*cores)))
+    """Occurrences of any core; the neighbouring characters belong to the match, as in `exists`. Texts without any name of AI
+    are not searched, as every core holds one."""
+    named = reduce(or_, [F.lower(text).contains(n) for n in v.NAMES])
+    return F.when(named, F.regexp_count(text, F.lit(v.exists(*cores)))).otherwise(0)
 
 
 def weight(confidence: Column) -> Column:

@@ -24,7 +24,20 @@ def first_of_each(rows: DataFrame, keys: list[str], order: list[Column]) -> Data
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def merge_clusters(rows: DataFrame, cluster: str, row_id: str, confidence: str, semantic: str, context: str, kind: str, occurrences: str, sentiment: str) -> DataFrame:
+    """One row for each cluster: the representative (highest confidence, then semantic score, then longest context, then
+    smallest id), the sorted distinct kinds of filing, their number, all occurrences, and means of the scores; of the semantic
+    score only values above 0 count. Null and NaN scores count as missing."""
+    none = F.lit(None).cast("double")
+    s, c, x = (F.nanvl(name, none) for name in (semantic, confidence, sentiment))
+    best = F.struct(F.coalesce(c, F.lit(-1.0)), F.coalesce(s, F.lit(-1.0)), F.coalesce(F.length(context), F.lit(0)), -F.col(row_id))
+    return rows.groupBy(cluster).agg(
+        F.max_by(row_id, best).alias("representative"), F.array_join(F.sort_array(F.collect_set(kind)), ";").alias("sources"), F.countDistinct(kind).alias("doc_count"), F.sum(occurrences).alias("total_occurrences"),
+        F.avg(x).alias("avg_sentiment_score"), F.coalesce(F.avg(F.when(s > 0, s)), F.lit(0.0)).alias("avg_semantic_score"), F.avg(c).alias("avg_confidence_score"), F.count("*").alias("n_rows"),
+    )
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): connected components of the edges (a, b), the smallest id naming each.
 
     Large star and small star in turn until nothing changes; each round is cut to the checkpoint folder. No component is
@@ -32,7 +45,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     current = cut(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:  # the number of rounds grows with the logarithm of the longest path
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -44,7 +57,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = current.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("component"))
     return roots.unionByName(roots.select(F.col("component").alias("id"), "component").distinct())

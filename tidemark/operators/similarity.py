@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,17 +23,54 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(x.cast("double")))
 
 
-def similar_in_groups(rows: DataFrame, key: str, group: str, vector: str, threshold: float, blocks: int = 8) -> DataFrame:
-    """(a, b, similarity), a < b: pairs of one group with at least `threshold`.
+def _vectors(values: list) -> np.ndarray:
+    return np.array(values, dtype=np.float64).reshape(len(values), -1)
 
-    A group is cut into `blocks` by a hash of the id; each row goes to the cells it shares with every block, so the pairs of a
-    large group are spread over blocks * (blocks + 1) / 2 tasks instead of one. Null vectors and groups have no partners.
+
+def word_vectors(texts: list[str]) -> np.ndarray:
+    """Word counts over the words of just these texts."""
+    code: dict[str, int] = {}
+    at, rows = [], []
+    for i, t in enumerate(texts):
+        found = [code.setdefault(w, len(code)) for w in re.findall(r"[^\W_]+", t.lower())]
+        at += found
+        rows += [i] * len(found)
+    counts = np.zeros((len(texts), max(1, len(code))))
+    np.add.at(counts, (np.array(rows, dtype=np.int64), np.array(at, dtype=np.int64)), 1)
+    return counts
+
+
+def similar_in_groups(rows: DataFrame, key: str, group: str | list[str], value: str, threshold: float, block: int = 2000, embed: Callable[[list], np.ndarray] | None = None) -> DataFrame:
+    """(a, b, similarity), a < b: pairs of one group whose vectors have a cosine of at least `threshold`.
+
+    `value` is an array column of one length, or anything that `embed` turns into the rows of a matrix. A group is cut into
+    blocks of about `block` rows by a hash of the id, so the number of blocks follows its size; each pair of blocks is a cell,
+    and a cell one matrix product of bounded size in a task of its own. Every pair is compared, so the work grows with the
+    square of a group. Null values and groups have no partners, nor have vectors of length 0.
     """
-    base = rows.select(F.col(key).alias("id"), F.col(group).alias("g"), unit(F.col(vector)).alias("v")).dropna().withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    cells = base.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "g", "v", "k", F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"))
-    left, right = cells.select("g", "x", "y", F.col("id").alias("a"), F.col("v").alias("va"), F.col("k").alias("ka")), cells.select("g", "x", "y", F.col("id").alias("b"), F.col("v").alias("vb"), F.col("k").alias("kb"))
-    pairs = left.join(right, ["g", "x", "y"]).where("a < b and (x = y or ka <> kb)")
-    return pairs.withColumn("similarity", dot(F.col("va"), F.col("vb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    embed = embed or _vectors
+    groups = [group] if isinstance(group, str) else group
+    base = rows.select(F.col(key).alias("id"), *[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)], F.col(value).alias("v")).dropna()
+    by = [f"g{i}" for i in range(len(groups))]
+    sizes = base.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    numbered = base.join(sizes, by).withColumn("k", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    cells = numbered.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("id", *by, "v", "k", F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def compare(cell: pa.Table) -> pa.Table:
+        ids, blocks = cell.column("id").to_numpy(), cell.column("k").to_numpy()
+        v = embed(cell.column("v").to_pylist())
+        length = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        v = np.divide(v, length, out=np.zeros_like(v), where=length > 0)
+        low, high = cell.column("x")[0].as_py(), cell.column("y")[0].as_py()
+        left, right = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
+        found = v[left] @ v[right].T
+        i, j = np.nonzero(found >= threshold - 1e-12)
+        a, b, s = ids[left[i]], ids[right[j]], found[i, j]
+        keep = a < b if low == high else a != b
+        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": s[keep]})
+
+    return cells.groupBy(*by, "x", "y").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
 
 
 def nearest_anchor(rows: DataFrame, key: str, vector: str, anchors: DataFrame, anchor_key: str, anchor_vector: str, most_anchors: int = 1000) -> DataFrame:

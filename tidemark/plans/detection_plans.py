@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark import vocabulary as v
 from tidemark.functions import predicates as p
 from tidemark.functions import text as t
-from tidemark.operators import classify, detect
+from tidemark.operators import classify, detect, semantic
+from tidemark.plans.text_plans import boilerplate_sql, clean_sql
 from tidemark.sources.tables import spread, table
 
 _COLUMNS = ("doc_id", "text", "company", "year", "doc_type")
@@ -18,8 +19,8 @@ def _found(spark: SparkSession, base: str) -> DataFrame:
     return detect.detect_terms(spread(table(spark, base, "documents", *_COLUMNS)), "doc_id", "text").drop("text")
 
 
-def _contexts(spark: SparkSession, base: str) -> DataFrame:
-    rows = spread(table(spark, base, "mentions", "mention_id", "text", "context", "doc_type")).where("text is not null and context is not null")
+def _contexts(spark: SparkSession, base: str, *more: str) -> DataFrame:
+    rows = spread(table(spark, base, "mentions", "mention_id", "context", "doc_type", *more)).where(" and ".join(f"{c} is not null" for c in ("context", *more)))
     return rows.withColumn("context", F.regexp_replace(t.unmarked(F.col("context")), r"\s+", " "))
 
 
@@ -36,6 +37,12 @@ def detect_with_negation(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("doc_id", "sentence_no", "start", "term", "robotics_type", "rpa_type", F.round("confidence_score", 6).alias("confidence_score"), "reference_strength", "confidence_reasons", "is_negated_context")
 
 
+def semantic_paragraphs(spark: SparkSession, base: str) -> DataFrame:
+    """Paragraphs near an anchor, found by hashed word vectors in place of a model."""
+    rows = semantic.detect_paragraphs(spread(table(spark, base, "documents", *_COLUMNS)), "doc_id", "text", separator="\n")
+    return detect.score_mentions(rows).select("doc_id", "sentence_no", "term", F.round("semantic_score", 6).alias("semantic_score"), F.round("confidence_score", 6).alias("confidence_score"), "reference_strength")
+
+
 def mention_only_filter(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "mentions", "mention_id", "reference_strength", "detection_method")
     strength = F.coalesce(F.nullif("reference_strength", F.lit("unknown")), t.decoded_detection(F.col("detection_method"))["strength"], F.lit("unknown"))
@@ -43,7 +50,7 @@ def mention_only_filter(spark: SparkSession, base: str) -> DataFrame:
 
 
 def fp_filter(spark: SparkSession, base: str) -> DataFrame:
-    return _contexts(spark, base).select("mention_id", p.false_positive(F.col("text"), F.col("context")).alias("is_false"))
+    return _contexts(spark, base, "text").select("mention_id", p.false_positive(F.col("text"), F.col("context")).alias("is_false"))
 
 
 def corrupted_context(spark: SparkSession, base: str) -> DataFrame:
@@ -85,7 +92,7 @@ def confidence_strength(spark: SparkSession, base: str) -> DataFrame:
 def _classified(axis: str, gate: float | None, none: str):
     def query(spark: SparkSession, base: str) -> DataFrame:
         best = classify.best_category(F.concat_ws(" ", "text", "context"), axis, gate, none)
-        return _contexts(spark, base).select("mention_id", best.alias("b")).select("mention_id", "b.code", "b.domain", F.round("b.confidence", 6).alias("confidence"))
+        return _contexts(spark, base, "text").select("mention_id", best.alias("b")).select("mention_id", "b.code", "b.domain", F.round("b.confidence", 6).alias("confidence"))
 
     return query
 
@@ -98,7 +105,14 @@ classify_eu = _classified("eu", None, "Unclassified")
 def tri_axis_unclassified(spark: SparkSession, base: str) -> DataFrame:
     both = F.concat_ws(" ", "text", "context")
     a, b, eu = classify.best_category(both, "a")["code"], classify.best_category(both, "b")["code"], classify.best_category(both, "eu", None, "Unclassified")["code"]
-    return _contexts(spark, base).select(((a == "none") & (b == "none") & (eu == "Unclassified")).alias("open")).agg(F.count("*").alias("n"), F.count_if("open").alias("n_unclassified"))
+    return _contexts(spark, base, "text").select(((a == "none") & (b == "none") & (eu == "Unclassified")).alias("open")).agg(F.count("*").alias("n"), F.count_if("open").alias("n_unclassified"))
+
+
+def doc_categories(spark: SparkSession, base: str) -> DataFrame:
+    """How many mentions of each category a document has, as a map in a fixed order."""
+    rows = detect.score_mentions(_found(spark, base)).select("doc_id", classify.best_category(F.concat_ws(" ", "term", "context"), "a")["code"].alias("code"))
+    counts = rows.groupBy("doc_id", "code").agg(F.count("*").alias("n"))
+    return counts.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "code", "n"))), ";").alias("categories"))  # as many as there are codes
 
 
 def doc_counters(spark: SparkSession, base: str) -> DataFrame:
@@ -113,7 +127,7 @@ def keyword_lookup(spark: SparkSession, base: str) -> DataFrame:
     return codes.join(mentions.groupBy("axis", "code").agg(F.count("*").alias("n")), ["axis", "code"], "left").select("code", "axis", "label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (detect_hard_soft, context_window, detect_with_negation, mention_only_filter, fp_filter, corrupted_context, validator_check, robotics_class, rpa_class, negation_class, esg_like, feature_counts, confidence_strength, tri_axis_unclassified, doc_counters, keyword_lookup)}
+QUERIES = {f.__name__: f for f in (detect_hard_soft, context_window, detect_with_negation, mention_only_filter, fp_filter, corrupted_context, validator_check, robotics_class, rpa_class, negation_class, esg_like, feature_counts, confidence_strength, tri_axis_unclassified, doc_counters, doc_categories, keyword_lookup, semantic_paragraphs)}
 QUERIES |= {"classify_axis_a": classify_axis_a, "classify_axis_b": classify_axis_b, "classify_eu": classify_eu}
 
 
@@ -124,13 +138,13 @@ def _q(s: str) -> str:
 def _doubled(core: str) -> str:
     """The core for text in which every character that belongs to no word stands twice, so that each match has its own
     boundaries although RE2 consumes them."""
-    return core.replace(r"[\s-]?", "\x01").replace(r"[\s-]", r"[\s-]{2}").replace("\x01", r"(?:[\s-]{2})?").replace(" ", "  ")
+    return core.replace(r"[\s-]?", r"(?:[\s-]{2})?").replace(r"\s+", r"(?:\s\s)+")
 
 
 _W = v.WORD_CHARS
-_ANY = _q(v.exists(*[c for _, c in detect.default_triggers()], tail="-"))
+_ANY = _q(v.exists(*[c for _, c in detect.default_triggers()]))
 _PARTS = " UNION ALL ".join(
-    f"SELECT doc_id, no, {i} AS ord, '{k}' AS trigger, string_split(regexp_replace(twice, '(?i)(^|[^{_W}])({_q(_doubled(c))})([^{_W}-]|$)', '\\1' || chr(1) || '\\2' || chr(1) || '\\3', 'g'), chr(1)) AS q FROM twofold"
+    f"SELECT doc_id, no, {i} AS ord, '{k}' AS trigger, string_split(regexp_replace(twice, '(?i)(^|[^{_W}])({_q(_doubled(c))})([^{_W}{v.TAILS.get(c, '')}]|$)', '\\1' || chr(1) || '\\2' || chr(1) || '\\3', 'g'), chr(1)) AS q FROM twofold"
     for i, (k, c) in enumerate(detect.default_triggers())
 )
 DETECT = f"""
@@ -150,9 +164,14 @@ WITH sents AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY doc_id, no, start ORDER BY ord) AS nth FROM located
 ), found AS (
   SELECT doc_id, company, year, doc_type, CAST(no AS INTEGER) AS sentence_no, CAST(start AS INTEGER) AS start, trigger, substr(sentence, start + 1, size) AS term,
-    regexp_replace(array_to_string(s[greatest(0, no - 2) + 1:no + 3], ' '), '\\s+', ' ', 'g') AS whole FROM once JOIN sents USING (doc_id, no) WHERE nth = 1
+    array_to_string(s[greatest(0, no - 2) + 1:no + 3], ' ') AS joined, CASE WHEN no > 0 THEN length(array_to_string(s[greatest(0, no - 2) + 1:no], ' ')) + 1 ELSE 0 END + start AS place FROM once JOIN sents USING (doc_id, no) WHERE nth = 1
+), near AS (
+  SELECT * EXCLUDE (joined, place), substr(joined, greatest(0, place - 2000) + 1, place - greatest(0, place - 2000) + length(term) + 2000) AS n FROM found
+), tidy AS (
+  SELECT * EXCLUDE (n), trim(regexp_replace({clean_sql(boilerplate_sql("n"))}, '\\s+', ' ', 'g'), ' ') AS whole FROM near
 ), mentions_found AS (
-  SELECT * EXCLUDE (whole), CASE WHEN length(whole) > 2000 THEN substr(whole, 1, 2000) || '...' ELSE whole END AS context, CASE WHEN length(whole) + 6 > 2000 THEN 2003 ELSE length(whole) + 6 END AS marked_chars FROM found
+  SELECT * EXCLUDE (whole), CASE WHEN length(whole) > 2000 THEN substr(whole, least(greatest(0, strpos(whole, term) - 1001), length(whole) - 2000) + 1, 2000) || '...' ELSE whole END AS context,
+    CASE WHEN strpos(whole, term) = 0 THEN least(length(whole), 2003) WHEN length(whole) + 6 > 2000 THEN 2003 ELSE length(whole) + 6 END AS marked_chars FROM tidy
 )"""
 
 
@@ -169,11 +188,13 @@ CORRUPTED = "coalesce(length(context) >= 20 AND (length(regexp_replace(context,
 
 def _fp(term: str) -> str:
     both = f"{term} || ' ' || context"
-    return f"({CORRUPTED} OR {' OR '.join(_m(both, x) for x in v.FALSE_POSITIVE.values())} OR (length({term}) <= 3 AND NOT {_any('context', v.VALIDATORS)}))"
+    unless = " OR ".join(f"({_m(both, p)} AND NOT {_m(both, q)})" for p, q in v.FALSE_UNLESS.values())
+    return f"({CORRUPTED} OR {' OR '.join(_m(both, x) for x in v.FALSE_POSITIVE.values())} OR {unless} OR (length({term}) <= 3 AND NOT {_any('context', v.VALIDATORS)}))"
 
 
-ROBOTICS = f"CASE WHEN NOT contains(lower(context), 'robot') THEN 'not_robotics' WHEN {_m('context', v.ROBOT_AI)} THEN 'ai_robotics' ELSE 'traditional_robotics' END"
-RPA = f"CASE WHEN {_m('context', v.RPA_AI)} THEN 'ai_rpa' WHEN {_m('context', v.RPA_ANY)} THEN 'traditional_rpa' ELSE 'not_rpa' END"
+ROBOTICS = f"CASE WHEN NOT contains(lower(context), 'robot') THEN 'not_robotics' WHEN {_m('context', v.ROBOT_AI)} THEN 'ai_robotics' WHEN {_m('context', v.ROBOT_TRADITIONAL)} THEN 'traditional_robotics' WHEN {_any('context', v.ROBOT_HINTS)} THEN 'ai_robotics' ELSE 'traditional_robotics' END"
+_BEHIND = f"regexp_replace(context, '(?is)^.*(?:^|[^{_W}]){v.RPA_NAMES}', '')"
+RPA = f"CASE WHEN NOT {_any('context', v.RPA_GUARD)} THEN 'not_rpa' WHEN {_m('context', v.RPA_AI)} THEN 'ai_rpa' WHEN {_m('context', v.exists(v.RPA_NAMES))} AND NOT {_m(_BEHIND, v.RPA_LEARNING)} OR {_m('context', v.RPA_RULES)} THEN 'traditional_rpa' ELSE 'not_rpa' END"
 NEGATION = f"CASE WHEN {_m('context', v.exists(*v.NEGATION_HARD))} THEN 'hard' WHEN {_m('context', v.exists(*v.NEGATION_SOFT))} THEN 'soft' ELSE 'none' END"
 ESG = f"({_any(chr(99) + 'oalesce(doc_type, ' + chr(39) * 2 + ')', v.ESG_TYPES)} OR {_any('context', v.ESG_TEXT)})"
 CUES = f"{_m('context', v.exists(*v.IMPLEMENTATION))} AS impl, {_m('context', v.exists(*v.ARTIFACT))} AS arti, {_m('context', v.exists(*v.HARD))} AS hardterm, {_m('context', v.exists(*v.MARKETING))} AS marks, {ESG} AS esg"
@@ -200,17 +221,31 @@ SCORED = (
     CASE WHEN negation = 'soft' THEN 'mention_only' ELSE {STRENGTH} END AS reference_strength, CASE WHEN negation = 'soft' THEN concat_ws(';', nullif(why, ''), 'negation_soft') ELSE why END AS confidence_reasons, negation = 'soft' AS is_negated_context FROM summed
 )"""
 )
-CONTEXTS = "WITH c AS (SELECT mention_id, text, doc_type, regexp_replace(regexp_replace(context, '>>>(.*?)<<<', '\\1', 'g'), '\\s+', ' ', 'g') AS context FROM mentions WHERE text IS NOT NULL AND context IS NOT NULL) "
+CONTEXTS = "WITH c AS (SELECT mention_id, text, doc_type, regexp_replace(regexp_replace(context, '>>>(.*?)<<<', '\\1', 'g'), '\\s+', ' ', 'g') AS context FROM mentions WHERE context IS NOT NULL) "
+BOTH = CONTEXTS.replace("WHERE context", "WHERE text IS NOT NULL AND context")
 
 
-def _classify_sql(axis: str, gate: float | None, none: str) -> str:
+def _scores_sql(axis: str) -> str:
     scores = []
     for i, (code, domain, keywords, patterns) in enumerate((c, d, k, ps) for a, c, d, k, ps in v.TAXONOMY if a == axis):
         sums = " + ".join([f"CASE WHEN {_m('low', v.exists(c))} THEN {w}::DOUBLE ELSE 0::DOUBLE END" for c, w in [(x, 0.5) for x in patterns] + [(k, 0.2) for k in keywords]])
         scores.append(f"{{'score': {sums}, 'first': {-i}, 'code': '{code}', 'domain': '{domain}'}}")
-    fits = f"least(1.0::DOUBLE, b.score / 1.5::DOUBLE) >= {gate}::DOUBLE" if gate is not None else "b.score > 0"
-    return CONTEXTS + f"""SELECT mention_id, CASE WHEN {fits} THEN b.code ELSE '{none}' END AS code, CASE WHEN {fits} THEN b.domain ELSE '{none}' END AS domain, round(CASE WHEN {fits} THEN least(1.0::DOUBLE, b.score / 1.5::DOUBLE) ELSE 0 END, 6) AS confidence
-FROM (SELECT mention_id, list_max([{', '.join(scores)}]) AS b FROM (SELECT mention_id, lower(text || ' ' || context) AS low FROM c))"""
+    return f"list_max([{', '.join(scores)}])"
+
+
+def best_sql(axis: str, gate: float | None, none: str) -> str:
+    """The code of the best category of the column `low`."""
+    return f"list_transform([{_scores_sql(axis)}], lambda b: CASE WHEN {_fits(gate)} THEN b.code ELSE '{none}' END)[1]"
+
+
+def _fits(gate: float | None) -> str:
+    return f"least(1.0::DOUBLE, b.score / 1.5::DOUBLE) >= {gate}::DOUBLE" if gate is not None else "b.score > 0"
+
+
+def _classify_sql(axis: str, gate: float | None, none: str) -> str:
+    fits = _fits(gate)
+    return BOTH + f"""SELECT mention_id, CASE WHEN {fits} THEN b.code ELSE '{none}' END AS code, CASE WHEN {fits} THEN b.domain ELSE '{none}' END AS domain, round(CASE WHEN {fits} THEN least(1.0::DOUBLE, b.score / 1.5::DOUBLE) ELSE 0 END, 6) AS confidence
+FROM (SELECT mention_id, {_scores_sql(axis)} AS b FROM (SELECT mention_id, lower(text || ' ' || context) AS low FROM c))"""
 
 
 def _hits_sql(cores: list[str]) -> str:
@@ -222,8 +257,9 @@ ORACLE = {
     "context_window": DETECT + " SELECT doc_id, sentence_no, start, md5(context) AS context_md5, CAST(marked_chars AS BIGINT) AS marked_chars FROM mentions_found",
     "detect_with_negation": SCORED + " SELECT doc_id, sentence_no, start, term, robotics_type, rpa_type, round(confidence_score, 6) AS confidence_score, reference_strength, confidence_reasons, is_negated_context FROM scored",
     "doc_counters": SCORED + " SELECT doc_id, count(*) AS total_refs, count(*) FILTER (trigger = 'hard') AS hard_refs, count(*) FILTER (reference_strength = 'mention_only') AS mention_only_refs, count(DISTINCT lower(term)) AS terms FROM scored GROUP BY doc_id",
+    "doc_categories": SCORED + f" SELECT doc_id, array_to_string(list_sort(list(code || '=' || n)), ';') AS categories FROM (SELECT doc_id, code, count(*) AS n FROM (SELECT doc_id, {best_sql('a', 0.25, 'none')} AS code FROM (SELECT doc_id, lower(term || ' ' || context) AS low FROM scored)) GROUP BY ALL) GROUP BY doc_id",
     "mention_only_filter": "SELECT * FROM (SELECT mention_id, coalesce(nullif(reference_strength, 'unknown'), nullif(regexp_extract(detection_method, '(?:^|\\|)strength=([a-z_]+)', 1), ''), 'unknown') AS strength FROM mentions) WHERE strength <> 'mention_only'",
-    "fp_filter": CONTEXTS + f"SELECT mention_id, {_fp('text')} AS is_false FROM c",
+    "fp_filter": BOTH + f"SELECT mention_id, {_fp('text')} AS is_false FROM c",
     "corrupted_context": CONTEXTS + f"SELECT mention_id, {CORRUPTED} AS is_corrupted FROM c",
     "validator_check": CONTEXTS + f"SELECT mention_id, {_any('context', v.VALIDATORS)} AS is_valid FROM c",
     "robotics_class": CONTEXTS + f"SELECT mention_id, {ROBOTICS} AS made FROM c",
@@ -238,6 +274,6 @@ SELECT mention_id, round(conf, 6) AS confidence, {STRENGTH} AS strength, reasons
     "classify_axis_a": _classify_sql("a", 0.25, "none"),
     "classify_axis_b": _classify_sql("b", 0.25, "none"),
     "classify_eu": _classify_sql("eu", None, "Unclassified"),
-    "keyword_lookup": "SELECT code, axis, label, (SELECT count(*) FROM mentions m WHERE upper(trim(m.category_a, ' ')) = t.code) AS n FROM taxonomy_codes t",
+    "keyword_lookup": "SELECT code, axis, label, CASE axis WHEN 'a' THEN (SELECT count(*) FROM mentions m WHERE upper(trim(m.category_a, ' ')) = t.code) ELSE (SELECT count(*) FROM mentions m WHERE upper(trim(m.category_b, ' ')) = t.code) END AS n FROM taxonomy_codes t",
 }
 ORACLE["tri_axis_unclassified"] = f"SELECT count(*) AS n, count(*) FILTER (a.code = 'none' AND b.code = 'none' AND e.code = 'Unclassified') AS n_unclassified FROM ({ORACLE['classify_axis_a']}) a JOIN ({ORACLE['classify_axis_b']}) b USING (mention_id) JOIN ({ORACLE['classify_eu']}) e USING (mention_id)"

@@ -101,11 +101,23 @@ def _nested(source: str, rules: list[tuple[str, str]]) -> str:
     return source
 
 
-_CLEAN = _nested(
-    "text",
+_CLEAN_RULES = (
     [(rf"(?i)\b{''.join(f'({c})' for c in n)}\b", "".join(f"\ue000\\{i + 1}" for i in range(len(n))) + "\ue000") for n in t.COMPOUND_NAMES if len(n) < 10]
-    + [(r"([a-z])([A-Z][a-z])", r"\1 \2"), (r"([a-z])([A-Z]{2,})", r"\1 \2"), (r"([A-Z]{2,})([a-z])", r"\1 \2"), (r"(\.)([A-Z])", r"\1 \2"), (r"(,)([a-zA-Z])", r"\1 \2"), ("\ue000", ""), (" +", " "), (r"\n\s*\n\s*\n+", "\n\n"), (r"^\s+|\s+$", "")],
+    + [(r"([a-z])([A-Z][a-z])", r"\1 \2"), (r"([a-z])([A-Z]{2,})", r"\1 \2"), (r"([A-Z]{2,})([a-z])", r"\1 \2"), (r"(\.)([A-Z])", r"\1 \2"), (r"(,)([a-zA-Z])", r"\1 \2"), ("\ue000", ""), (" +", " "), (r"\n\s*\n\s*\n+", "\n\n"), (r"^\s+|\s+$", "")]
 )
+
+
+def clean_sql(source: str) -> str:
+    """The text cleaner as SQL over an expression."""
+    return _nested(source, _CLEAN_RULES)
+
+
+def boilerplate_sql(source: str) -> str:
+    """The boilerplate strip as SQL over an expression."""
+    return _nested(source, [(p, " ") for p in t.BOILERPLATE])
+
+
+_CLEAN = clean_sql("text")
 _KIND = "CASE " + " ".join(f"WHEN contains(lower(stem), '{n}') THEN '{label}'" for n, label in t.DOC_TYPES) + " ELSE 'Annual Report' END"
 _MARK = "coalesce(" + ", ".join(f"nullif(regexp_extract(plain, '(?i)(^|[^{_W}])({c})([^{_W}-]|$)', 2), '')" for c in PRIORITY) + ")"
 
@@ -117,7 +129,7 @@ ORACLE = {
 SELECT doc_id, CASE WHEN text IS NULL OR length(text) < 100 THEN 'empty' WHEN (length(text) - length(replace(text, '�', ''))) / length(text) > 0.05 THEN 'replacement_chars'
   WHEN length(regexp_replace(text, '[^\\p{L}]', '', 'g')) / length(text) < 0.40 THEN 'low_letters'
   WHEN length(text) > 500 AND (length(text) - length(replace(text, ' ', ''))) / length(text) < 0.08 THEN 'no_spaces' ELSE 'valid' END AS reason FROM documents""",
-    "text_boilerplate": f"SELECT doc_id, md5({_nested('text', [(p, ' ') for p in t.BOILERPLATE])}) AS stripped_md5 FROM documents",
+    "text_boilerplate": f"SELECT doc_id, md5({boilerplate_sql('text')}) AS stripped_md5 FROM documents",
     "text_page_estimate": "SELECT doc_id, CAST((length(text) - length(replace(text, chr(10), ''))) // 50 + 1 AS INTEGER) AS page FROM documents WHERE text IS NOT NULL",
     "text_sanitize": r"""
 SELECT doc_id, md5(CASE WHEN length(s) > 32000 THEN substr(s, 1, 32000) || '...' ELSE s END) AS sane_md5 FROM (

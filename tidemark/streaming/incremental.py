@@ -12,7 +12,8 @@ KEYS = ["company", "year", "doc_type", "page", "text"]
 
 
 def partial(rows: DataFrame) -> DataFrame:
-    """The state of a set of mentions: occurrences, the largest confidence, and the first and last row by id."""
+    """The state of a set of mentions: occurrences, the largest confidence, and the first and last row by id; NaN is null."""
+    rows = rows.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("semantic_score", "confidence_score")})
     first = F.min(F.struct("mention_id", "context", "category_a"))
     last = F.max(F.struct("mention_id", "semantic_score"))
     return rows.groupBy(*KEYS).agg(F.count("*").alias("occurrence_count"), F.max("confidence_score").alias("confidence_score"), first.alias("first_row"), last.alias("last_row"))
