@@ -35,3 +35,16 @@ def from_codes(codes: np.ndarray, offsets: np.ndarray, null: np.ndarray | None =
 def row_of(offsets: np.ndarray, positions: np.ndarray) -> np.ndarray:
     """The row of each position."""
     return np.searchsorted(offsets, positions, side="right") - 1
+
+
+def rows_with(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which rows hold a position that is marked."""
+    sums = np.concatenate([[0], np.cumsum(mask)])
+    return np.flatnonzero(sums[offsets[1:]] > sums[offsets[:-1]])
+
+
+def only_rows(codes: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of just these rows, and their offsets."""
+    size = offsets[rows + 1] - offsets[rows]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return codes[np.repeat(offsets[rows] - ends[:-1], size) + np.arange(ends[-1])], ends

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.codepoints import from_codes, row_of, to_codes
+from tidemark.llm.codepoints import from_codes, only_rows, row_of, rows_with, to_codes
 from tidemark.llm.counts import MOST_SENT, with_decisions
 from tidemark.llm.garbled import EDGES, span_mask, wrong_words
 
@@ -141,7 +141,22 @@ def ordinary_forms(codes: np.ndarray, offsets: np.ndarray, skip: np.ndarray) ->
     source = np.repeat(np.arange(len(codes)), count)
     out = t["pool"][first[source] + np.arange(ends[-1]) - ends[source]]
     out[far[source]] = codes[source][far[source]]
-    return *composed(out, ends[offsets]), hit
+    return *_composed_rows(out, ends[offsets]), hit
+
+
+def _composed_rows(out: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows, those that hold a separate mark composed."""
+    rows = rows_with((out >= 0x300) & (out < 0x370), offsets)
+    if not len(rows):
+        return out, offsets
+    part, ends = composed(*only_rows(out, offsets, rows))
+    size = np.diff(offsets)
+    size[rows] = np.diff(ends)
+    made = np.concatenate([[0], np.cumsum(size)])
+    begin = offsets[:-1].copy()
+    begin[rows] = len(out) + ends[:-1]
+    source = np.concatenate([out, part])
+    return source[np.repeat(begin - made[:-1], size) + np.arange(made[-1])], made
 
 
 def composed(out: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,15 +237,19 @@ def consistent_text(df: DataFrame, key: str, text: str, most_sent: int = MOST_SE
     def normalise(batch: pa.RecordBatch, known: Callable[[int], dict[str, str]]) -> pa.RecordBatch:
         column = batch.column("t")
         codes, offsets = to_codes(column)
+        held = rows_with((codes > 0x7F) | (codes == 9), offsets)  # nothing else can change
+        codes, offsets = only_rows(codes, offsets, held)
         skip = span_mask(codes, offsets)
         words, rows, begin, end = odd_words(codes, offsets, skip)
-        garbled = np.array([w in known(r) for w, r in zip(words.to_pylist(), rows.tolist())], dtype=bool)
+        garbled = np.array([w in known(int(held[r])) for w, r in zip(words.to_pylist(), rows.tolist())], dtype=bool)
         edges = np.zeros(len(codes) + 1, dtype=np.int64)
         np.add.at(edges, begin[garbled], 1)
         np.add.at(edges, end[garbled], -1)
         out, ends, hit = ordinary_forms(codes, offsets, skip | (np.cumsum(edges)[:-1] > 0))
-        null = np.asarray(column.is_null().to_numpy(zero_copy_only=False))
-        return pa.RecordBatch.from_arrays([batch.column("k"), from_codes(out, ends, null), pa.array(hit)], names=[key, "normal", "changed"])
+        place, changed = np.arange(len(column)), np.zeros(len(column), dtype=bool)
+        place[held], changed[held] = len(column) + np.arange(len(held)), hit
+        normal = pa.concat_arrays([pa.concat_arrays([column.cast(pa.string())]), from_codes(out, ends)]).take(pa.array(place))
+        return pa.RecordBatch.from_arrays([batch.column("k"), normal, pa.array(changed)], names=[key, "normal", "changed"])
 
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     return with_decisions(rows, wrong_words(df, [text]), needed, normalise, f"`{key}` {kind}, normal string, changed boolean", most_sent)

@@ -37,18 +37,33 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿœŒß"
 WORD = re.compile(rf"(?<![^\s\"“„«(>'’‘\-/–])[{_LETTERS}0-9!@]*[{_LETTERS}0-9@](?![^\s.,;:!?)\"”“»<'’\-/–%…])")
 COMPOUND = re.compile(rf"(?<![^\s\"“„«(>])[{_LETTERS}]+(?:-[{_LETTERS}]+)+")
 BREAK = re.compile(rf"(?<![^\s\"“„«(>'’\-])((?:[{_LETTERS}0-9!@]+['’\-])*)([{_LETTERS}0-9!@]+)([-¬\xad])([ \t]*(?:\r?\n[ \t]*)+|[ \t]+)([{_LETTERS}0-9!@]+)")
+#: What every break holds.
+HYPHEN = re.compile(r"[-¬\xad][ \t\r\n]")
 INLINE = re.compile(
     r"\[p\. ?\d+\]|\b[Pp]age \d+ of \d+\b|\b\d{1,4} \| [A-Z0-9!@][A-Z0-9!@ ]*(?: \d{4})?(?![a-z])|\b[A-ZÀ-Ý0-9!@][A-ZÀ-Ý0-9!@ ]+ \| \d{1,4}\b"
     r"|(?<=\S) - \d{1,4} - (?=\S)|(?<=[.!?»”…\w,;]) \d{1,4} (?=[A-ZÀ-Ý«“„])|[A-Z][\w!@]+(?: [A-Z][\w!@]+)*  \d{1,4}(?=\s)"
 )
+_NUMBER, _WORDS, _CAPITALS = re.compile(r"\d+"), re.compile(r"[A-Za-zÀ-ÿœß]+"), re.compile(r"[A-ZÀ-Ý]{2,}")
+_SHORT = re.compile(r"\d{1,4}")
+_OPENS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ«“„") | {chr(c) for c in range(0xC0, 0xDE)}
 PAGE = re.compile(r"\W*\d{1,4}\W*|\[p\. ?\d+\]|[Pp]age \d+ of \d+|\d{1,4} \| .*|.* \| \d{1,4}|.*  \d{1,4}")
 
 
+def may_hold_furniture(text: str) -> bool:
+    """Whether any number in a text stands as every form of INLINE needs it: a cheap test before that pattern."""
+    for m in _SHORT.finditer(text):
+        before, after = text[max(0, m.start() - 3) : m.start()], text[m.end() : m.end() + 4]
+        if before.endswith(("p.", "p. ", "| ", "  ")) or after.startswith((" |", " of ")) or after[:1] == " " and (before.endswith(" ") and after[1:2] in _OPENS or before == " - " and after.startswith(" - ")):
+            return True
+    return False
+
+
 def counted(text: str) -> list[str]:
     """The words and the hyphenated compounds of a text; words broken at a hyphen are left out."""
     found = []
-    if "-" in text or "¬" in text:
+    if "-" in text:
         found = COMPOUND.findall(text)
+    if HYPHEN.search(text):
         text = BREAK.sub(" ", text)
     return found + WORD.findall(text)
 
@@ -203,32 +218,35 @@ class Editor:
     def line_features(text: str, before: str, after: str, own_line: bool, company: str, doc_type: str) -> list[list[str]]:
         """Features of keeping a stretch and of dropping it as furniture; before and after are the nearest text beside it."""
         bare = text.strip()
-        shape = re.sub(r"[A-Za-zÀ-ÿœß]+", "a", re.sub(r"\d+", "9", re.sub(r"[A-ZÀ-Ý]{2,}", "A", bare)))
         low = bare.lower()
-        name = company.lower().split()
+        shape = _WORDS.sub("a", _NUMBER.sub("9", _CAPITALS.sub("A", bare[:120])))[:14]
+        name, digits = company.lower().split(), len(bare) - len(_NUMBER.sub("", bare))
         named = sum(w in low for w in name) * 2 // len(name) if name else 0
-        kind = bool(doc_type) and low == doc_type.lower()
+        kind, held = doc_type.lower(), PAGE.fullmatch(bare) is not None
+        only = bool(kind) and low == kind
         f = [
-            f"shape:{shape[:14]}", f"own:{own_line}", f"shape:{shape[:14]}:{own_line}", f"page:{'page' in low and any(c.isdigit() for c in low)}", f"short:{min(len(bare) // 12, 8)}",
-            f"company:{named}", f"type:{bool(doc_type) and doc_type.lower() in low}", f"onlytype:{kind}", f"end:{bare[-1:] in '.,;:!?<'}",
-            f"first:{not before}:last:{not after}", f"digits:{sum(c.isdigit() for c in bare) * 4 // max(1, len(bare))}", f"blank:{'  ' in bare}", f"bar:{' | ' in bare}", f"small:{bare[:1].islower()}", f"beforestop:{before[-1:] in '.!?»”'}",
-            f"whole:{bool(PAGE.fullmatch(bare))}:{own_line}", f"whole:{bool(PAGE.fullmatch(bare))}:company{named}:type{kind}",
+            f"l:shape:{shape}", f"l:own:{own_line}", f"l:shape:{shape}:{own_line}", f"l:page:{digits > 0 and 'page' in low}", f"l:short:{min(len(bare) // 12, 8)}",
+            f"l:company:{named}", f"l:type:{bool(kind) and kind in low}", f"l:onlytype:{only}", f"l:end:{bare[-1:] in '.,;:!?<'}",
+            f"l:first:{not before}:last:{not after}", f"l:digits:{digits * 4 // max(1, len(bare))}", f"l:blank:{'  ' in bare}", f"l:bar:{' | ' in bare}", f"l:small:{bare[:1].islower()}", f"l:beforestop:{before[-1:] in '.!?»”'}",
+            f"l:whole:{held}:{own_line}", f"l:whole:{held}:company{named}:type{only}",
         ]
-        return [["linekeep"], [f"l:{x}" for x in f]]
+        return [["linekeep"], f]
 
     def furniture(self, text: str, company: str, doc_type: str) -> list[tuple[int, int]]:
         """The stretches of page furniture in a text."""
         found = []
+        names = [w for w in (doc_type.lower(), *company.lower().split()) if w]
         if "\n" in text:
             at, lines = 0, text.split("\n")
             end, before = max((i for i, line in enumerate(lines) if line.strip()), default=0), ""
             for i, line in enumerate(lines):
                 if line.strip():
-                    if self.model.choose(self.line_features(line, before, lines[end] if i < end else "", True, company, doc_type)):
+                    # a header, a footer or a page number holds a number, the company or the kind of filing
+                    if (_SHORT.search(line) or any(w in line.lower() for w in names)) and self.model.choose(self.line_features(line, before, lines[end] if i < end else "", True, company, doc_type)):
                         found.append((at, at + len(line) + 1))
                     before = line.rstrip()
                 at += len(line) + 1
-        for m in INLINE.finditer(text):
+        for m in INLINE.finditer(text) if may_hold_furniture(text) else ():
             if not any(a <= m.start() < b for a, b in found):
                 if self.model.choose(self.line_features(m.group(), text[max(0, m.start() - 20) : m.start()].rstrip(), text[m.end() : m.end() + 20].strip(), False, company, doc_type)):
                     found.append(m.span())
@@ -236,7 +254,7 @@ class Editor:
 
     def cleared(self, text: str, company: str, doc_type: str) -> str:
         """The text without page furniture."""
-        if "\n" in text or any(c.isdigit() for c in text):
+        if "\n" in text or _SHORT.search(text):
             for a, b in reversed(self.furniture(text, company, doc_type)):
                 text = text[:a].rstrip() + "\n" + text[b:].lstrip()
         return text
@@ -246,7 +264,7 @@ class Editor:
         """The breaks at hyphens in a cleared text as items, and the words that joining them may make. A fragment may end in a
         hyphen itself, so breaks are looked for again when all are joined."""
         items, made = set(), set()
-        for _ in range(2):
+        for _ in range(2 if HYPHEN.search(text) else 0):
             for m in BREAK.finditer(text):
                 items.add(_SEP.join(m.groups()))
                 made.add(m.group(2) + m.group(5))
@@ -266,7 +284,7 @@ class Editor:
         whole = self.cleared(text, company, doc_type)
         noisy = whole != text
         text = whole
-        if "-" in text or "¬" in text or "\xad" in text:
+        if HYPHEN.search(text):
 
             def join(m: re.Match) -> str:
                 return m.group(1) + m.group(2) + m.group(5) if _SEP.join(m.groups()) in decided else m.group()
@@ -399,7 +417,7 @@ def repaired_scans(df: DataFrame, key: str, text: str, company: str, doc_type: s
                 made |= y
             yield pa.RecordBatch.from_arrays([pa.array([*items, *made], pa.string())], names=["item"])
 
-    broken = stored(rows.select("t", "c", "d").where(F.col("t").rlike("[-¬\u00ad][ \t\r\n]")).mapInArrow(find_breaks, "item string").distinct())
+    broken = stored(rows.select("t", "c", "d").where(F.col("t").rlike(HYPHEN.pattern)).mapInArrow(find_breaks, "item string").distinct())
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
