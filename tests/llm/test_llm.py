@@ -108,9 +108,60 @@ def test_two_misreadings_in_a_word_are_repaired_at_every_count(spark):
         assert got == dict(hit)
 
 
+@pytest.mark.parametrize("size", [400, 4000])
+def test_damage_is_repaired_whatever_the_vocabulary(spark, size):
+    rng = random.Random(41)
+    syllables = ["ba", "con", "der", "ter", "lem", "mar", "nis", "por", "tra", "vel", "sen", "gal", "mi", "ro", "fen"]
+    vocabulary = sorted({"".join(rng.choice(syllables) for _ in range(rng.randint(2, 4))) for _ in range(2 * size)})[:size]
+    texts = []
+    for _ in range(12):  # every word some dozen times, in another order each time
+        order = rng.sample(vocabulary, len(vocabulary))
+        texts += [" ".join(order[i : i + 50]).capitalize() + "." for i in range(0, len(order), 50)]
+    odd = {"m": "rn", "d": "cl", "o": "0", "l": "1", "s": "5", "g": "9", "b": "6", "t": "f", "e": "c"}
+    noisy, clean = [], {}
+    for k, t in enumerate(rng.sample(texts, 80)):
+        parts = t.split(" ")
+        at = [i for i, w in enumerate(parts) if 1 < i < 48 and len(w) > 5 and any(c in w[1:-1] for c in odd)]
+        if k % 2 and at:
+            i = rng.choice(at)
+            j = rng.choice([j for j in range(1, len(parts[i]) - 1) if parts[i][j] in odd])
+            parts[i] = parts[i][:j] + odd[parts[i][j]] + parts[i][j + 1 :]
+        else:
+            i = next(i for i, w in enumerate(parts) if i > 2 and len(w) > 5)
+            parts[i] = f"{parts[i][:3]}-\n{parts[i][3:]}"
+        noisy.append((10_000 + k, " ".join(parts), "Acme Group", "Annual Report"))
+        clean[10_000 + k] = t
+    sound = spark.createDataFrame([(i, t, "Acme Group", "Annual Report") for i, t in enumerate(texts)], "id long, context string, company string, doc_type string")
+    got = {r.id: r.repaired for r in repaired_scans(sound.unionByName(spark.createDataFrame(noisy, sound.schema)), "id", "context", "company", "doc_type", sound, 300).collect()}
+    right = sum(got.get(i) == t for i, t in clean.items())
+    assert right >= 0.95 * len(clean) and len(set(got) - set(clean)) <= 0.01 * len(texts)
+
+
+def test_many_decisions_are_joined_and_change_no_result(spark):
+    _, sound = _sound(spark, 200)
+    clean = "The research lab connected the forecast engine in the northern plants."
+    noisy = spark.createDataFrame([(900, clean.replace("forecast", "forecasf"), "", ""), (901, clean.replace("northern", "nor-\nthern"), "", ""), (901, clean, "", ""), (902, None, "", "")], sound.schema)
+    rows = sound.unionByName(noisy)
+    few, many = ({(r.id, r.repaired) for r in repaired_scans(rows, "id", "context", "company", "doc_type", sound, 200, most_sent=m).collect()} for m in (10**6, 0))
+    assert few == many == {(900, clean), (901, clean)}
+    wrong = spark.createDataFrame([(i, t.encode("cp1252").decode("cp850")) for i, t in enumerate(["Die Kapazitäten wachsen", "dafür ﬁn é"[:5], "le comité"])] + [(7, "plain"), (8, None), (9, "ｆull")], "id long, context string")
+    for run in (lambda m: garbled_fields(wrong, "id", ["context"], m), lambda m: consistent_text(wrong, "id", "context", m)):
+        few, many = (sorted(map(str, run(m).collect())) for m in (10**6, 0))
+        assert few == many and few
+
+
 # 3
 
 
+def test_marks_in_any_order_and_singletons_become_one_form(spark):
+    forms = [["a\u0302\u0323", "a\u0323\u0302", "\u00e2\u0323", "\u1ea1\u0302", "\u1ead"], ["\u212b", "\u00c5", "A\u030a"], ["\u212a", "K"], ["q\u0323\u0307", "q\u0307\u0323"], ["a\u0316\u0301", "\u00e1\u0316"]]
+    rows = spark.createDataFrame([(i, f"x{t}y {t}") for i, group in enumerate(forms) for t in group], "id long, text string")
+    got = {}
+    for r in consistent_text(rows, "id", "text").collect():
+        got.setdefault(r.id, set()).add(r.normal)
+    assert all(len(x) == 1 for x in got.values()) and got[0] == {"x\u1eady \u1ead"} and got[1] == {"x\u00c5y \u00c5"}
+
+
 def test_consistent_forms(spark):
     cases = {
         1: ("pa​rts of it", "parts of it", True), 2: ("ｓｅｒｖｉｃｅ oﬃce", "service office", True), 3: ("comité", "comité", True), 4: ("knоwlеdge", "knowledge", True),
@@ -208,6 +259,17 @@ def test_garbled_spans_decode_exactly(spark):
     assert garbled_fields(df.limit(0), "id", ["context"]).count() == 0
 
 
+def test_scripts_of_all_kinds_and_frames(spark):
+    sound = ["Kovać", "Tiếng Việt của hợp tác", "שלום עולם", "안녕하세요", "Ελλάδα", "Привет", "日本の会社", "naïve café", "Łódź i Gdańsk", "Šiaulių žmonės"]
+    rows = [(i, t.encode("utf-8").decode("latin-1")) for i, t in enumerate(sound)]
+    wide = [(20, "Kovać".encode().decode("cp1252"))]
+    legal = ["└────┘ a │ b", "│ Total │ 12 │", "«Está»… y más", "Spaß” sagt", "CAFÉ® É™ ÉTÉ»", "A–Z, Ä–Ö", *sound]
+    rows += wide + [(100 + i, t) for i, t in enumerate(legal)] + [(200, "Unternehmen f├╝r Kunden".replace("├╝", "┬ü"))]
+    got = {r.id: r.repaired for r in garbled_fields(spark.createDataFrame(rows, "id long, context string"), "id", ["context"]).collect()}
+    assert {i: got.get(i) for i in range(len(sound))} == dict(enumerate(sound)) and got[20] == "Kovać"
+    assert [i for i in got if 100 <= i < 200] == [] and 200 in got
+
+
 def test_copies_and_rare_words_of_a_wrong_code_page_are_found(spark):
     wrong = lambda t: t.encode("cp1252").decode("cp850")
     copied, rare = "Die Kapazitäten wachsen", ["Der Rückbau läuft", "un goût fort", "la adopción avanza", "une leçon utile", "dafür"]
@@ -352,6 +414,38 @@ def test_leaks_match_brute_force(spark):
     assert leaked_passages(left.limit(0), "doc_id", "text", right, "item_id", "passage").count() == 0 == leaked_passages(left, "doc_id", "text", right.limit(0), "item_id", "passage").count()
 
 
+def test_near_passages_match_brute_force(spark, monkeypatch):
+    from tidemark.llm import leaks
+
+    rng = random.Random(31)
+    vocabulary = [f"t{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(10, 30)))) for i in range(12)] + [(98, None), (99, "")]
+    docs = []
+    for i in range(40):
+        text = [rng.choice(vocabulary) for _ in range(40)]
+        if i % 2:
+            p = items[rng.randrange(12)][1].split()
+            for _ in range(rng.randint(0, 4)):
+                k = rng.randrange(len(p))
+                p[k : k + 1] = rng.choice([[], ["other"], [p[k], "more"]])
+            text[8:8] = p
+        docs.append((i, " ".join(text)))
+    docs += [(100, None), (101, ""), (0, docs[0][1])]
+
+    def near(d, p):
+        d, p = words(d), words(p)
+        return any(sum(any(0 <= s + j + o < len(d) and d[s + j + o] == p[a + j] for o in range(-2, 3)) for j in range(12)) >= 10 for a in range(len(p) - 11) for s in range(-11, len(d)))
+
+    want = {(i, k) for i, d in docs if d for k, p in items if p and near(d, p)}
+    df, tests = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, found int"), spark.createDataFrame(items, "item_id long, passage string")
+    got = {(r.doc_id, r.item_id): r.found for r in leaks.near_passages(df, "doc_id", "text", tests, "item_id", "passage").collect()}
+    assert set(got) == want and want and min(got.values()) >= 10
+    exact = {(r.doc_id, r.item_id) for r in leaked_passages(df, "doc_id", "text", tests, "item_id", "passage").collect()}
+    assert exact < set(got)
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 50)
+    assert {(r.doc_id, r.item_id) for r in leaks.near_passages(df, "doc_id", "text", tests, "item_id", "passage", block_items=5).collect()} == want
+
+
 # 10
 
 

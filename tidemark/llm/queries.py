@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.encode import token_ids
 from tidemark.llm.frequency import category_terms, detection_terms, mark_useless, term_frequency
 from tidemark.llm.garbled import garbled_fields
-from tidemark.llm.leaks import leaked_passages
+from tidemark.llm.leaks import leaked_passages, near_passages
 from tidemark.llm.lookalikes import consistent_text
 from tidemark.llm.nearcopies import similar_counts, similar_pairs
-from tidemark.llm.scans import repaired_scans
+from tidemark.llm.scans import repaired_scans, sound_sample
 from tidemark.llm.spans import shared_share, sharing_pairs
 from tidemark.llm.survivors import preferred_rows, true_values
 from tidemark.llm.topn import top_n
@@ -43,7 +43,7 @@ def p1_ngrams(spark: SparkSession, base: str) -> DataFrame:
 def p2_repaired(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "mentions", "mention_id", "context", "company", "doc_type", "source")
     status = table(spark, base, "processed_documents", "source", "text_status").groupBy("source").agg(F.min(F.coalesce("text_status", F.lit("?")) == "valid").alias("sound"))
-    sound = rows.join(status.where("sound"), "source", "left_semi")
+    sound = sound_sample(rows, "mention_id", "source", status.where("sound"))
     return repaired_scans(rows, "mention_id", "context", "company", "doc_type", sound)
 
 
@@ -146,6 +146,10 @@ def p9_longest(spark: SparkSession, base: str) -> DataFrame:
     return _leaks(spark, base)
 
 
+def p9_near(spark: SparkSession, base: str) -> DataFrame:
+    return near_passages(table(spark, base, "documents", "doc_id", "text"), "doc_id", "text", table(spark, base, "eval_items", "item_id", "passage"), "item_id", "passage")
+
+
 def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return sharing_pairs(table(spark, base, "documents", "doc_id", "text"), "doc_id", "text").toDF("doc_a", "doc_b")
 
@@ -154,7 +158,7 @@ def p10_share(spark: SparkSession, base: str) -> DataFrame:
     return shared_share(table(spark, base, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_ngrams, p2_found, p2_repaired, p3_found, p3_consistent, p4_found, p4_categories, p4_values, p5_found, p6_found, p6_repaired, p7_found, p7_links, p8_ids, p9_found, p9_longest, p10_found, p10_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_ngrams, p2_found, p2_repaired, p3_found, p3_consistent, p4_found, p4_categories, p4_values, p5_found, p6_found, p6_repaired, p7_found, p7_links, p8_ids, p9_found, p9_longest, p9_near, p10_found, p10_share)}
 
 _P1 = """
 WITH v AS (
@@ -231,6 +235,30 @@ WITH d AS (
   SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12)
 )
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p9_longest": """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL
+), i AS (
+  SELECT item_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE passage IS NOT NULL
+), dg AS (
+  SELECT doc_id, k AS dk, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)
+), ig AS (
+  SELECT item_id, k AS ik, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12)
+), hit AS (
+  SELECT DISTINCT doc_id, item_id, dk, dk - ik AS shift FROM dg JOIN ig USING (g)
+), run AS (
+  SELECT doc_id, item_id, shift, dk - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY dk) AS part FROM hit
+)
+SELECT doc_id, item_id, max(n + 11)::BIGINT AS longest FROM (SELECT doc_id, item_id, count(*) AS n FROM run GROUP BY doc_id, item_id, shift, part) GROUP BY doc_id, item_id""",
+    "p1_ngrams": """
+WITH p AS (
+  SELECT mention_id, list_filter(flatten(list_transform(string_split(lower(detection_method), '|'), lambda x: CASE WHEN trim(x, ' ') LIKE 'reasons=%' THEN list_transform(string_split(substr(trim(x, ' '), 9), ','), lambda y: trim(y, ' ')) ELSE [trim(x, ' ')] END)), lambda t: t <> '') AS w FROM mentions WHERE detection_method IS NOT NULL
+), s AS (
+  SELECT mention_id, w, unnest(range(1, len(w) + 1)) AS a FROM p
+), g AS (
+  SELECT mention_id, n, array_to_string(w[a:a + n - 1], ' | ') AS ngram FROM (SELECT mention_id, w, a, unnest(range(1, len(w) - a + 2)) AS n FROM s)
+)
+SELECT n::INTEGER AS n, ngram, count(*) AS occurrences, count(DISTINCT mention_id) AS records FROM g GROUP BY n, ngram""",
     "p10_found": """
 WITH g AS (
   SELECT DISTINCT doc_id, hash(substr(text, i, 300)) AS h1, md5(substr(text, i, 300)) AS h2

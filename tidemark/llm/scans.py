@@ -388,6 +388,13 @@ class Lessons:
         return cases
 
 
+def sound_sample(rows: DataFrame, key: str, group: str, sound_groups: DataFrame, sample_rows: int = 3000) -> DataFrame:
+    """At most `sample_rows` of `rows` whose `group` is in `sound_groups`, in the order of a hash of the id. Ids are chosen first,
+    so that texts are not shuffled."""
+    ids = rows.select(key, group).join(sound_groups, group, "left_semi").orderBy(F.xxhash64(key)).limit(sample_rows).select(key)
+    return rows.join(F.broadcast(ids), key, "left_semi")  # `sample_rows` ids
+
+
 def repaired_scans(df: DataFrame, key: str, text: str, company: str, doc_type: str, sound: DataFrame, sample_rows: int = 3000, most_sent: int = MOST_SENT) -> DataFrame:
     """(key, repaired): every row whose text held scan noise, repaired into continuous paragraphs.
 
