@@ -4,22 +4,20 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import vocabulary as v
 from tidemark.config import Config
+from tidemark.functions.predicates import holds, possible
 
 DIMENSIONS = ["intensity", "semantic", "diversity", "sentiment", "maturity", "future", "commitment"]
 
 
 def _count(text: Column, cores: list[str]) -> Column:
-    """Occurrences of any core; the neighbouring characters belong to the match, as in `exists`. Texts without any name of AI
-    are not searched, as every core holds one."""
-    named = reduce(or_, [F.lower(text).contains(n) for n in v.NAMES])
-    return F.when(named, F.regexp_count(text, F.lit(v.exists(*cores)))).otherwise(0)
+    """Occurrences of any core; the neighbouring characters belong to the match, as in `exists`."""
+    return F.when(possible(text, cores), F.regexp_count(text, F.lit(v.exists(*cores)))).otherwise(0)
 
 
 def weight(confidence: Column) -> Column:
@@ -31,7 +29,7 @@ def dimension_inputs(context: Column) -> dict[str, Column]:
     """Per mention: hits of each maturity stage, whether it looks forward, weighted commitment hits."""
     stages = {f"m_{name}": _count(context, cores) for name, (_, cores) in v.MATURITY.items()}
     commitment = reduce(lambda a, b: a + b, [_count(context, cores) * F.lit(w) for w, cores in v.COMMITMENT.values()])
-    return stages | {"looks_forward": context.rlike(v.exists(*v.FUTURE)), "commitment_hits": commitment}
+    return stages | {"looks_forward": holds(context, *v.FUTURE), "commitment_hits": commitment}
 
 
 def entropy(mentions: DataFrame, keys: list[str], labels: list[str], classes: int, name: str, none: list[str]) -> DataFrame:

@@ -36,22 +36,51 @@ def literal(pattern: str) -> str:
     return max(bare.lower().split(), key=len, default="")
 
 
-def any_of(phrases: list[str]) -> str:
+class Core(str):
+    """A core that knows some stems, of which every match holds one in lower case."""
+
+    stems: tuple[str, ...]
+
+    def __new__(cls, pattern: str, stems: list[str]) -> Core:
+        made = super().__new__(cls, pattern)
+        made.stems = tuple(sorted(set(stems)))
+        return made
+
+
+def _stems(phrases: list[str]) -> list[str]:
+    """The longest word of each phrase, without endings that may differ."""
+    return [max(re.split(r"[ -]", p.lower().replace("(s)", "").rstrip("*")), key=len) for p in phrases]
+
+
+def any_of(phrases: list[str]) -> Core:
     """One core for all of `phrases`, longer ones first."""
-    return "(?:" + "|".join(core(p) for p in sorted(phrases, key=len, reverse=True)) + ")"
+    return Core("(?:" + "|".join(core(p) for p in sorted(phrases, key=len, reverse=True)) + ")", _stems(phrases))
 
 
-def rule(*parts: list[str] | int) -> str:
+def rule(*parts: list[str] | int) -> Core:
     """Word sets in a row: next to each other, or with at most as many characters between them as the number between two sets
-    says (-1: any distance)."""
-    out, gap = "", rf"\s+"
+    says (-1: any distance). Its stems are those of the set with the longest words."""
+    out, gap, stems = "", r"\s+", [""]
     for part in parts:
         if isinstance(part, int):
             gap = rf"(?:[^{WORD_CHARS}]|[^{WORD_CHARS}].{f'{{0,{part}}}' if part >= 0 else '*'}[^{WORD_CHARS}])"
             continue
-        out += (gap if out else "") + any_of(part)
+        one = any_of(part)
+        out += (gap if out else "") + one
+        stems = max(stems, list(one.stems), key=lambda x: min(map(len, x)))
         gap = r"\s+"
-    return out
+    return Core(out, stems)
+
+
+def gate(cores: list[str]) -> list[str]:
+    """Words of which a text holds one in lower case if any of `cores` stands in it; empty if that cannot be said."""
+    stems: set[str] = set()
+    for c in cores:
+        own = c.stems if isinstance(c, Core) else (literal(c),)
+        if not all(own):
+            return []
+        stems.update(own)
+    return sorted(x for x in stems if not any(y != x and y in x for y in stems))
 
 
 # Specific (hard) terms, in order of preference.
@@ -149,15 +178,14 @@ FUTURE = [
     r"over\s+the\s+next\s+(?:\d+\s+)?(?:years?|months?)", r"20(?:2[5-9]|3\d)\s+(?:goals?|targets?|objectives?|priorities)", rule(_NAME, ["roadmap"]), rule(["strategic", "future", "upcoming", "planned", "multi-year", "long-term"], _NAME),
 ]
 _MONEY = r"(?:[$€£]|(?:USD|EUR|GBP)\s?)\s?\d[\d.,]*"
+_SPENT = ["invest*", "allocat*", "committed", "pledged", "dedicated", "budget", "spending"]
 COMMITMENT = {
-    "financial": (2.0, [any_of(["invest*", "allocat*", "committed", "pledged", "dedicated", "budget", "spending"]) + rf"[^{WORD_CHARS}].{{0,20}}{_MONEY}.{{0,60}}[^{WORD_CHARS}]" + any_of(_NAME), any_of(_NAME) + rf"\s+(?:budget|investment|spending)\s+of\s+{_MONEY}"]),
+    "financial": (2.0, [Core(any_of(_SPENT) + rf"[^{WORD_CHARS}].{{0,20}}{_MONEY}.{{0,60}}[^{WORD_CHARS}]" + any_of(_NAME), _stems(_SPENT)), Core(any_of(_NAME) + rf"\s+(?:budget|investment|spending)\s+of\s+{_MONEY}", ["budget", "investment", "spending"])]),
     "strategic": (1.5, [rule(_NAME, 10, ["core", "key", "strategic", "top", "critical"], ["priority", "pillar"]), rule(["strategic", "key", "critical"], ["focus", "initiative", "priority"], 60, _NAME), rule(["committed to"], _NAME), rule(["board", "executive", "leadership"], ["commitment", "support"], ["to", "for"], _NAME)]),
     "resources": (1.5, [rule(["hire", "hired", "hiring"], 40, [*_NAME, "ML", "data"], ["engineer(s)", "scientist(s)", "expert(s)", "specialist(s)"]), rule(["building", "established", "expanding"], _NAME, ["team(s)", "lab(s)", "center", "centre", "capability"]), r"Chief\s+AI\s+Officer", rule(_NAME, ["center of excellence", "centre of excellence"])]),
     "general": (1.0, [rule(["committed to"], ["advancing", "developing", "deploying", "embracing"], _NAME), rule(_NAME, ["commitment", "dedication", "focus"]), rule(["accelerat*", "prioritiz*", "embrac*"], _NAME, ["adoption", "transformation"])]),
     "generative": (1.8, [rule(["deployed", "launched", "implemented", "scaled", "scaling"], 15, ["GenAI", "generative AI", "LLM(s)", "Copilot", "ChatGPT"]), rule(["enterprise-wide", "company-wide"], ["GenAI", "LLM(s)", "Copilot"]), rule(["GenAI", "LLM(s)"], ["production", "live", "operational", "use cases", "applications", "projects"])]),
 }
-#: A word without which no cue of the ladder, the groups or the rules above can stand: a cheap test before them.
-NAMES = ["ai", "ml", "artificial intelligence", "machine learning", "llm", "language model", "copilot", "gpt", "hir"]
 # Sentiment words of our own; governance and truly negative terms are fixed values.
 POSITIVE = {"improve": 0.5, "progress": 0.4, "steady": 0.3, "faster": 0.5, "broad": 0.2, "encouraging": 0.7, "rose": 0.3, "clear": 0.2, "approval": 0.3}
 NEGATIVE = {"risk": -0.4, "risks": -0.5, "delays": -0.5, "defects": -0.4, "false": -0.3, "unusual": -0.2, "decline": -0.6, "incidents": -0.4, "friction": -0.3}
