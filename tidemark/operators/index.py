@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import vocabulary as v
 from tidemark.config import Config
-from tidemark.functions.predicates import holds, possible
 
 DIMENSIONS = ["intensity", "semantic", "diversity", "sentiment", "maturity", "future", "commitment"]
 
 
-def _count(text: Column, cores: list[str]) -> Column:
+def _may(low: Column, cores: list[str]) -> Column:
+    stems = v.gate(cores)
+    return reduce(or_, [low.contains(x) for x in stems]) if stems else F.lit(True)
+
+
+def _count(text: Column, low: Column, cores: list[str]) -> Column:
     """Occurrences of any core; the neighbouring characters belong to the match, as in `exists`."""
-    return F.when(possible(text, cores), F.regexp_count(text, F.lit(v.exists(*cores)))).otherwise(0)
+    return F.when(_may(low, cores), F.regexp_count(text, F.lit(v.exists(*cores)))).otherwise(0)
 
 
 def weight(confidence: Column) -> Column:
@@ -25,11 +30,11 @@ def weight(confidence: Column) -> Column:
     return F.when(confidence > 0, confidence).otherwise(1.0)
 
 
-def dimension_inputs(context: Column) -> dict[str, Column]:
+def dimension_inputs(context: Column, low: Column) -> dict[str, Column]:
     """Per mention: hits of each maturity stage, whether it looks forward, weighted commitment hits."""
-    stages = {f"m_{name}": _count(context, cores) for name, (_, cores) in v.MATURITY.items()}
-    commitment = reduce(lambda a, b: a + b, [_count(context, cores) * F.lit(w) for w, cores in v.COMMITMENT.values()])
-    return stages | {"looks_forward": holds(context, *v.FUTURE), "commitment_hits": commitment}
+    stages = {f"m_{name}": _count(context, low, cores) for name, (_, cores) in v.MATURITY.items()}
+    commitment = reduce(lambda a, b: a + b, [_count(context, low, cores) * F.lit(w) for w, cores in v.COMMITMENT.values()])
+    return stages | {"looks_forward": _may(low, v.FUTURE) & context.rlike(v.exists(*v.FUTURE)), "commitment_hits": commitment}
 
 
 def entropy(mentions: DataFrame, keys: list[str], labels: list[str], classes: int, name: str, none: list[str]) -> DataFrame:
@@ -50,7 +55,10 @@ def adoption_index(mentions: DataFrame, keys: list[str], pages: DataFrame | None
     """
     config = config or Config()
     rows = mentions.where(F.coalesce("reference_strength", F.lit("")) != "mention_only")
-    rows = rows.withColumns({"w": weight(F.col("confidence_score"))} | dimension_inputs(F.coalesce("context", F.lit(""))))
+    # a generator keeps the context from being made again for each of its uses
+    rows = rows.select(*[c for c in rows.columns if c != "context"], F.explode(F.array(F.coalesce("context", F.lit("")))).alias("context"))
+    rows = rows.select("*", F.explode(F.array(F.lower("context"))).alias("_low"))
+    rows = rows.withColumns({"w": weight(F.col("confidence_score"))} | dimension_inputs(F.col("context"), F.col("_low")))
     s = F.nanvl("semantic_score", F.lit(0.0))
     strong = s > config.semantic_threshold
     x = F.nanvl("sentiment_score", F.lit(None).cast("double"))

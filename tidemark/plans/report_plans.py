@@ -9,7 +9,7 @@ from pyspark.sql import window as W
 from tidemark import vocabulary as v
 from tidemark.functions import text as t
 from tidemark.operators import index, merge, similarity
-from tidemark.sources.tables import table
+from tidemark.sources.tables import spread, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -241,7 +241,7 @@ def export_dedup_rows(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _index_rows(spark: SparkSession, base: str) -> DataFrame:
-    rows = table(spark, base, "mentions", "company", "year", "doc_type", "source", "context", "category_a", "category_b", "eu_subdomain", "sentiment_score", "semantic_score", "confidence_score", "reference_strength", "detection_method").where("company is not null")
+    rows = spread(table(spark, base, "mentions", "company", "year", "doc_type", "source", "context", "category_a", "category_b", "eu_subdomain", "sentiment_score", "semantic_score", "confidence_score", "reference_strength", "detection_method")).where("company is not null")
     decoded = t.decoded_detection(c("detection_method"))["strength"]
     return rows.withColumns({"category_a": _CODE("category_a"), "category_b": _CODE("category_b"), "context": F.regexp_replace(t.unmarked(c("context")), r"\s+", " "), "reference_strength": F.coalesce(F.nullif("reference_strength", F.lit("unknown")), decoded, F.lit("unknown"))})
 
