@@ -231,6 +231,31 @@ def test_modes_of_a_run(spark):
         pipeline.chosen(filings, "some")
 
 
+def test_sentiment_of_short_texts_and_other_scorers(spark):
+    from tidemark.operators import sentiment
+
+    rows = spark.createDataFrame([(1, "risk"), (2, "The risk of delays and defects grows."), (3, None), (4, "A decline in fairness, and delays."), (5, "A decline and a lawsuit about delays.")], "id int, t string")
+    got = {r.id: (r.label, r.flag) for r in sentiment.corrected(sentiment.scored(rows, "t"), "t").collect()}
+    assert got == {1: ("neutral", "standard"), 2: ("negative", "standard"), 3: ("neutral", "standard"), 4: ("negative", "governance_adjusted"), 5: ("negative", "confirmed_negative")}
+    got = {r.id: r.label for r in sentiment.scored(rows, "t", lambda texts: [1.0] * len(texts)).collect()}
+    assert got == {1: "neutral", 2: "positive", 3: "neutral", 4: "positive", 5: "positive"}
+
+
+def test_workbook_log_and_anchors(spark, tmp_path):
+    from tidemark.config import setup_logging
+    from tidemark.sources import sinks
+
+    rows = spark.createDataFrame([("x", 2020, "i", 55.5, 3), ("y", 2020, "Unknown", None, 4)], "company string, year int, industry string, ai_adoption_index double, total_refs int")
+    sinks.write_workbook(sinks.index_workbook(rows, sinks.provenance({"a": 1}, "abc")), str(tmp_path / "book"))
+    read = lambda n: spark.read.csv(str(tmp_path / "book" / n), header=True).collect()
+    assert {(r.company, r.band) for r in read("index")} == {("x", "green"), ("y", "none")} and read("by_year")[0].top_company == "x" and [r.industry for r in read("by_industry")] == ["i"] and {r["name"] for r in read("metadata")} == {"generated_at", "git_commit", "settings"}
+    log = setup_logging(str(tmp_path / "run.log"))
+    assert len(setup_logging(str(tmp_path / "run.log")).handlers) == len(log.handlers) == 2
+    vectors = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 5 - 2), 1.0]) for i in range(40)] + [(99, None)], "id bigint, v array<double>")
+    one, many = ({(r.id, r.anchor, round(r.similarity, 9)) for r in similarity.nearest_anchor(vectors, "id", "v", vectors.where("id < 30"), "id", "v", n).collect()} for n in (1000, 4))
+    assert one == many and len(one) == 40 and similarity.nearest_anchor(vectors, "id", "v", vectors.limit(0), "id", "v").count() == 0
+
+
 def test_whole_pipeline_merges_repeats(spark):
     from tidemark.operators.semantic import hashed_vectors
     from tidemark.plans import pipeline

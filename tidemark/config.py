@@ -3,9 +3,23 @@
 from __future__ import annotations
 
 import json
+import logging
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
+def setup_logging(path: str | None = None, level: int = logging.INFO) -> logging.Logger:
+    """The engine's log, on the console and, if a path is given, in that file; calling it again adds nothing."""
+    log = logging.getLogger("tidemark")
+    log.setLevel(level)
+    form = logging.Formatter("%(asctime)s %(levelname)s %(message)s")
+    held = {type(h) for h in log.handlers}
+    for handler in [logging.StreamHandler()] + ([logging.FileHandler(path, delay=True)] if path else []):
+        if type(handler) not in held:
+            handler.setFormatter(form)
+            log.addHandler(handler)
+    return log
+
+
 # Weights of the seven dimensions, and thresholds.
 WEIGHTS = {"intensity": 0.15, "semantic": 0.20, "diversity": 0.15, "sentiment": 0.15, "maturity": 0.15, "future": 0.10, "commitment": 0.10}
 # Names that older files have.

@@ -32,7 +32,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Like `cut`, as a compressed table in the same folder: smaller, for what is large."""
+    """Like `cut`, as a compressed table in the same folder: smaller, for what is large. It is deleted when the driver ends."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    context = df.sparkSession.sparkContext
+    file = context._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(file)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import vocabulary as v
@@ -27,3 +27,10 @@ def best_category(text: Column, axis: str, gate: float | None = 0.25, none: str
         return F.struct(F.when(fits, best["code"]).otherwise(none).alias("code"), F.when(fits, best["domain"]).otherwise(none).alias("domain"), F.when(fits, confidence).otherwise(0.0).alias("confidence"))
 
     return F.transform(F.array(F.array_max(F.array(*rows))), judged)[0]  # the scores are worked out once
+
+
+def taxonomy_table(spark: SparkSession, taxonomy: list = v.TAXONOMY, first_tier: tuple[str, ...] = ()) -> DataFrame:
+    """(axis, code, domain, keyword, tier): the keywords of a taxonomy as a table. `first_tier` keywords have tier 1; the others
+    tier 2 on the axes a and b, and 1 on the axis of EU domains."""
+    rows = [(a, code, domain, k, 1 if a == "eu" or k in first_tier else 2) for a, code, domain, keywords, _ in taxonomy for k in dict.fromkeys(keywords)]
+    return spark.createDataFrame(rows, "axis string, code string, domain string, keyword string, tier int")

@@ -73,18 +73,20 @@ def similar_in_groups(rows: DataFrame, key: str, group: str | list[str], value:
     return cells.groupBy(*by, "x", "y").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
 
 
-def nearest_anchor(rows: DataFrame, key: str, vector: str, anchors: DataFrame, anchor_key: str, anchor_vector: str, most_anchors: int = 1000) -> DataFrame:
+def nearest_anchor(rows: DataFrame, key: str, vector: str, anchors: DataFrame, anchor_key: str, anchor_vector: str, at_once: int = 1000) -> DataFrame:
     """(key, anchor, similarity): the most similar of a fixed set of anchors, the smallest anchor id on ties.
 
-    The anchors become one literal array, so nothing is joined or shuffled; more than `most_anchors` raise an error.
+    Anchors become literal arrays of about `at_once`, so nothing is joined or shuffled; of several arrays the best one counts.
+    Null vectors are near nothing. Without any anchor there are no rows.
     """
-    held = anchors.select(F.col(anchor_key).alias("anchor"), unit(F.col(anchor_vector)).alias("v")).dropna().limit(most_anchors + 1).collect()
-    if len(held) > most_anchors:
-        raise ValueError(f"more than {most_anchors} anchors")
-    if not held:
-        raise ValueError("no anchors")
-    anchors_json = json.dumps([{"anchor": r["anchor"], "v": list(r["v"])} for r in sorted(held)])
-    table = F.from_json(F.lit(anchors_json), "array<struct<anchor:bigint,v:array<double>>>")  # folded to a constant
-    scored = F.transform(table, lambda x: F.struct(dot(F.col("_u"), x["v"]).alias("similarity"), (-x["anchor"]).alias("n")))
-    best = rows.select(key, unit(F.col(vector)).alias("_u")).withColumn("_b", F.array_max(scored))
-    return best.select(key, (-F.col("_b.n")).alias("anchor"), F.col("_b.similarity").alias("similarity"))
+    wanted = anchors.select(F.col(anchor_key).alias("anchor"), unit(F.col(anchor_vector)).alias("v")).dropna()
+    parts = max(1, -(-wanted.count() // at_once))
+    best = []
+    for part in range(parts):
+        held = (wanted if parts == 1 else wanted.where(F.pmod(F.xxhash64("anchor"), F.lit(parts)) == part)).collect()
+        if held:
+            anchors_json = json.dumps([{"anchor": r["anchor"], "v": list(r["v"])} for r in sorted(held)])
+            table = F.from_json(F.lit(anchors_json), "array<struct<anchor:bigint,v:array<double>>>")  # folded to a constant
+            best.append(F.array_max(F.transform(table, lambda x: F.struct(dot(F.col("_u"), x["v"]).alias("similarity"), (-x["anchor"]).alias("n")))))
+    scored = rows.select(key, unit(F.col(vector)).alias("_u")).withColumn("_b", F.array_max(F.array(*best)) if best else F.lit(None).cast("struct<similarity:double,n:bigint>"))
+    return scored.where("_b.similarity is not null").select(key, (-F.col("_b.n")).alias("anchor"), F.col("_b.similarity").alias("similarity"))

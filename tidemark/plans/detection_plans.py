@@ -120,6 +120,16 @@ def doc_counters(spark: SparkSession, base: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("total_refs"), F.count_if(F.col("trigger") == "hard").alias("hard_refs"), F.count_if(F.col("reference_strength") == "mention_only").alias("mention_only_refs"), F.countDistinct(F.lower("term")).alias("terms"))
 
 
+def keyword_tiers(spark: SparkSession, base: str) -> DataFrame:
+    """How many mentions of each regular code hold a keyword of it, by the keyword and its tier."""
+    words = classify.taxonomy_table(spark).where("axis <> 'eu'")
+    mentions = spread(table(spark, base, "mentions", "mention_id", "context", "category_a", "category_b")).where("context is not null")
+    coded = mentions.select(F.lower("context").alias("low"), F.explode(F.array_distinct(F.array(F.upper(F.trim("category_a")), F.upper(F.trim("category_b"))))).alias("code"))
+    held = coded.join(F.broadcast(words), "code").where(F.col("low").contains(F.col("keyword")))  # the taxonomy, a few hundred rows
+    counts = held.groupBy("code", "keyword").agg(F.count("*").alias("n"))
+    return words.join(counts, ["code", "keyword"], "left").select("code", "keyword", "tier", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def keyword_lookup(spark: SparkSession, base: str) -> DataFrame:
     codes = table(spark, base, "taxonomy_codes", "code", "axis", "label")
     held = F.array(*[F.struct(F.lit(axis).alias("axis"), F.upper(F.trim(f"category_{axis}")).alias("code")) for axis in ("a", "b")])
@@ -127,7 +137,7 @@ def keyword_lookup(spark: SparkSession, base: str) -> DataFrame:
     return codes.join(mentions.groupBy("axis", "code").agg(F.count("*").alias("n")), ["axis", "code"], "left").select("code", "axis", "label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (detect_hard_soft, context_window, detect_with_negation, mention_only_filter, fp_filter, corrupted_context, validator_check, robotics_class, rpa_class, negation_class, esg_like, feature_counts, confidence_strength, tri_axis_unclassified, doc_counters, doc_categories, keyword_lookup, semantic_paragraphs)}
+QUERIES = {f.__name__: f for f in (detect_hard_soft, context_window, detect_with_negation, mention_only_filter, fp_filter, corrupted_context, validator_check, robotics_class, rpa_class, negation_class, esg_like, feature_counts, confidence_strength, tri_axis_unclassified, doc_counters, doc_categories, keyword_lookup, keyword_tiers, semantic_paragraphs)}
 QUERIES |= {"classify_axis_a": classify_axis_a, "classify_axis_b": classify_axis_b, "classify_eu": classify_eu}
 
 
@@ -274,6 +284,9 @@ SELECT mention_id, round(conf, 6) AS confidence, {STRENGTH} AS strength, reasons
     "classify_axis_a": _classify_sql("a", 0.25, "none"),
     "classify_axis_b": _classify_sql("b", 0.25, "none"),
     "classify_eu": _classify_sql("eu", None, "Unclassified"),
+    "keyword_tiers": "WITH k(code, keyword) AS (VALUES " + ", ".join(f"('{c}', '{k}')" for a, c, _, ks, _ in v.TAXONOMY if a != "eu" for k in dict.fromkeys(ks)) + """), m AS (
+  SELECT lower(context) AS low, unnest(list_distinct([upper(trim(category_a, ' ')), upper(trim(category_b, ' '))])) AS code FROM mentions WHERE context IS NOT NULL
+) SELECT k.code, k.keyword, 2 AS tier, count(m.low) AS n FROM k LEFT JOIN m ON m.code = k.code AND contains(m.low, k.keyword) GROUP BY k.code, k.keyword""",
     "keyword_lookup": "SELECT code, axis, label, CASE axis WHEN 'a' THEN (SELECT count(*) FROM mentions m WHERE upper(trim(m.category_a, ' ')) = t.code) ELSE (SELECT count(*) FROM mentions m WHERE upper(trim(m.category_b, ' ')) = t.code) END AS n FROM taxonomy_codes t",
 }
 ORACLE["tri_axis_unclassified"] = f"SELECT count(*) AS n, count(*) FILTER (a.code = 'none' AND b.code = 'none' AND e.code = 'Unclassified') AS n_unclassified FROM ({ORACLE['classify_axis_a']}) a JOIN ({ORACLE['classify_axis_b']}) b USING (mention_id) JOIN ({ORACLE['classify_eu']}) e USING (mention_id)"

@@ -8,7 +8,7 @@ from pyspark.sql import window as W
 
 from tidemark import vocabulary as v
 from tidemark.functions import text as t
-from tidemark.operators import index, merge, similarity
+from tidemark.operators import index, merge, sentiment, similarity
 from tidemark.sources.tables import spread, table
 
 QUERIES: dict = {}
@@ -635,13 +635,6 @@ def ordinal_in_group(spark: SparkSession, base: str) -> DataFrame:
 # sentiment
 
 
-def _polarity() -> F.Column:
-    """The mean of the lexicon's words; texts of fewer than ten characters are neutral."""
-    lexicon = F.create_map(*[x for k, s in (v.POSITIVE | v.NEGATIVE).items() for x in (F.lit(k), F.lit(s))])
-    scores = F.filter(F.transform(F.regexp_extract_all(F.lower("context"), F.lit(r"[\p{L}]+"), F.lit(0)), lambda w: lexicon[w]), lambda s: s.isNotNull())
-    return F.when((F.size(scores) > 0) & (F.length(F.trim("context")) >= 10), F.aggregate(scores, F.lit(0.0), lambda a, s: a + s) / F.size(scores)).otherwise(0.0)
-
-
 _LEX = ", ".join(f"('{k}', {s}::DOUBLE)" for k, s in (v.POSITIVE | v.NEGATIVE).items())
 _SENTIMENT = f"""
 WITH lex(word, score) AS (VALUES {_LEX}), w AS (SELECT mention_id, unnest(regexp_extract_all(lower(context), '[\\p{{L}}]+')) AS word FROM mentions WHERE context IS NOT NULL),
@@ -652,8 +645,7 @@ _has = lambda terms: f"regexp_matches(low, '{_q(v.exists(v.any_of(terms)))}')"
 
 
 def _sentiment(spark: SparkSession, base: str) -> DataFrame:
-    rows = table(spark, base, "mentions", "mention_id", "context").where("context is not null").withColumn("score", _polarity())
-    return rows.withColumn("label", F.when(c("score") > 0.1, "positive").when(c("score") < -0.1, "negative").otherwise("neutral"))
+    return sentiment.scored(table(spark, base, "mentions", "mention_id", "context").where("context is not null"), "context")
 
 
 @_query(_SENTIMENT + "SELECT mention_id, label, round(score, 6) AS score FROM s")
@@ -665,13 +657,7 @@ def sentiment_lexicon(spark: SparkSession, base: str) -> DataFrame:
   round(CASE WHEN label = 'negative' AND {_has(v.GOVERNANCE)} AND NOT {_has(v.TRULY_NEGATIVE)} THEN score * 0.3 ELSE score END, 6) AS score,
   CASE WHEN {_has(v.TRULY_NEGATIVE)} THEN 'confirmed_negative' WHEN label = 'negative' AND {_has(v.GOVERNANCE)} THEN 'governance_adjusted' ELSE 'standard' END AS flag FROM s""")
 def sentiment_governance_adjust(spark: SparkSession, base: str) -> DataFrame:
-    stands = lambda terms: F.lower("context").rlike(v.exists(v.any_of(terms)))
-    negative, governance, truly = c("label") == "negative", stands(v.GOVERNANCE), stands(v.TRULY_NEGATIVE)
-    softened = negative & governance & ~truly
-    score = F.when(softened, c("score") * 0.3).otherwise(c("score"))
-    label = F.when(softened & (score > -0.1), "neutral").otherwise(c("label"))
-    flag = F.when(truly, "confirmed_negative").when(negative & governance, "governance_adjusted").otherwise("standard")
-    return _sentiment(spark, base).select("mention_id", label.alias("label"), F.round(score, 6).alias("score"), flag.alias("flag"))
+    return sentiment.corrected(_sentiment(spark, base), "context").select("mention_id", "label", F.round("score", 6).alias("score"), "flag")
 
 
 # streaming and the whole pipeline

@@ -29,6 +29,24 @@ def write_index_json(index: DataFrame, path: str) -> None:
     index.select(*[c for c in index.columns if c not in dimensions], F.struct(*dimensions).alias("dimensions")).write.mode("overwrite").json(path)
 
 
+def write_workbook(sheets: dict[str, DataFrame], path: str, digits: int = 3) -> None:
+    """A folder with a sheet for each table: the index, its summaries, the distribution, and what it was made with."""
+    for name, df in sheets.items():
+        write_sheet(df, f"{path}/{name}", digits)
+
+
+def index_workbook(index: DataFrame, settings: str) -> dict[str, DataFrame]:
+    """The sheets of an index (company, year, industry, sector, country, ai_adoption_index, total_refs): all rows with their
+    band, summaries by year and group, metadata."""
+    band = F.when(F.col("ai_adoption_index").isNull(), "none").when(F.col("ai_adoption_index") >= 50, "green").when(F.col("ai_adoption_index") >= 30, "amber").otherwise("red")
+    means = [F.avg("ai_adoption_index").alias("mean_index"), F.count("*").alias("n"), F.sum("total_refs").alias("total_refs")]
+    by = lambda g: index.where(~F.coalesce(g, F.lit("")).isin("", "Unknown")).groupBy(g).agg(F.countDistinct("company").alias("n_companies"), *means)
+    groups = {f"by_{g}": by(g) for g in ("industry", "sector", "country") if g in index.columns}
+    top = F.max_by("company", F.struct("ai_adoption_index", "company")).alias("top_company")
+    meta = index.sparkSession.createDataFrame([(k, json.dumps(v)) for k, v in sorted(json.loads(settings).items())], "name string, value string")
+    return {"index": index.withColumn("band", band), "by_year": index.groupBy("year").agg(*means, top), **groups, "metadata": meta}
+
+
 def write_text_report(rows: DataFrame, path: str, template: str, *columns: str) -> None:
     """One line of text a row, made by a printf template."""
     rows.select(F.format_string(template, *columns).alias("value")).write.mode("overwrite").text(path)
