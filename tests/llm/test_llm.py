@@ -524,3 +524,10 @@ def test_query_matches_sql(spark, name):
 def test_no_query_is_cut():
     source = open(queries.__file__).read()
     assert not re.search(r"\.limit\(|\.sample\(|% ?\d", source)
+
+
+def test_only_the_training_sample_is_bounded():
+    folder = os.path.dirname(queries.__file__)
+    found = {os.path.basename(p): len(re.findall(r"\.limit\(", open(p).read())) for p in glob.glob(f"{folder}/*.py")}
+    assert {n: k for n, k in found.items() if k} == {"scans.py": 2}  # the ids of the sample, and the sample
+    assert not any(re.search(r"localCheckpoint|crossJoin|\.sample\((?!places|\[)|\.rdd\b", open(p).read()) for p in glob.glob(f"{folder}/*.py"))

@@ -436,7 +436,7 @@ def repaired_scans(df: DataFrame, key: str, text: str, company: str, doc_type: s
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*pairs)], names=["item", "word"])
 
     items = vocabulary.select(F.col("word").alias("item")).unionByName(broken).distinct()
-    decisions = decided(items.mapInArrow(ask, "item string, word string"), counts, lambda item, held: Editor(weights).judge(item, held))
+    decisions = decided(items.mapInArrow(ask, "item string, word string"), counts, editor.judge)
 
     def needed(batch: pa.RecordBatch) -> list[set[str]]:
         own = Editor(weights)
