@@ -26,6 +26,17 @@ def test_config_weights_must_sum_to_one(tmp_path):
     Config().save(str(tmp_path / "c.json"))
     assert Config.load(str(tmp_path / "c.json")) == Config()
     assert Config.load(str(tmp_path / "none.json")) is None
+    (tmp_path / "old.json").write_text('{"fortune500_csv": "m.csv", "of_no_use": 1}')
+    assert Config.load(str(tmp_path / "old.json")) == Config(company_metadata_csv="m.csv")
+    (tmp_path / "bad.json").write_text("[1]")
+    assert Config.load(str(tmp_path / "bad.json")) is None
+
+
+def test_traditional_robots_are_kept_if_wanted(spark):
+    docs = spark.createDataFrame([(1, "Our warehouse robots moved pallets while the analytics team watched the chatbot.", "Annual Report")], "id int, text string, doc_type string")
+    found = detect.detect_terms(docs, "id", "text")
+    terms = lambda **k: {r.term for r in detect.score_mentions(found, config=Config(**k)).collect()}
+    assert terms() == set() and terms(filter_traditional_robotics=False) == {"robots", "chatbot"}
 
 
 def test_clean_keeps_product_names(spark):

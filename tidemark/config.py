@@ -22,12 +22,17 @@ def setup_logging(path: str | None = None, level: int = logging.INFO) -> logging
 
 # Weights of the seven dimensions, and thresholds.
 WEIGHTS = {"intensity": 0.15, "semantic": 0.20, "diversity": 0.15, "sentiment": 0.15, "maturity": 0.15, "future": 0.10, "commitment": 0.10}
-# Names that older files have.
-LEGACY = {"context_sentences": "sentences_around", "max_context_length": "max_context", "dedup_threshold": "deduplication_threshold", "semantic_threshold_strict": "semantic_strict_threshold"}
+# An older name of a setting in saved files.
+LEGACY = {"fortune500_csv": "company_metadata_csv"}
 
 
 @dataclass(frozen=True)
 class Config:
+    input_folder: str = "input_pdfs"
+    output_folder: str = "RESULT"
+    company_metadata_csv: str | None = None
+    filter_traditional_robotics: bool = True
+    filter_traditional_rpa: bool = True
     semantic_threshold: float = 0.60
     semantic_strict_threshold: float = 0.68
     deduplication_threshold: float = 0.85
@@ -47,7 +52,7 @@ class Config:
 
     @classmethod
     def load(cls, path: str) -> Config | None:
-        """The saved settings, under these names or older ones; None where the file is missing or invalid, unknown names are
+        """The saved settings, under these names or an older one; None where the file is missing or invalid, unknown names are
         ignored."""
         try:
             held = json.loads(Path(path).read_text())

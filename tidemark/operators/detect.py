@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,13 +75,15 @@ def detect_terms(docs: DataFrame, key: str, text: str, config: Config | None = N
     return held.select(*docs.columns, F.col("_no").alias("sentence_no"), F.col("_start").alias("start"), F.col("_trigger").alias("trigger"), F.col("_term").alias("term"), cut(F.col("_x"), place).alias("context"), cut(marked, place).alias("marked"))
 
 
-def score_mentions(mentions: DataFrame, doc_type: str = "doc_type") -> DataFrame:
-    """Drops false positives and traditional robots and processes, scores the rest, and treats negated contexts: hard ones
+def score_mentions(mentions: DataFrame, doc_type: str = "doc_type", config: Config | None = None) -> DataFrame:
+    """Drops false positives and, unless the config keeps them, traditional robots and processes, scores the rest, and treats negated contexts: hard ones
     go, soft ones keep four tenths of their confidence and become mention_only."""
     context, term = F.col("context"), F.col("term")
     judged = F.when(F.col("trigger") == "semantic", "").otherwise(term)  # a paragraph has no term of its own
     kept = mentions.where(~p.false_positive(judged, context)).withColumns({"robotics_type": p.robotics_class(context), "rpa_type": p.rpa_class(context), "negation": p.negation(context)})
-    kept = kept.where((F.col("robotics_type") != "traditional_robotics") & (F.col("rpa_type") != "traditional_rpa") & (F.col("negation") != "hard"))
+    config = config or Config()
+    unwanted = [F.col(c) == kind for c, kind, on in (("robotics_type", "traditional_robotics", config.filter_traditional_robotics), ("rpa_type", "traditional_rpa", config.filter_traditional_rpa), ("negation", "hard", True)) if on]
+    kept = kept.where(~reduce(or_, unwanted))
     score, strength, reasons = p.confidence(F.col("trigger"), F.coalesce("semantic_score", F.lit(0.0)) if "semantic_score" in mentions.columns else F.lit(0.0), context, F.col(doc_type))
     soft = F.col("negation") == "soft"
     return kept.withColumns({"confidence_score": score, "reference_strength": strength, "confidence_reasons": reasons}).withColumns(

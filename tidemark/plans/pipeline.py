@@ -66,7 +66,7 @@ def run(filings: DataFrame, config: Config | None = None, processed: DataFrame |
     found = detect.detect_terms(texts, "source", "text", config).drop("text").withColumn("semantic_score", F.lit(None).cast("double"))
     if embed is not None:
         found = found.unionByName(semantic.detect_paragraphs(texts, "source", "text", config, embed))
-    scored = detect.score_mentions(found)
+    scored = detect.score_mentions(found, config=config)
     both = F.concat_ws(" ", "term", "context")
     a, b, eu = classify.best_category(both, "a"), classify.best_category(both, "b"), classify.best_category(both, "eu", None, "Unclassified")
     mentions = scored.withColumns({"_a": a, "_b": b, "_eu": eu}).withColumns(
