@@ -341,6 +341,27 @@ def test_spread_texts_blocks_and_links_match_brute_force(spark):
         assert counts == {i: (first[held[i][0], frozenset(held[i][1])], links[i]) for i in held}
 
 
+def test_rows_of_spread_texts_are_moved_once(spark):
+    from tidemark.llm.nearcopies import similar_counts
+
+    rng = random.Random(22)
+    columns = [f"k{i}" for i in range(60)]
+    rows = [(i, "ai", " ".join(rng.sample(columns, 45))) for i in range(400)]
+    rows += [(1000 + i, "ai", rows[7][2]) for i in range(30)] + [(2000 + i, "llm", f"too few {i}") for i in range(60)]
+    sets = {i: (t, frozenset(c.split())) for i, t, c in rows if t == "ai"}
+    want = {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a][1] & sets[b][1]) * 10 >= 7 * len(sets[a][1] | sets[b][1])}
+    df = spark.createDataFrame(rows, "id long, text string, context string")
+    status, empty = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm.java.util.ArrayList()
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in (x.apply(k) for x in (status.stageList(empty, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), empty),) for k in range(x.size()))}
+    before = stages()
+    got = [(r.a, r.b) for r in similar_pairs(df, "id", "text", "context", local=50, shard_rows=40).collect()]
+    moved = sum(n for k, n in stages().items() if k not in before)
+    assert len(got) == len(set(got)) and set(got) == want
+    assert 0 < moved < 2 * len(rows)
+    links = Counter(x for p in want for x in p)
+    assert {r.id: r.links for r in similar_counts(df, "id", "text", "context", local=50, shard_rows=40).collect()} == {i: links[i] for i in sets}
+
+
 def test_forest_of_several_levels_loses_no_pair():
     import numpy as np
 

@@ -31,11 +31,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like `cut`, as a compressed table in the same folder: smaller, for what is large. It is deleted when the driver ends."""
+def _kept(df: DataFrame, *by: str) -> str:
+    """Writes `df` as a compressed table, a folder for each value of `by`, and gives its path; it is deleted when the driver ends."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     context = df.sparkSession.sparkContext
     file = context._jvm.org.apache.hadoop.fs.Path(path)
-    file.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(file)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    system = file.getFileSystem(context._jsc.hadoopConfiguration())
+    system.deleteOnExit(file)
+    return system.makeQualified(file).toString() if by else path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like `cut`, as a compressed table in the same folder: smaller, for what is large. It is deleted when the driver ends."""
+    return df.sparkSession.read.schema(df.schema).parquet(_kept(df))
+
+
+def stored_by(df: DataFrame, column: str) -> str:
+    """The path of `df` stored like that, with a folder `column`=value for each value, so that a task can read some of them."""
+    path = _kept(df, column)
+    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path

@@ -9,28 +9,36 @@ order from rare to frequent, the first words of a record must include one of any
 tree of the records that have it among their first. All trees of a task, of two records or of many thousands, are one forest
 of arrays with the same leaves, inner nodes and query; no size is treated otherwise.
 
-A text with more than `local` rows does not fit one task: its trees are spread by word over the cluster, large ones cut into
-blocks with a task for each pair of blocks, and its pairs verified by joins. Rows with equal text and context are one class:
-classes are compared, and their members follow at the end.
+A text with more than `local` rows does not fit one task: its rows are dealt by context to blocks, and the words of each block
+are written once to the shared folder. A task reads two blocks and joins them: their rows are sorted by size in one tree each,
+and the nodes of one tree descend beside those of the other as long as the summed minima of both upper corners are enough. In
+leaves that meet, the parities of finer counts are compared first, since two records differ in at least as many words as parities;
+then counts, then words. Nothing but ids and results is moved, so disk grows with the rows and not with the pairs of blocks.
+Rows with equal text and context are one class: classes are compared, and their members follow at the end.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.storage import cut
+from tidemark.functions.storage import stored_by
 from tidemark.llm.words import words
 
-GROUPS, LEAF, FAN, LOCAL, CHUNK, SHARD, WIDTH, STEP = 40, 16, 8, 32_000, 32_000, 20_000, 1 << 21, 200_000
+GROUPS, LEAF, FAN, LOCAL, CHUNK, SHARD, STEP = 40, 16, 8, 32_000, 32_000, 32_000, 200_000
+BITS, TILE, ROW = 512, 64, 1_000  # parities of a record, rows of a leaf where blocks are joined, classes in a stored row
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_STORED = "block int, first int, words array<bigint>, sizes array<int>, ids array<bigint>, copies array<int>"
 _TOP = 65_535  # counts are kept up to here; of two records with more words the sum says nothing
 
 _chunks: dict[str, tuple[int, ...]] = {}
@@ -77,17 +85,13 @@ class Forest:
     A node holds its upper corner, its smallest size and its last row.
     """
 
-    def __init__(self, tree: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, points: np.ndarray, share: tuple[int, int], side: np.ndarray | None = None):
+    def __init__(self, tree: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, points: np.ndarray, share: tuple[int, int]):
         self.sizes, self.ranks, self.points, self.share = sizes, ranks, points, share
         self.limit = partner_limit(sizes, ranks, share)
         self.levels: list[dict[str, np.ndarray]] = []
         self.roots: list[tuple[int, np.ndarray, np.ndarray]] = []  # (level, rows, node of each)
         begins = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]])) if len(tree) else np.empty(0, dtype=np.int64)
         lengths = np.diff(np.append(begins, len(tree)))
-        self.side = None
-        if side is not None:
-            two = np.add.reduceat(side, begins) if len(begins) else begins
-            self.side = np.where(np.repeat((two > 0) & (two < lengths), lengths), side, -1)  # -1: pairs of all rows
         trees = np.flatnonzero(lengths > 1)
         rows_of = lambda t: np.repeat(begins[t], lengths[t]) + _ramp(lengths[t])
         below = rows_of(trees)  # what the next level is made of, by tree
@@ -130,9 +134,6 @@ class Forest:
                     continue
                 fits = np.flatnonzero((below > i) & (self.sizes[below] <= self.limit[i]))
                 i, j = i[fits], below[fits]
-                if self.side is not None:
-                    apart = (self.side[i] < 0) | (self.side[i] != self.side[j])
-                    i, j = i[apart], j[apart]
                 good = self._alike(i, j)
                 if len(good):
                     yield i[good], j[good]
@@ -167,9 +168,9 @@ def _parts(counts: np.ndarray, most: int) -> list[slice]:
     return [slice(int(x), int(y)) for x, y in zip(edges[:-1], edges[1:])]
 
 
-def bounded_pairs(tree: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, points: np.ndarray, share: tuple[int, int], side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of rows of one tree that can be similar enough. Where a tree has rows of both sides, only these pair."""
-    return Forest(tree, sizes, ranks, points, share, side).pairs()
+def bounded_pairs(tree: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, points: np.ndarray, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows of one tree that can be similar enough."""
+    return Forest(tree, sizes, ranks, points, share).pairs()
 
 
 class TextClasses:
@@ -290,100 +291,287 @@ def _compare_texts(share: tuple[int, int], least_words: int, expand: bool, chunk
                 if not expand:
                     links = links + np.bincount(i, weights=n[j], minlength=len(rows)).astype(np.int64) + np.bincount(j, weights=n[i], minlength=len(rows)).astype(np.int64)
                     continue
-                # row by row of the first class, so that what is made at once has a bound
-                left = np.repeat(i, n[i])
-                x, right = begin[left] + _ramp(n[i]), np.repeat(j, n[i])
-                for piece in _parts(n[right], 5 * STEP):
-                    size = n[right[piece]]
-                    u, w = member[np.repeat(x[piece], size)], member[np.repeat(begin[right[piece]], size) + _ramp(size)]
-                    keep = (u < w) if i is j else (u != w)
-                    if keep.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, w)[keep]), pa.array(np.maximum(u, w)[keep])], names=["a", "b"])
+                yield from _id_pairs(i, j, (n, begin, member), (n, begin, member), i is j)
             if not expand:
                 yield pa.RecordBatch.from_arrays([pa.array(member), pa.array(member[begin[of]]), pa.array(links[of])], names=["id", "class_id", "links"])
 
     return compare
 
 
-def _spread_classes(rows: DataFrame, share: tuple[int, int], least_words: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(class_a, class_b) of similar classes and (class, id, ...) of members, for texts too large for a task."""
-    a, b = share
-    rows = rows.withColumn("class", F.unhex(F.md5(F.concat_ws("\x00", F.col("th").cast("string"), "c"))))
-    one = rows.groupBy("class").agg(F.first("th").alias("th"), F.first("c").alias("c"), F.count("*").alias("n"))
+def _id_pairs(i: np.ndarray, j: np.ndarray, left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], same: bool) -> Iterator[pa.RecordBatch]:
+    """The pairs of ids of classes i and j; left and right: how many members each class has, where they begin, and all members.
+    same: i and j are the same classes, of which each pair of members is wanted once."""
+    (n, begin, member), (n2, begin2, member2) = left, right
+    # row by row of the first class, so that what is made at once has a bound
+    row = np.repeat(i, n[i])
+    x, y = begin[row] + _ramp(n[i]), np.repeat(j, n[i])
+    for piece in _parts(n2[y], 5 * STEP):
+        size = n2[y[piece]]
+        u, w = member[np.repeat(x[piece], size)], member2[np.repeat(begin2[y[piece]], size) + _ramp(size)]
+        keep = (u < w) if same else (u != w)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, w)[keep]), pa.array(np.maximum(u, w)[keep])], names=["a", "b"])
+
+
+def _stored_blocks(least_words: int):
+    """For rows (block, id, c) sorted by block: the classes of each block in rows of at most ROW classes, with the number of the
+    first one, the words of all of them, how many each has, their members, and how many each has."""
+
+    def rows_of(block: int, ids: list[np.ndarray], of: list[np.ndarray], hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not hashes:
+            return
+        member, of = np.concatenate(ids), np.concatenate(of)
+        order = np.lexsort((member, of))
+        member, of = member[order], of[order]
+        once = (of >= 0) & np.concatenate([[True], (of[1:] != of[:-1]) | (member[1:] != member[:-1])])
+        member, n = member[once], np.bincount(of[once], minlength=len(hashes))
+        ends = np.concatenate([[0], np.cumsum(n)])
+        for k in range(0, len(hashes), ROW):
+            some = hashes[k : k + ROW]
+            lists = [np.concatenate(some).view(np.int64), np.array([len(h) for h in some], dtype=np.int32), member[ends[k] : ends[k + len(some)]], n[k : k + ROW].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([k], pa.int32()), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in lists)], names=["block", "first", "words", "sizes", "ids", "copies"])
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known, ids, of, hashes = None, {}, [], [], []
         for batch in batches:
-            hs = [word_hashes(c) for c in batch.column("c").to_pylist()]
-            at = [i for i, h in enumerate(hs) if len(h) >= least_words]
-            if at:
-                ends = np.concatenate([[0], np.cumsum([len(hs[i]) for i in at])]).astype(np.int32)
-                taken = batch.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([taken.column("class"), taken.column("th"), taken.column("n"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([hs[i].view(np.int64) for i in at])))], names=["class", "th", "n", "words"])
-
-    made = cut(one.mapInArrow(classes, "class binary, th bigint, n bigint, words array<bigint>"))
-    slots = made.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(WIDTH)).cast("int").alias("slot")).agg(F.least(F.count("*"), F.lit(2**31 - 1)).cast("int").alias("n"))
-    sums = slots.toArrow()  # at most WIDTH rows: an order from rare to frequent, the same in all tasks, is all that is needed
-    table = np.zeros(WIDTH, dtype=np.int32)
-    table[sums["slot"].to_numpy()] = sums["n"].to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast(table)
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
-        for batch in batches:
-            cls = batch.column("class").to_pylist()
-            texts = batch.column("th").to_numpy().view(np.uint64)
-            flat, ends = batch.column("words").flatten().to_numpy().view(np.uint64), batch.column("words").offsets.to_numpy()
-            sizes, ends = np.diff(ends), ends - ends[0]
-            owner = np.repeat(np.arange(len(cls)), sizes)
-            points = points_of(flat, owner, len(cls)).astype("<u2")
-            times = often[(flat.view(np.int64) % WIDTH).astype(np.int64)]
-            order = np.lexsort((flat, times, owner))
-            place = np.arange(len(flat)) - ends[:-1][owner]
-            first = np.flatnonzero((place < (sizes - -(-a * sizes // b) + 1)[owner]) & (times[order] > 1))
-            row, rank, times = owner[first], place[first], times[order][first]
-            shard = (flat[order][first] * _MIX) ^ texts[row]
-            blocks = -(-times.astype(np.int64) // shard_rows)
-            at = np.repeat(np.arange(len(row)), blocks)
-            other = _ramp(blocks)
-            number = np.array([int.from_bytes(c[:4], "big") for c in cls], dtype=np.int64)
-            mine = number[row[at]] % blocks[at]
-            low, high = np.minimum(mine, other), np.maximum(mine, other)
-            cell = low * blocks[at] + high
-            side = ((mine == high) & (low != high)).astype(np.int8)
-            row, rank, shard = row[at], rank[at], shard[at] + cell.astype(np.uint64) * _MIX
-            if len(row):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.view(np.int64)), pa.array(side), batch.column("class").take(pa.array(row)), pa.array(sizes[row].astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array([p.tobytes() for p in points], pa.binary()).take(pa.array(row))],
-                    names=["shard", "side", "class", "size", "rank", "point"],
-                )
+            blocks = batch.column("block").to_numpy()
+            edges = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)] if len(blocks) else []
+            for low, high in zip(edges[:-1], edges[1:]):
+                if blocks[low] != now:
+                    yield from rows_of(now, ids, of, hashes)
+                    now, known, ids, of, hashes = int(blocks[low]), {}, [], [], []
+                part = batch.slice(low, high - low)
+                found = []
+                for c in part.column("c").to_pylist():
+                    k = known.get(c)
+                    if k is None:
+                        h = word_hashes(c)
+                        k = known[c] = len(hashes) if len(h) >= least_words else -1
+                        if k >= 0:
+                            hashes.append(h)
+                    found.append(k)
+                ids.append(part.column("id").to_numpy())
+                of.append(np.array(found, dtype=np.int64))
+        yield from rows_of(now, ids, of, hashes)
+
+    return classes
+
+
+def parities_of(flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Whether the counts of BITS groups are odd, as the bits of a row of words for each of `n` records. Two records differ in at
+    least as many words as in such bits."""
+    counts = np.bincount(owner * BITS + ((flat >> np.uint64(20)) % np.uint64(BITS)).astype(np.int64), minlength=n * BITS)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(n, BITS), axis=1).view(np.uint64)
+
+
+class Block:
+    """The classes of a stored block by size, and the count-vector R-tree over them: leaves of TILE rows, then nodes of FAN."""
+
+    def __init__(self, number: int, first: np.ndarray, words: list[np.ndarray], sizes: list[np.ndarray], ids: list[np.ndarray], copies: list[np.ndarray]):
+        flat, size, self.members, n = (np.concatenate([x[k] for k in np.argsort(first)]) if x else np.empty(0, dtype=np.int64) for x in (words, sizes, ids, copies))
+        order = np.argsort(size, kind="stable")
+        self.number, self.place, self.sizes, self.n = number, order, size[order].astype(np.int64), n[order].astype(np.int64)
+        self.begin = (np.cumsum(n, dtype=np.int64) - n)[order]
+        self.words = flat.view(np.uint64)[np.repeat((np.cumsum(size, dtype=np.int64) - size)[order], self.sizes) + _ramp(self.sizes)]
+        self.ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        owner = np.repeat(np.arange(len(order)), self.sizes)
+        self.points = points_of(self.words, owner, len(order))
+        fine = [np.empty((0, BITS // 64), dtype=np.uint64)]
+        for k in range(0, len(order), 4_000):
+            m = min(len(order), k + 4_000)
+            part = slice(self.ends[k], self.ends[m])
+            fine.append(parities_of(self.words[part], owner[part] - k, m - k))
+        bits = np.ascontiguousarray(np.concatenate(fine).T)
+        self.parities = {len(bits): bits}  # by number of words; two halves laid on each other are the parities of coarser groups
+        while len(bits) > 1:
+            bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+            self.parities[len(bits)] = bits
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # upper corner, smallest and largest size of the nodes
+        upper, low, high, fan = self.points, self.sizes, self.sizes, TILE
+        while len(low) and (not self.levels or len(low) > 1):
+            at = np.arange(0, len(low), fan)
+            upper, low, high, fan = np.maximum.reduceat(upper, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), FAN
+            self.levels.append((upper, low, high))
+
+    def below(self, nodes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first child of nodes of a level and how many they have; above its root the tree goes on as it is."""
+        if level >= len(self.levels):
+            return nodes, np.ones_like(nodes)
+        return nodes * FAN, np.minimum(FAN, len(self.levels[level - 1][1]) - nodes * FAN)
+
+
+def read_block(path: str, number: int) -> Block:
+    """A block from the folder that `stored_by` gave; one without any class has no folder."""
+    system, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    files = [f.path for f in system.get_file_info(fs.FileSelector(f"{base}/block={number}", allow_not_found=True)) if f.path.endswith(".parquet")]
+    tables = [pq.ParquetFile(system.open_input_file(f)).read(["first", "words", "sizes", "ids", "copies"]) for f in files]
+    first = np.concatenate([t.column("first").to_numpy() for t in tables]) if tables else np.empty(0, dtype=np.int32)
+    return Block(number, first, *([x.values.to_numpy() for t in tables for x in t.column(c)] for c in ("words", "sizes", "ids", "copies")))
+
+
+class Join:
+    """The similar classes of two blocks, or of one with itself if both are the same object."""
+
+    def __init__(self, x: Block, y: Block, share: tuple[int, int]):
+        self.x, self.y, self.share = x, y, share
+
+    def leaves(self) -> tuple[np.ndarray, np.ndarray]:
+        """Leaves of both trees that can hold similar classes, two of one tree once."""
+        x, y, (a, b) = self.x, self.y, self.share
+        top = max(len(x.levels), len(y.levels)) - 1
+        i = j = np.zeros(1 if x.levels and y.levels else 0, dtype=np.int64)
+        for level in range(top, -1, -1):
+            (ux, lx, hx), (uy, ly, hy) = (z.levels[min(level, len(z.levels) - 1)] if z.levels else (z.points, z.sizes, z.sizes) for z in (x, y))
+            keep = np.flatnonzero((hx[i] * b >= ly[j] * a) & (hy[j] * b >= lx[i] * a) & ((j >= i) | (x is not y)))
+            i, j = i[keep], j[keep]
+            need = np.where(np.minimum(hx[i], hy[j]) > _TOP, 0, -(-a * (lx[i] + ly[j]) // (a + b)))
+            open_ = [np.flatnonzero(_minima(ux[i[k : k + STEP]], uy[j[k : k + STEP]]) >= need[k : k + STEP]) + k for k in range(0, len(i), STEP)]
+            keep = np.concatenate(open_) if open_ else keep
+            i, j = i[keep], j[keep]
+            if level:
+                (fi, ni), (fj, nj) = x.below(i, level), y.below(j, level)
+                pair, at = np.repeat(np.arange(len(i)), ni * nj), _ramp(ni * nj)
+                i, j = fi[pair] + at // nj[pair], fj[pair] + at % nj[pair]
+        return i, j
+
+    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows whose counts let them be similar. Leaves of y beside each other are compared with one of x at once."""
+        x, y, (a, b) = self.x, self.y, self.share
+        i, j = self.leaves()
+        order = np.lexsort((j, i))
+        i, j = i[order], j[order]
+        begins = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (j[1:] != j[:-1] + 1) | (j[1:] % TILE == 0)])) if len(i) else i
+        held, waiting = [], 0
+        for k, m in zip(begins.tolist(), [*begins[1:].tolist(), len(i)]):
+            rows = slice(int(i[k]) * TILE, min((int(i[k]) + 1) * TILE, len(x.sizes)))
+            columns = slice(int(j[k]) * TILE, min((int(j[m - 1]) + 1) * TILE, len(y.sizes)))
+            most = int(x.sizes[rows.stop - 1] + y.sizes[columns.stop - 1]) * (b - a) // (a + b)
+            parts = next((n for n in sorted(x.parities) if most <= 24 * n), max(x.parities))
+            p, q = x.parities[parts], y.parities[parts]
+            apart = np.bitwise_count(p[0, rows, None] ^ q[0, None, columns])
+            for n in range(1, parts):
+                apart = np.add(apart, np.bitwise_count(p[n, rows, None] ^ q[n, None, columns]), dtype=np.uint16)
+            at = np.flatnonzero(apart <= most)
+            held.append((at // apart.shape[1] + rows.start, at % apart.shape[1] + columns.start))
+            waiting += len(at)
+            if waiting > STEP:
+                yield self._alike(*map(np.concatenate, zip(*held)))
+                held, waiting = [], 0
+        if held:
+            yield self._alike(*map(np.concatenate, zip(*held)))
+
+    def _alike(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that parities of finer groups and the summed minima of their own counts let pass."""
+        x, y, (a, b) = self.x, self.y, self.share
+        if x is y:
+            i, j = i[i < j], j[i < j]
+        for parts in sorted(x.parities)[1:]:
+            m = x.sizes[i] + y.sizes[j]
+            keep = np.flatnonzero(sum(np.bitwise_count(p[i] ^ q[j]).astype(np.int64) for p, q in zip(x.parities[parts], y.parities[parts])) <= m + 2 * (-a * m // (a + b)))
+            i, j = i[keep], j[keep]
+        need = -(-a * (x.sizes[i] + y.sizes[j]) // (a + b))
+        keep = np.flatnonzero((_minima(x.points[i], y.points[j]) >= need) | (np.minimum(x.sizes[i], y.sizes[j]) > _TOP))
+        return i[keep], j[keep]
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows (i, j) that are similar by their words, each pair once."""
+        x, y, (a, b) = self.x, self.y, self.share
+        for i, j in self.candidates():
+            for part in _parts(x.sizes[i] + y.sizes[j], 10 * STEP):
+                u, v = i[part], j[part]
+                number = np.arange(len(u), dtype=np.uint64) << np.uint64(32)
+                of = lambda z, r: z.words[np.repeat(z.ends[r], z.sizes[r]) + _ramp(z.sizes[r])]
+                codes = np.unique(np.concatenate([of(x, u), of(y, v)]), return_inverse=True)[1].astype(np.uint64)
+                both = np.concatenate([np.repeat(number, x.sizes[u]), np.repeat(number, y.sizes[v])]) | codes
+                both.sort()
+                common = (both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64)
+                good = np.bincount(common, minlength=len(u)) * (a + b) >= a * (x.sizes[u] + y.sizes[v])
+                if good.any():
+                    yield u[good], v[good]
+
+
+def _compare_blocks(path: str, begin: list[int], base: list[int], blocks: list[int], share: tuple[int, int], expand: bool):
+    """For the numbers of pairs of blocks: id pairs, or the classes of them that have similar ones with how many rows these have.
+    A text has its pairs from `begin` on and its blocks from `base` on."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_texts(batches, "shard", 100_000):
-            points = np.frombuffer(b"".join(part.column("point").to_pylist()), dtype="<u2").reshape(-1, GROUPS)
-            size, rank = part.column("size").to_numpy().astype(np.int64), part.column("rank").to_numpy().astype(np.int64)
-            names = part.column("class").combine_chunks()
-            for i, j in bounded_pairs(part.column("shard").to_numpy(), size, rank, points, share, part.column("side").to_numpy()):
-                x, y = names.take(pa.array(i)), names.take(pa.array(j))
-                swap = pc.greater(x, y)
-                yield from pa.table({"x": pc.if_else(swap, y, x), "y": pc.if_else(swap, x, y)}).filter(pc.not_equal(x, y)).combine_chunks().to_batches()
-
-    keyed = made.select("class", "th", "words").mapInArrow(keys, "shard bigint, side tinyint, class binary, size int, rank int, point binary")
-    found = keyed.repartition("shard").sortWithinPartitions("shard", "size").mapInArrow(compare, "x binary, y binary").distinct()
-    first = found.join(made.select(F.col("class").alias("x"), F.col("th").alias("tx"), F.col("words").alias("wx")), "x")
-    both = first.join(made.select(F.col("class").alias("y"), F.col("th").alias("ty"), F.col("words").alias("wy")), "y").where("tx = ty")
-    common = F.size(F.array_intersect("wx", "wy"))
-    alike = both.where(common * b >= a * (F.size("wx") + F.size("wy") - common)).select("x", "y")
-    return alike, rows.select("class", "id").join(made.select("class", "n"), "class").distinct()
-
-
-def _texts(df: DataFrame, key: str, text: str, context: str, local: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (th, id, c) of texts with at most `local` rows, and those of other texts if there are any."""
+        x = Block(-1, np.empty(0), [], [], [], [])
+        for number in chain.from_iterable(batch.column(0).to_pylist() for batch in batches):
+            text = bisect_right(begin, number) - 1
+            row, column = _cell(number - begin[text], blocks[text])
+            if x.number != base[text] + row:
+                x = read_block(path, base[text] + row)
+            y = x if row == column else read_block(path, base[text] + column)
+            more_x, more_y = np.zeros(len(x.n), dtype=np.int64), np.zeros(len(y.n), dtype=np.int64)
+            left, right = (x.n, x.begin, x.members), (y.n, y.begin, y.members)
+            for i, j in Join(x, y, share).pairs():
+                if expand:
+                    yield from _id_pairs(i, j, left, right, False)
+                else:
+                    np.add.at(more_x, i, y.n[j])
+                    np.add.at(more_y, j, x.n[i])
+            if expand and x is y:
+                inner = np.flatnonzero(x.n > 1)
+                yield from _id_pairs(inner, inner, left, left, True)
+            if not expand:
+                for z, more in ((x, more_x), (y, more_y)):
+                    at = np.flatnonzero(more)
+                    yield pa.RecordBatch.from_arrays([pa.array(z.place[at] + (z.number << 32)), pa.array(more[at])], names=["class", "more"])
+
+    return compare
+
+
+def _cell(number: int, blocks: int) -> tuple[int, int]:
+    """The row and column of a cell, row by row in the upper triangle with its diagonal."""
+    back = blocks * (blocks + 1) // 2 - 1 - number  # counted from the end, the rows are 1, 2, 3 ... long
+    row = (isqrt(8 * back + 1) - 1) // 2
+    return blocks - 1 - row, blocks - 1 - (back - row * (row + 1) // 2)
+
+
+def _class_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, id, class_id, n) of stored rows of blocks."""
+    for batch in batches:
+        for block, first, ids, copies in zip(*(batch.column(c) for c in ("block", "first", "ids", "copies"))):
+            member, n = ids.values.to_numpy(), copies.values.to_numpy().astype(np.int64)
+            of = np.repeat(np.arange(len(n)), n)
+            yield pa.RecordBatch.from_arrays([pa.array((block.as_py() << 32) + first.as_py() + of), pa.array(member), pa.array(member[(np.cumsum(n) - n)[of]]), pa.array(n[of])], names=["class", "id", "class_id", "n"])
+
+
+def _spread_texts(rows: DataFrame, large: list[tuple[int, int, int]], share: tuple[int, int], least_words: int, expand: bool) -> DataFrame:
+    """(a, b), or (id, class_id, links), of the rows (block, id, c) of texts too large for a task; of each text its first block
+    and how many it has."""
+    spark = rows.sparkSession
+    path = stored_by(rows.repartition("block").sortWithinPartitions("block").mapInArrow(_stored_blocks(least_words), _STORED), "block")
+    base, blocks = [t[1] for t in large], [t[2] for t in large]
+    *begin, cells = accumulate((k * (k + 1) // 2 for k in blocks), initial=0)
+    tasks = min(cells, max(8 * spark.sparkContext.defaultParallelism, cells // 4))
+    compare = _compare_blocks(path, begin, base, blocks, share, expand)
+    numbers = spark.range(0, cells, 1, tasks)
+    if expand:
+        return numbers.mapInArrow(compare, "a bigint, b bigint")
+    more = numbers.mapInArrow(compare, "class bigint, more bigint").groupBy("class").agg(F.sum("more").alias("more"))
+    members = spark.read.schema(_STORED).parquet(path).select("block", "first", "ids", "copies").mapInArrow(_class_members, "class bigint, id bigint, class_id bigint, n bigint")
+    return members.join(more, "class", "left").select("id", "class_id", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
+
+
+def _texts(df: DataFrame, key: str, text: str, context: str, local: int, shard_rows: int) -> tuple[DataFrame, DataFrame | None, list[tuple[int, int, int]]]:
+    """Rows (th, id, c) of texts with at most `local` rows, rows (block, id, c) of other texts if there are any, and of these the
+    text, its first block and how many it has."""
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.xxhash64(F.lower(F.trim(text))).alias("th"), F.col(context).alias("c"), F.col(text).isNotNull().alias("has"))
     rows = rows.where("has and c is not null and id is not null").drop("has")
-    large = cut(rows.groupBy("th").agg(F.count("*").alias("n")).where(F.col("n") > local).select("th"))
-    if large.isEmpty():
-        return rows, None
-    return rows.join(large, "th", "left_anti"), rows.join(large, "th", "left_semi")
+    held = sorted((r["th"], -(-r["n"] // shard_rows)) for r in rows.groupBy("th").agg(F.count("*").alias("n")).where(F.col("n") > local).collect())  # one of `local` rows at most
+    if not held:
+        return rows, None, []
+    large = [(th, base, k) for (th, k), base in zip(held, accumulate((k for _, k in held), initial=0))]
+    known = F.broadcast(df.sparkSession.createDataFrame(large, "th bigint, base int, k int"))
+    dealt = rows.join(known, "th").select((F.col("base") + F.pmod(F.xxhash64("c"), F.col("k"))).cast("int").alias("block"), "id", "c")
+    return rows.join(known, "th", "left_anti"), dealt, large
+
+
+def _similar(df: DataFrame, key: str, text: str, context: str, share: tuple[int, int], least_words: int, local: int, shard_rows: int, expand: bool) -> DataFrame:
+    small, dealt, large = _texts(df, key, text, context, local, shard_rows)
+    found = small.repartition("th").sortWithinPartitions("th").mapInArrow(_compare_texts(share, least_words, expand, min(CHUNK, local)), "a bigint, b bigint" if expand else "id bigint, class_id bigint, links bigint")
+    return found if dealt is None else found.unionByName(_spread_texts(dealt, large, share, least_words, expand))
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, context: str, share: tuple[int, int] = (7, 10), least_words: int = 30, local: int = LOCAL, shard_rows: int = SHARD) -> DataFrame:
@@ -392,29 +580,12 @@ def similar_pairs(df: DataFrame, key: str, text: str, context: str, share: tuple
 
     Rows with a null id, text or context or fewer words have no partners; rows with equal context are partners; repeated rows
     count once; other columns are ignored; an empty table gives no rows. Nothing is capped. `local` and `shard_rows` say how
-    many rows of a text, or of a word in a larger text, a task may hold; they change no result.
+    many rows of a text a task may hold, or of a block of a larger text; they change no result.
     """
-    small, large = _texts(df, key, text, context, local)
-    pairs = small.repartition("th").sortWithinPartitions("th").mapInArrow(_compare_texts(share, least_words, True, min(CHUNK, local)), "a bigint, b bigint")
-    if large is None:
-        return pairs
-    alike, members = _spread_classes(large, share, least_words, shard_rows)
-    across = alike.join(members.select(F.col("class").alias("x"), F.col("id").alias("i")), "x").join(members.select(F.col("class").alias("y"), F.col("id").alias("j")), "y").select("i", "j")
-    copied = members.where("n > 1")
-    within = copied.select("class", F.col("id").alias("i")).join(copied.select("class", F.col("id").alias("j")), "class").where("i < j").select("i", "j")
-    return pairs.unionByName(across.unionByName(within).where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")))
+    return _similar(df, key, text, context, share, least_words, local, shard_rows, True)
 
 
 def similar_counts(df: DataFrame, key: str, text: str, context: str, share: tuple[int, int] = (7, 10), least_words: int = 30, local: int = LOCAL, shard_rows: int = SHARD) -> DataFrame:
     """(id, class_id, links): each row that can have partners, the smallest id with its text and context, and how many rows
     `similar_pairs` pairs it with. Copies are never expanded into pairs. Nulls, repeats and empty tables as there."""
-    small, large = _texts(df, key, text, context, local)
-    counts = small.repartition("th").sortWithinPartitions("th").mapInArrow(_compare_texts(share, least_words, False, min(CHUNK, local)), "id bigint, class_id bigint, links bigint")
-    if large is None:
-        return counts
-    alike, members = _spread_classes(large, share, least_words, shard_rows)
-    one = members.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
-    ways = alike.unionByName(alike.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    beside = ways.join(one.select(F.col("class").alias("y"), "n"), "y").groupBy(F.col("x").alias("class")).agg(F.sum("n").alias("more"))
-    linked = one.join(beside, "class", "left").select("class", "class_id", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
-    return counts.unionByName(members.select("class", "id").join(linked, "class").select("id", "class_id", "links"))
+    return _similar(df, key, text, context, share, least_words, local, shard_rows, False)
